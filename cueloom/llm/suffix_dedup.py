@@ -45,7 +45,7 @@ GRAM = 16
 COVER = 64
 HOT = 256
 #: Region bytes sorted at once.
-BLOCK = 8_000_000
+BLOCK = 1_000_000
 
 _rng = np.random.default_rng(20_24)
 _TABLES = [_rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
