@@ -15,8 +15,9 @@ array is never built whole:
   and last bytes, COVER in all, and then, as long ties, by the precomputed rank of the string
   between, which exists for every COVER-th position around an anchor only. So memory is bounded by a
   block of regions. As anchors align the suffixes of a bucket, one residue covers all differences.
-* Buckets with more than ``HOT`` different regions are spread instead: every start of theirs becomes a
-  row with a 128-bit hash of its string, counted by a shuffle. Nothing is capped.
+* Buckets with more than ``HOT`` different regions are spread instead: their regions are cut into pieces
+  of ``PIECE`` starts, named by the bytes that all their strings share, and what differs is compared by
+  groupings. Nothing is capped.
 
 Names of strings are 64-bit hashes within a bucket, 128-bit ones across the corpus.
 
@@ -44,6 +45,7 @@ WINDOW = 256
 GRAM = 16
 COVER = 64
 HOT = 256
+PIECE = 16
 #: Region bytes sorted at once.
 BLOCK = 1_000_000
 
@@ -265,19 +267,59 @@ def _runs(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 RUNS = ["k1", "k2", "start", "end"]
-STARTS = ["w1", "w2", "k1", "k2", "start", "n"]
+PIECES = ["s1", "s2", "k1", "k2", "start", "n"]
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for every start of some regions, with a hash of its LENGTH bytes."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Regions in pieces of at most PIECE starts: a hash of the bytes that all strings of a piece
+    share, with their distance to the anchor, and the bytes on the left and right that they do not."""
     for batch in batches:
         columns = dict(zip(batch.schema.names, batch.columns, strict=True))
         for a in range(0, batch.num_rows, 2000):
             packed = columns["packed"].slice(a, 2000).to_numpy()
             data, region, place, distance = _suffixes(columns["content"].slice(a, 2000).to_pylist(), packed)
-            one, two = (Hashes(data, k).of(place, place + LENGTH).view(np.int64) for k in range(2))
-            of = lambda name: columns[name].slice(a, 2000).to_numpy()[region]  # noqa: B023, E731
-            yield _batch([[one, two, of("k1"), of("k2"), (packed >> 20)[region] - distance, of("n")]], STARTS)
+            # a piece ends where the distance to the anchor is a multiple of PIECE, or with its region
+            begin = np.flatnonzero(np.append(True, (region[1:] != region[:-1]) | (distance[1:] % PIECE == PIECE - 1)))
+            end = np.append(begin[1:], len(region)) - 1
+            first, last, r, aligned = place[begin], place[end], region[begin], distance[begin] // PIECE
+            # what any string of a piece covers, wherever its region cut the piece short
+            inner = first + distance[begin] % PIECE
+            outer = inner - (PIECE - 1) + LENGTH
+            shape = aligned.astype(np.uint64) * np.uint64(9)
+            names = [_mix(Hashes(data, k).of(inner, outer) + shape).view(np.int64) for k in range(2)]
+            of = lambda name: columns[name].slice(a, 2000).to_numpy()[r]  # noqa: B023, E731
+            longs = [*names, of("k1"), of("k2"), (packed >> 20)[r] - distance[begin], of("n")]
+            raw = data.tobytes()
+            left = [raw[x:y] for x, y in zip(first.tolist(), inner.tolist(), strict=True)]
+            right = [raw[x : y + LENGTH] for x, y in zip(outer.tolist(), last.tolist(), strict=True)]
+            ends = [pa.array(left, pa.binary()), pa.array(right, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, longs), *ends], names=[*PIECES, "left", "right"])
+
+
+def _spread(regions: DataFrame) -> DataFrame:
+    """k1, k2, start, end of the repeated starts of regions of very common buckets.
+
+    Pieces that are equal as a whole are settled by counting. The rest, whose shared bytes occur in
+    other pieces too, become rows for each start, which are equal if what differs within
+    the pieces is. Everything is counted by shuffles over many keys.
+    """
+    pieces = cut_lineage(regions.mapInArrow(_cut, _longs(PIECES) + ", left binary, right binary"))
+    whole = pieces.groupBy("s1", "s2", "left", "right").agg(F.sum("n").alias("c"), F.count("*").alias("members"))
+    whole = cut_lineage(whole)
+    here = pieces.filter("n = 1").join(whole.filter("c > 1").select("s1", "s2", "left", "right"), ["s1", "s2", "left", "right"], "left_semi")
+    settled = here.select("k1", "k2", "start", (F.col("start") + F.length("left") + F.length("right") - (PIECE - 1) + LENGTH).alias("end"))
+
+    kinds = whole.groupBy("s1", "s2").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("s1", "s2")
+    ends = whole.join(kinds, ["s1", "s2"], "left_semi").select("s1", "s2", "left", "right", "c")
+    each = ends.select("*", F.explode(F.sequence(F.lit(PIECE - 1) - F.length("right"), F.length("left"))).alias("j"))
+    each = each.select("s1", "s2", "left", "right", "c", "j", F.expr("substring(left, length(left) - j + 1)").alias("before"), F.expr(f"substring(right, 1, {PIECE - 1} - j)").alias("after"))
+    key = ["s1", "s2", "j", "before", "after"]
+    equal = each.groupBy(*key).agg(F.count("*").alias("m")).filter("m > 1").select(*key)
+    found = each.filter("c = 1").join(equal, key, "left_semi").select("s1", "s2", "left", "right", "j")
+    single = pieces.filter("n = 1").join(found, ["s1", "s2", "left", "right"])
+    at = F.col("start") + F.length("left") - F.col("j")
+    loose = single.select("k1", "k2", at.alias("start"), (at + LENGTH).alias("end"))
+    return settled.union(loose)
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,10 +383,8 @@ def repeats(keyed: DataFrame, text: Column) -> DataFrame:
     few = open_.filter(F.col("kinds") <= HOT).repartition("bucket").sortWithinPartitions("bucket")
     few = few.mapInArrow(_sorted_buckets, _longs(RUNS))
 
-    many = cut_lineage(open_.filter(F.col("kinds") > HOT).mapInArrow(_spread, _longs(STARTS)))
-    counted = many.groupBy("w1", "w2").agg(F.count("*").alias("c")).filter("c > 1").select("w1", "w2")
-    many = many.filter("n = 1").join(counted, ["w1", "w2"], "left_semi").select("k1", "k2", "start", (F.col("start") + LENGTH).alias("end"))
-    return runs.union(few).union(many)
+    return runs.union(few).union(_spread(open_.filter(F.col("kinds") > HOT)))
+
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
