@@ -29,9 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut_lineage
+
 #: Bound on the expected number of training rows a language.
 SAMPLE = 3_000
 BUCKETS = 1 << 16
+#: The table of labelled rows a language is broadcast up to so many languages.
+FEW_LANGUAGES = 10_000
 #: Cost of a switch of language between two words, in nats.
 SWITCH = 10.0
 #: Cost of a language never seen in a word's script.
@@ -128,7 +132,9 @@ class Model:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{key}`"), F.lit("language")).alias("h"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = cut_lineage(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    if sizes.count() <= FEW_LANGUAGES:  # then texts need no shuffle
+        sizes = F.broadcast(sizes)
     share = F.col("h").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
     sample = rows.join(sizes, "lang").filter(share * F.col("n") < SAMPLE).select("lang", "text")
 
