@@ -136,10 +136,10 @@ def scan(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """
     new = ["license", "score", "inherited", "license_from", "own"]
     rest = [c for c in files.columns if c != text and c not in new]
-    scored = files.select(*[F.col(f"`{c}`") for c in rest], own_license(F.col(f"`{text}`")).alias("own"))
-    p = F.col(f"`{path}`")
+    row = F.struct(*[F.col(f"`{c}`") for c in rest])
+    p = F.col(f"row.`{path}`")
     directory = F.when(p.contains("/"), F.regexp_extract(p, "^(.*)/[^/]*$", 1)).when(p.isNotNull(), "")
-    scored = scored.withColumn("__dir", directory)
+    scored = files.select(row.alias("row"), own_license(F.col(f"`{text}`")).alias("own")).withColumn("__dir", directory)
 
     declares = F.col("own.license").isNotNull() & (p.rlike(LICENSE_FILE) | (F.col("own.share") >= FILE_SHARE))
     declared = scored.filter(declares & F.col("__dir").isNotNull()).groupBy(F.col("__dir").alias("anc")).agg(
@@ -162,7 +162,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     joined = scored.join(nearest, "__dir", "left")
     own = F.col("own.license").isNotNull()
     return joined.select(
-        *[F.col(f"`{c}`") for c in rest],
+        *[F.col(f"row.`{c}`").alias(c) for c in rest],
         F.coalesce("own.license", "near.from.license").alias("license"),
         F.coalesce("own.score", "near.from.score").alias("score"),
         (~own & F.col("near").isNotNull()).alias("inherited"),

@@ -351,9 +351,12 @@ def merged(runs) -> list[tuple[int, int]]:
     return list(zip(start[new].tolist(), end[np.append(new[1:], True)].tolist(), strict=True))
 
 
-def _keyed(docs: DataFrame, text: Column) -> DataFrame:
-    every = [F.col(f"`{c}`") for c in docs.columns if not docs.schema[c].dataType.typeName().startswith(("map", "variant"))]
-    return docs.withColumns({"k1": F.xxhash64(*every, text), "k2": F.xxhash64(text, *every, F.lit("second"))})
+def _keyed(docs: DataFrame, text: str, rest: list[str]) -> DataFrame:
+    """row (the columns rest), text, and a key of 128 bits that rows share only if they are the same."""
+    column = F.col(f"`{text}`")
+    plain = [F.col(f"`{c}`") for c in rest if not any(t in docs.schema[c].dataType.simpleString() for t in ("map<", "variant"))]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(0).alias("none"))
+    return docs.select(row.alias("row"), column.alias("text"), F.xxhash64(*plain, column).alias("k1"), F.xxhash64(column, *plain, F.lit("second")).alias("k2"))
 
 
 def repeats(keyed: DataFrame, text: Column) -> DataFrame:
@@ -389,11 +392,9 @@ def repeats(keyed: DataFrame, text: Column) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the text, with n_bytes, n_removed, n_spans and kept_sha256."""
-    column = F.col(f"`{text}`")
-    keyed = _keyed(docs, column)
-    rest = [c for c in docs.columns if c not in (*OUT, text, "k1", "k2")]
-    runs = repeats(keyed, column).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
-    joined = _squeezed(keyed, column, rest).join(runs, ["k1", "k2"], "left")
-    fields = [docs.schema[c] for c in rest] + [T.StructField(c, T.LongType() if c != "kept_sha256" else T.StringType()) for c in OUT]
-    ordered = joined.select("k1", "k2", *[F.col(f"`{c}`") for c in rest], "z", "runs")
-    return ordered.mapInArrow(_without, T.StructType(fields))
+    rest = [c for c in docs.columns if c not in (*OUT, text)]
+    keyed = _keyed(docs, text, rest)
+    runs = repeats(keyed, F.col("text")).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    joined = _squeezed(keyed, F.col("text"), ["row"]).join(runs, ["k1", "k2"], "left").select("k1", "k2", "row", "z", "runs")
+    fields = [keyed.schema["row"]] + [T.StructField(c, T.LongType() if c != "kept_sha256" else T.StringType()) for c in OUT]
+    return joined.mapInArrow(_without, T.StructType(fields)).select(*[F.col(f"row.`{c}`").alias(c) for c in rest], *OUT)
