@@ -49,7 +49,7 @@ def _score(text: str, encoding: str) -> float:
             total += 0.2 if c in "«»„“”’–—…·。、，「」" else -1.0
             continue
         if encoding in MULTI:
-            total += 1.0 if c in FREQUENT or script in ("HIRAGANA", "KATAKANA", "HANGUL") else 0.25 if script == "CJK" else -0.5
+            total += 1.0 if c in FREQUENT or script in ("HIRAGANA", "KATAKANA") or "가" <= c <= "힣" else 0.25 if script == "CJK" else -0.5
             continue
         before = text[i - 1] if i else " "
         after = text[i + 1] if i + 1 < len(text) else " "

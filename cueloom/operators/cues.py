@@ -5,15 +5,18 @@ Every file is a group of windows; rows of one file are as many as one subtitle f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cueloom.functions import markup, timecode
 
-BY_FILE = Window.partitionBy("file_id").orderBy("cue_no")
 CUE = ["file_id", "cue_no", "start_ms", "end_ms", "text"]
 
 
+def by_file() -> WindowSpec:
+    return Window.partitionBy("file_id").orderBy("cue_no")
+
+
 def renumber(cues: DataFrame, *order: Column | str) -> DataFrame:
     w = Window.partitionBy("file_id").orderBy(*(order or ("cue_no",)))
     return cues.withColumn("cue_no", F.row_number().over(w))
@@ -21,10 +24,10 @@ def renumber(cues: DataFrame, *order: Column | str) -> DataFrame:
 
 def combine(cues: DataFrame) -> DataFrame:
     """Adjacent cues of the same text, each starting where the one before ends, become one."""
-    same = (F.col("start_ms") == F.lag("end_ms").over(BY_FILE)) & (F.col("text") == F.lag("text").over(BY_FILE))
+    same = (F.col("start_ms") == F.lag("end_ms").over(by_file())) & (F.col("text") == F.lag("text").over(by_file()))
     begins = F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)
     grouped = cues.withColumn("__b", begins)
-    grouped = grouped.withColumn("__g", F.sum("__b").over(BY_FILE.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = grouped.withColumn("__g", F.sum("__b").over(by_file().rowsBetween(Window.unboundedPreceding, 0)))
     out = grouped.groupBy("file_id", F.col("__g").cast("int").alias("cue_no")).agg(
         F.min_by("start_ms", "cue_no").alias("start_ms"), F.max_by("end_ms", "cue_no").alias("end_ms"), F.min_by("text", "cue_no").alias("text")
     )
@@ -118,7 +121,7 @@ def check_cues(cues: DataFrame) -> DataFrame:
     """file_id, cue_no, code, severity of every rule that parsed cues break; cues may have src_number."""
     number = F.col("src_number") if "src_number" in cues.columns else F.col("cue_no")
     df = cues.withColumns(
-        {"__n": number, "__pn": F.lag(number).over(BY_FILE), "__pe": F.lag("end_ms").over(BY_FILE)}
+        {"__n": number, "__pn": F.lag(number).over(by_file()), "__pe": F.lag("end_ms").over(by_file())}
     )
     lines = F.size(F.split("text", "\n"))
     tests = {

@@ -162,4 +162,4 @@ def idx_retimed(all_lines: DataFrame, ms: int) -> DataFrame:
     moved = F.greatest(timecode.clock_to_ms(F.regexp_extract("line", p, 1)) + ms, F.lit(0))
     new = F.concat(F.lit("timestamp: "), timecode.ms_to_clock(F.col("__ms"), ":"), F.regexp_extract("line", p, 2))
     stamped = all_lines.withColumn("__ms", moved)
-    return stamped.withColumn("line", F.coalesce(new, F.col("line"))).drop("__ms")
+    return stamped.withColumn("line", F.when(F.col("line").rlike(p), new).otherwise(F.col("line"))).drop("__ms")
