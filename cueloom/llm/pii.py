@@ -23,6 +23,8 @@ from .common import let
 #: Marks the edges of a match while a text is being split. A text's own such characters count as MARK_ALT.
 MARK, MARK_ALT = "\x01", "\x02"
 NEAR = 40
+#: Parts of a text, matches and what is between, walked at once; even.
+RUN = 512
 
 
 def _digits(x: Column) -> Column:
@@ -145,26 +147,38 @@ def _spans_of(text: Column, no: int, kind: Kind) -> Column:
     """Ascending spans of a kind in a text that has none of MARK."""
 
     def walk(parts: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(_SPAN).alias("out"))
+        n = F.size(parts)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-        def step(acc: Column, x: Column) -> Column:
-            before = F.when(acc["i"] > 0, F.get(parts, acc["i"] - 1)).otherwise("")
-            after = F.coalesce(F.get(parts, acc["i"] + 1), F.lit(""))
-            near = F.lower(F.concat(F.right(before, F.lit(NEAR)), F.lit(" "), F.left(after, F.lit(NEAR))))
-            score = F.lit(kind.score) + F.when(near.rlike(rf"\b(?:{kind.context})"), 0.3).otherwise(0.0)
-            score = F.least(score, F.lit(1.0))
+        def step(acc: Column, i: Column) -> Column:
+            x = F.get(parts, i)
             end = acc["at"] + F.length(x)
-            span = F.struct(acc["at"].alias("start"), F.lit(no).alias("kind_no"), end.alias("end"), score.alias("score"))
-            ok = (acc["i"] % 2 == 1) & kind.valid(x)
-            if not kind.base:
-                ok = ok & (score >= THRESHOLD)
-            return F.struct(
-                end.alias("at"),
-                (acc["i"] + 1).alias("i"),
-                F.when(ok, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
-            )
 
-        return F.aggregate(parts, start, step, lambda acc: acc["out"])
+            def scored(_: Column) -> Column:
+                near = F.concat(F.right(F.get(parts, i - 1), F.lit(NEAR)), F.lit(" "), F.left(F.get(parts, i + 1), F.lit(NEAR)))
+                score = F.lit(kind.score) + F.when(F.lower(near).rlike(rf"\b(?:{kind.context})"), 0.3).otherwise(0.0)
+                score = F.least(score, F.lit(1.0))
+                span = F.struct(acc["at"].alias("start"), F.lit(no).alias("kind_no"), end.alias("end"), score.alias("score"))
+                good = F.lit(True) if kind.base else score >= THRESHOLD
+                return F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+
+            found = F.when((i % 2 == 1) & kind.valid(x), let(i, scored)).otherwise(acc["out"])
+            return F.struct(end.alias("at"), found.alias("out"))
+
+        # blocks of parts have places of their own, so that a text with very many spans takes no quadratic time
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.call_function("div", n - 1, F.lit(RUN)).cast("int")),
+            lambda b: F.aggregate(F.sequence(b * RUN, F.least(n, (b + 1) * RUN) - 1), start, step),
+        )
+
+        def placed(found: Column) -> Column:
+            def moved(block: Column, b: Column) -> Column:
+                ahead = F.aggregate(F.slice(found, F.lit(1), b), F.lit(0), lambda a, x: a + x["at"])
+                return let(ahead, lambda o: F.transform(block["out"], lambda s: F.struct((s["start"] + o).alias("start"), s["kind_no"].alias("kind_no"), (s["end"] + o).alias("end"), s["score"].alias("score"))))
+
+            return F.flatten(F.transform(found, moved))
+
+        return let(blocks, placed)
 
     parts = F.split(F.regexp_replace(text, f"({kind.pattern})", f"{MARK}$1{MARK}"), MARK)
     found = let(parts, lambda p: F.when(F.size(p) > 1, walk(p)).otherwise(F.array().cast(_SPAN)))
