@@ -32,7 +32,8 @@ POSITION_RE = r"(?i)\{ ?\\ ?an ?"
 
 
 def fix_tags(text: Column) -> Column:
-    """Misspelt tags in their plain form."""
+    """Misspelt tags in their plain form. Texts without a bracket are not searched further."""
+    given = text
     for x in LETTERS:
         text = F.regexp_replace(text, open_re(x), f"<{x}>")
         text = F.regexp_replace(text, close_re(x), f"</{x}>")
@@ -40,7 +41,8 @@ def fix_tags(text: Column) -> Column:
         text = F.regexp_replace(text, font_re(a), f"<font {a}=")
     text = F.regexp_replace(text, FONT_CLOSE_RE, "</font>")
     text = F.regexp_replace(text, POSITION_RE, r"{\\an")
-    return F.regexp_replace(text, r"([1-9]) \}", "$1}")
+    text = F.regexp_replace(text, r"([1-9]) \}", "$1}")
+    return F.when(given.rlike("[<{}]"), text).otherwise(given)
 
 
 def tag_count(text: Column, tag: str) -> Column:
@@ -71,11 +73,12 @@ CLASSES = {
 
 
 def strip_tags(text: Column, classes: list[str] | None = None) -> Column:
-    """The text without some classes of markup (default: all)."""
+    """The text without some classes of markup (default: all). Texts without a bracket are not searched further."""
+    given = text
     for name in CLASSES if classes is None else classes:
         for pattern in CLASSES[name]:
             text = F.regexp_replace(text, pattern, "")
-    return text
+    return F.when(given.rlike("[<{]"), text).otherwise(given)
 
 
 def leading_tags(line: Column) -> Column:
