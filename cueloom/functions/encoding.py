@@ -3,12 +3,13 @@ possible encodings, and how much the decoded letters look like words ranks them.
 
 from __future__ import annotations
 
+import codecs
 import re
 import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,8 +67,54 @@ def _score(text: str, encoding: str) -> float:
     return total / n if n else 0.0
 
 
-def detect_bytes(data: bytes) -> tuple[str, int, bool, str | None]:
-    """Encoding, bytes looked at, whether that is reliable, and the second best."""
+#: Encodings that texts of a language often have; a country's domain stands for its language.
+LANGUAGE_ENCODINGS = {
+    "ja": ("shift_jis", "euc_jp"), "ko": ("euc_kr",), "zh": ("gb18030", "big5"), "ru": ("cp1251", "koi8_r", "iso8859_5"), "bg": ("cp1251",), "uk": ("cp1251", "koi8_r"), "el": ("iso8859_7",), "he": ("cp1255",), "ar": ("cp1256",),
+    "fa": ("cp1256",), "tr": ("iso8859_9",), "th": ("cp874",), "lt": ("cp1257",), "lv": ("cp1257",), "et": ("cp1257",), "cs": ("cp1250",), "pl": ("cp1250",), "hu": ("cp1250",), "ro": ("cp1250",), "sk": ("cp1250",), "hr": ("cp1250",),
+    "de": ("cp1252",), "fr": ("cp1252",), "es": ("cp1252",), "pt": ("cp1252",), "it": ("cp1252",), "nl": ("cp1252",), "sv": ("cp1252",), "da": ("cp1252",), "no": ("cp1252",), "fi": ("cp1252",), "en": ("cp1252",),
+}
+DOMAIN_LANGUAGES = {"jp": "ja", "kr": "ko", "cn": "zh", "tw": "zh", "hk": "zh", "ua": "uk", "gr": "el", "il": "he", "ir": "fa", "cz": "cs", "dk": "da", "se": "sv", "at": "de", "br": "pt", "ee": "et", "mx": "es", "uk": "en"}
+#: What a hint adds to the score: it settles near ties, and the bytes settle the rest.
+HINT = 0.15
+
+
+def hinted(charset: str | None = None, language: str | None = None, domain: str | None = None) -> dict[str, float]:
+    """Scores that hints add, by encoding. A declared charset counts most; what is not known adds nothing."""
+    out: dict[str, float] = {}
+    last = (domain or "").lower().rsplit(".", 1)[-1]
+    for name in (language or "").lower().replace("_", "-").split("-")[:1] + [DOMAIN_LANGUAGES.get(last, last)]:
+        for e in LANGUAGE_ENCODINGS.get(name, ()):
+            out[e] = HINT
+    try:
+        declared = codecs.lookup(charset.strip()).name if charset else None
+    except LookupError:
+        declared = None
+    for e in [*MULTI, *SINGLE]:
+        if declared and codecs.lookup(e).name == SUPERSETS.get(declared, declared):
+            out[e] = out.get(e, 0.0) + HINT
+    return out
+
+
+#: Declared charsets that stand for a larger one.
+SUPERSETS = {"iso8859-1": "cp1252", "gb2312": "gb18030", "gbk": "gb18030", "iso8859-2": "cp1250", "iso8859-8": "cp1255", "iso8859-6": "cp1256", "iso8859-13": "cp1257", "tis-620": "cp874", "cp1253": "iso8859-7", "cp1254": "iso8859-9", "cp932": "shift_jis", "cp949": "euc_kr"}
+
+#: Registered names of the encodings, and their family.
+NAMES = [
+    ("ascii", "US-ASCII", "ascii"), ("binary", None, "binary"), ("utf-8", "UTF-8", "unicode"), ("utf-8-utf-8", None, "unicode"), ("utf-7", "UTF-7", "unicode"), ("utf-16-be", "UTF-16BE", "unicode"), ("utf-16-le", "UTF-16LE", "unicode"),
+    ("utf-32-be", "UTF-32BE", "unicode"), ("utf-32-le", "UTF-32LE", "unicode"), ("utf-16", "UTF-16", "unicode"), ("euc_jp", "EUC-JP", "multi"), ("shift_jis", "Shift_JIS", "multi"), ("iso2022_jp", "ISO-2022-JP", "multi"), ("euc_kr", "EUC-KR", "multi"),
+    ("gb18030", "GB18030", "multi"), ("big5", "Big5", "multi"), ("hz", "HZ-GB-2312", "multi"), ("iso8859_1", "ISO-8859-1", "single"), ("cp1252", "windows-1252", "single"), ("cp1250", "windows-1250", "single"), ("cp1251", "windows-1251", "single"),
+    ("koi8_r", "KOI8-R", "single"), ("iso8859_5", "ISO-8859-5", "single"), ("iso8859_7", "ISO-8859-7", "single"), ("cp1255", "windows-1255", "single"), ("cp1256", "windows-1256", "single"), ("iso8859_9", "ISO-8859-9", "single"), ("cp1257", "windows-1257", "single"),
+    ("cp874", "windows-874", "single"),
+]
+
+
+def encoding_names(spark: SparkSession) -> DataFrame:
+    """encoding, mime_name, family: one row an encoding that detection returns."""
+    return spark.createDataFrame(NAMES, "encoding string, mime_name string, family string")
+
+
+def detect_bytes(data: bytes, hints: dict[str, float] | None = None) -> tuple[str, int, bool, str | None]:
+    """Encoding, bytes looked at, whether that is reliable, and the second best. hints: scores to add by encoding."""
     part = data[:MOST]
     used = len(part)
     if not part:
@@ -108,6 +155,7 @@ def detect_bytes(data: bytes) -> tuple[str, int, bool, str | None]:
         except UnicodeDecodeError as e:
             if e.start >= min(len(cut), 16384) - 4 and name in MULTI:
                 ranked.append((_score(cut[: e.start].decode(name), name), name))
+    ranked = [(score + (hints or {}).get(name, 0.0), name) for score, name in ranked]
     ranked.sort(key=lambda x: (-x[0], [*MULTI, *SINGLE].index(x[1])))
     if not ranked:
         return "binary", used, False, None
@@ -126,6 +174,13 @@ def detect(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["encoding", "consumed", "reliable", "second"])
 
 
+@F.pandas_udf(DETECTED)
+def detect_hinted(content: pd.Series, charset: pd.Series, language: pd.Series, domain: pd.Series) -> pd.DataFrame:
+    """detect with what was declared about a text: a charset, a language, the domain it is from; each may be null."""
+    rows = [detect_bytes(bytes(c) if c is not None else b"", hinted(*h)) for c, *h in zip(content, charset, language, domain, strict=True)]
+    return pd.DataFrame(rows, columns=["encoding", "consumed", "reliable", "second"])
+
+
 @F.pandas_udf(T.StringType())
 def decode_as(content: pd.Series, charset: pd.Series) -> pd.Series:
     """Text of content in the charset named; what cannot be decoded becomes U+FFFD, unknown charsets null."""

@@ -153,12 +153,16 @@ def stamp(data: Column, offset: int) -> Column:
     return bits(b(0), 1, 3) * (1 << 30) + b(1) * (1 << 22) + bits(b(2), 1, 7) * (1 << 15) + b(3) * 128 + bits(b(4), 1, 7)
 
 
+def clock_reference(v: Column) -> Column:
+    """27 MHz units of the 48 bits of a system clock reference, its marker bits skipped."""
+    return (bits(v, 43, 3) * (1 << 30) + bits(v, 27, 15) * (1 << 15) + bits(v, 11, 15)) * 300 + bits(v, 1, 9)
+
+
 def pack_headers(packets: DataFrame) -> DataFrame:
     """file_id, pkt_no, scr (27 MHz), rate (kB/s) of pack headers."""
     p = packets.filter("kind = 186")
     d, v = F.col("data"), u(F.col("data"), 4, 6)
-    base = bits(v, 43, 3) * (1 << 30) + bits(v, 27, 15) * (1 << 15) + bits(v, 11, 15)
-    return p.select("file_id", "pkt_no", (base * 300 + bits(v, 1, 9)).alias("scr"), F.expr("(conv(hex(substring(data, 11, 3)), 16, 10) div 4 * 50 + 500) div 1000").cast("long").alias("rate_kb"), bits(u(d, 13, 1), 0, 3).alias("stuffing"))
+    return p.select("file_id", "pkt_no", clock_reference(v).alias("scr"), F.expr("(conv(hex(substring(data, 11, 3)), 16, 10) div 4 * 50 + 500) div 1000").cast("long").alias("rate_kb"), bits(u(d, 13, 1), 0, 3).alias("stuffing"))
 
 
 def pes_payloads(packets: DataFrame) -> DataFrame:
@@ -175,6 +179,36 @@ def pes_payloads(packets: DataFrame) -> DataFrame:
     )
 
 
+def pes_headers(packets: DataFrame) -> DataFrame:
+    """All fields of the headers of packets (data from its start code): flags, stamps and the optional parts in their order.
+
+    A part that is absent is null; stamps are ticks, escr is in 27 MHz units, es_rate in units of 50 bytes.
+    """
+    d = F.col("data")
+    one, two = u(d, 6, 1), u(d, 7, 1)
+    flag = lambda k: bits(two, k, 1)
+    stamps = bits(two, 6, 2)
+    fixed = packets.withColumns({
+        "scrambling": bits(one, 4, 2), "priority": bits(one, 3, 1), "aligned": bits(one, 2, 1), "copyright": bits(one, 1, 1), "original": bits(one, 0, 1), "header_length": u(d, 8, 1),
+        "malformed": (stamps == 1) | (bits(one, 6, 2) != 2), "__escr": F.when(stamps == 3, 19).when(stamps == 2, 14).otherwise(9),
+    })
+    after = lambda c, present, size: F.col(c) + F.when(present == 1, size).otherwise(0)
+    at = fixed.withColumn("__rate", after("__escr", flag(5), 6)).withColumn("__trick", after("__rate", flag(4), 3)).withColumn("__copy", after("__trick", flag(3), 1))
+    at = at.withColumn("__crc", after("__copy", flag(2), 1)).withColumn("__ext", after("__crc", flag(1), 2)).withColumn("__flags", F.when(flag(0) == 1, u(d, F.col("__ext"), 1)))
+    ext = lambda k: F.coalesce(bits(F.col("__flags"), k, 1), F.lit(0))
+    at = at.withColumn("__pack", F.col("__ext") + 1 + F.when(ext(7) == 1, 16).otherwise(0))
+    at = at.withColumn("__seq", F.col("__pack") + F.when(ext(6) == 1, u(d, F.col("__pack"), 1).cast("int") + 1).otherwise(0))
+    at = at.withColumn("__std", after("__seq", ext(5), 2)).withColumn("__two", after("__std", ext(4), 2))
+    v, trick, std, seq = u(d, F.col("__escr"), 6), u(d, F.col("__trick"), 1), u(d, F.col("__std"), 2), u(d, F.col("__seq"), 2)
+    return at.withColumns({
+        "pts": F.when(stamps >= 2, stamp(d, 9)), "dts": F.when(stamps == 3, stamp(d, 14)), "escr": F.when(flag(5) == 1, clock_reference(v)), "es_rate": F.when(flag(4) == 1, bits(u(d, F.col("__rate"), 3), 1, 22)),
+        "trick_mode": F.when(flag(3) == 1, bits(trick, 5, 3)), "trick_bits": F.when(flag(3) == 1, bits(trick, 0, 5)), "copy_info": F.when(flag(2) == 1, bits(u(d, F.col("__copy"), 1), 0, 7)),
+        "previous_crc": F.when(flag(1) == 1, u(d, F.col("__crc"), 2)), "private_data": F.when(ext(7) == 1, F.substring(d, F.col("__ext") + 2, F.lit(16))),
+        "pack_header": F.when(ext(6) == 1, F.substring(d, F.col("__pack") + 2, u(d, F.col("__pack"), 1).cast("int"))), "sequence": F.when(ext(5) == 1, bits(seq, 8, 7)), "mpeg1": F.when(ext(5) == 1, bits(seq, 6, 1)),
+        "stuffing": F.when(ext(5) == 1, bits(seq, 0, 6)), "std_scale": F.when(ext(4) == 1, bits(std, 13, 1)), "std_size": F.when(ext(4) == 1, bits(std, 0, 13)), "extension_2": F.when(ext(0) == 1, bits(u(d, F.col("__two"), 1), 0, 7)),
+    }).drop("__escr", "__rate", "__trick", "__copy", "__crc", "__ext", "__flags", "__pack", "__seq", "__std", "__two")
+
+
 def sub_pictures(payloads: DataFrame) -> DataFrame:
     """Sub-picture units: file_id, substream, spu_no, pts_ms, size, control_at, data. A packet with a stamp begins one."""
     w = Window.partitionBy("file_id", "substream").orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, 0)
@@ -227,6 +261,33 @@ def ts_fields(packets: DataFrame) -> DataFrame:
     return out.withColumns({"payload": payload, "pcr": pcr, "discontinuity": F.when(F.col("af_length") > 0, bits(u(F.col("data"), 5, 1), 7, 1))}).drop("data")
 
 
+def adaptation_fields(packets: DataFrame) -> DataFrame:
+    """All fields of the adaptation fields of packets (file_id, pkt_no, data); absent parts are null.
+
+    pcr and opcr are in 27 MHz units, splice_countdown is signed, ltw_offset and piecewise_rate as in the extension.
+    """
+    d = F.col("data")
+    p = packets.filter((bits(u(d, 3, 1), 5, 1) == 1) & (u(d, 4, 1) > 0))
+    flags = u(d, 5, 1)
+    flag = lambda k: bits(flags, k, 1)
+    after = lambda c, present, size: F.col(c) + F.when(present == 1, size).otherwise(0)
+    p = p.withColumn("__pcr", F.lit(6)).withColumn("__opcr", after("__pcr", flag(4), 6)).withColumn("__splice", after("__opcr", flag(3), 6)).withColumn("__private", after("__splice", flag(2), 1))
+    p = p.withColumn("__ext", F.col("__private") + F.when(flag(1) == 1, u(d, F.col("__private"), 1).cast("int") + 1).otherwise(0)).withColumn("__flags", F.when(flag(0) == 1, u(d, F.col("__ext") + 1, 1)))
+    ext = lambda k: F.coalesce(bits(F.col("__flags"), k, 1), F.lit(0))
+    p = p.withColumn("__ltw", F.col("__ext") + 2).withColumn("__rate", after("__ltw", ext(7), 2)).withColumn("__seam", after("__rate", ext(6), 3))
+    clock = lambda c: bits(u(d, F.col(c), 6), 15, 33) * 300 + bits(u(d, F.col(c), 6), 0, 9)
+    splice, ltw = u(d, F.col("__splice"), 1), u(d, F.col("__ltw"), 2)
+    b = lambda i: u(d, F.col("__seam") + i, 1)
+    next_dts = bits(b(0), 1, 3) * (1 << 30) + b(1) * (1 << 22) + bits(b(2), 1, 7) * (1 << 15) + b(3) * 128 + bits(b(4), 1, 7)
+    return p.select(
+        "file_id", "pkt_no", u(d, 4, 1).alias("af_length"), flag(7).alias("discontinuity"), flag(6).alias("random_access"), flag(5).alias("es_priority"),
+        F.when(flag(4) == 1, clock("__pcr")).alias("pcr"), F.when(flag(3) == 1, clock("__opcr")).alias("opcr"), F.when(flag(2) == 1, F.when(splice > 127, splice - 256).otherwise(splice)).alias("splice_countdown"),
+        F.when(flag(1) == 1, F.substring(d, F.col("__private") + 2, u(d, F.col("__private"), 1).cast("int"))).alias("private_data"),
+        F.when(ext(7) == 1, bits(ltw, 15, 1)).alias("ltw_valid"), F.when(ext(7) == 1, bits(ltw, 0, 15)).alias("ltw_offset"), F.when(ext(6) == 1, bits(u(d, F.col("__rate"), 3), 0, 22)).alias("piecewise_rate"),
+        F.when(ext(5) == 1, bits(b(0), 4, 4)).alias("splice_type"), F.when(ext(5) == 1, next_dts).alias("next_dts"),
+    )
+
+
 def psi_sections(packets: DataFrame) -> DataFrame:
     """Sections of table PIDs: file_id, pid, section_no, pkt_no, table_id, body (after the length, without CRC).
 
@@ -341,24 +402,55 @@ def dvb_pages(segments: DataFrame) -> DataFrame:
 
 def dvb_region_places(segments: DataFrame) -> DataFrame:
     b, at = F.col("body"), F.col("at")
-    return _repeated(segments, 0x10, 2, 6).select(*KEY, u(b, at, 1).alias("region_id"), u(b, at + 2, 2).alias("x"), u(b, at + 4, 2).alias("y"))
+    return _repeated(segments, 0x10, 2, 6).select(*KEY, "seg_no", "i", u(b, at, 1).alias("region_id"), u(b, at + 2, 2).alias("x"), u(b, at + 4, 2).alias("y"))
 
 
 def dvb_regions(segments: DataFrame) -> DataFrame:
     b = F.col("body")
     s = segments.filter("type = 17")
-    return s.select(*KEY, u(b, 0, 1).alias("region_id"), bits(u(b, 1, 1), 3, 1).alias("fill"), u(b, 2, 2).alias("width"), u(b, 4, 2).alias("height"), bits(u(b, 6, 1), 2, 3).alias("depth"), u(b, 7, 1).alias("clut_id"), u(b, 8, 1).alias("fill8"), bits(u(b, 9, 1), 4, 4).alias("fill4"), bits(u(b, 9, 1), 2, 2).alias("fill2"))
+    return s.select(*KEY, "seg_no", u(b, 0, 1).alias("region_id"), bits(u(b, 1, 1), 3, 1).alias("fill"), u(b, 2, 2).alias("width"), u(b, 4, 2).alias("height"), bits(u(b, 6, 1), 2, 3).alias("depth"), u(b, 7, 1).alias("clut_id"), u(b, 8, 1).alias("fill8"), bits(u(b, 9, 1), 4, 4).alias("fill4"), bits(u(b, 9, 1), 2, 2).alias("fill2"))
+
+
+@F.udf(_list(object_id=T.IntegerType(), object_type=T.IntegerType(), provider=T.IntegerType(), x=T.IntegerType(), y=T.IntegerType(), foreground=T.IntegerType(), background=T.IntegerType()), useArrow=True)
+def object_places_of(body):
+    """Objects of a region's body; those of characters have two colours more."""
+    body, out, at = bytes(body or b""), [], 10
+    while at + 6 <= len(body):
+        head, low = int.from_bytes(body[at + 2 : at + 4], "big"), int.from_bytes(body[at + 4 : at + 6], "big")
+        colored = head >> 14 in (1, 2) and at + 8 <= len(body)
+        fg, bg = (body[at + 6], body[at + 7]) if colored else (None, None)
+        out.append((int.from_bytes(body[at : at + 2], "big"), head >> 14, head >> 12 & 3, head & 0xFFF, low & 0xFFF, fg, bg))
+        at += 8 if colored else 6
+    return out
 
 
 def dvb_object_places(segments: DataFrame) -> DataFrame:
-    b, at = F.col("body"), F.col("at")
-    return _repeated(segments, 0x11, 10, 6).select(*KEY, u(b, 0, 1).alias("region_id"), u(b, at, 2).alias("object_id"), bits(u(b, at + 2, 2), 14, 2).alias("object_type"), bits(u(b, at + 2, 2), 0, 12).alias("x"), bits(u(b, at + 4, 2), 0, 12).alias("y"))
+    s = segments.filter("type = 17").select(*KEY, "seg_no", u(F.col("body"), 0, 1).alias("region_id"), F.posexplode(object_places_of("body")).alias("i", "o"))
+    return s.select(*KEY, "seg_no", "i", "region_id", "o.*")
+
+
+@F.udf(_list(entry=T.IntegerType(), f2=T.IntegerType(), f4=T.IntegerType(), f8=T.IntegerType(), full=T.IntegerType(), y=T.IntegerType(), cr=T.IntegerType(), cb=T.IntegerType(), t=T.IntegerType()), useArrow=True)
+def clut_entries_of(body):
+    """Entries of a table's body in 8 bits a value; those of reduced resolution give the high bits, and all of t."""
+    body, out, at = bytes(body or b""), [], 2
+    while at + 4 <= len(body):
+        flags = body[at + 1]
+        if flags & 1:
+            if at + 6 > len(body):
+                break
+            values, size = tuple(body[at + 2 : at + 6]), 6
+        else:
+            v = int.from_bytes(body[at + 2 : at + 4], "big")
+            values, size = (v >> 10 << 2, (v >> 6 & 15) << 4, (v >> 2 & 15) << 4, (v & 3) * 85), 4
+        out.append((body[at], flags >> 7, flags >> 6 & 1, flags >> 5 & 1, flags & 1, *values))
+        at += size
+    return out
 
 
 def dvb_clut_entries(segments: DataFrame) -> DataFrame:
-    """Full-range entries."""
-    b, at = F.col("body"), F.col("at")
-    return _repeated(segments, 0x12, 2, 6).filter(bits(u(b, at + 1, 1), 0, 1) == 1).select(*KEY, u(b, 0, 1).alias("clut_id"), *[u(b, at + k, 1).alias(n) for k, n in ((0, "entry"), (2, "y"), (3, "cr"), (4, "cb"), (5, "t"))])
+    """Entries of colour tables with the tables (f2, f4, f8) they are for."""
+    s = segments.filter("type = 18").select(*KEY, "seg_no", u(F.col("body"), 0, 1).alias("clut_id"), F.posexplode(clut_entries_of("body")).alias("i", "e"))
+    return s.select(*KEY, "seg_no", "i", "clut_id", "e.*")
 
 
 def dvb_objects(segments: DataFrame) -> DataFrame:
@@ -367,7 +459,7 @@ def dvb_objects(segments: DataFrame) -> DataFrame:
     top, bottom = u(b, 3, 2).cast("int"), u(b, 5, 2).cast("int")
     s = segments.filter((F.col("type") == 0x13) & (bits(u(b, 2, 1), 2, 2) == 0))
     first = F.substring(b, F.lit(8), top)
-    return s.select(*KEY, u(b, 0, 2).alias("object_id"), bits(u(b, 2, 1), 1, 1).alias("non_modifying"), first.alias("top"), F.when(bottom == 0, first).otherwise(F.substring(b, top + 8, bottom)).alias("bottom"))
+    return s.select(*KEY, "seg_no", u(b, 0, 2).alias("object_id"), bits(u(b, 2, 1), 1, 1).alias("non_modifying"), first.alias("top"), F.when(bottom == 0, first).otherwise(F.substring(b, top + 8, bottom)).alias("bottom"))
 
 
 def dvb_displays(segments: DataFrame) -> DataFrame:
@@ -375,6 +467,51 @@ def dvb_displays(segments: DataFrame) -> DataFrame:
     return segments.filter("type = 20").select(*KEY, (u(b, 1, 2) + 1).alias("width"), (u(b, 3, 2) + 1).alias("height"))
 
 
+@F.udf(_list(version=T.IntegerType(), default_shift=T.IntegerType(), region_id=T.IntegerType(), subregion=T.IntegerType(), x=T.IntegerType(), width=T.IntegerType(), shift=T.IntegerType(), sixteenths=T.IntegerType(), intervals=T.ArrayType(T.IntegerType()), interval_ms=T.IntegerType(), shifts=T.ArrayType(T.IntegerType())), useArrow=True)
+def disparities_of(body):
+    """Disparity of a page (region_id null) and of every part of its regions, with later updates."""
+    body, at, out = bytes(body or b""), 2, []
+    signed = lambda v: v - 256 if v > 127 else v
+
+    def updates(on):
+        nonlocal at
+        if not on or at + 5 > len(body):
+            return [], None, []
+        ms, n = (int.from_bytes(body[at + 1 : at + 4], "big") + 45) // 90, body[at + 4]
+        pairs = body[at + 5 : at + 5 + 2 * n]
+        at += 5 + 2 * n
+        return list(pairs[0::2]), ms, [signed(v) for v in pairs[1::2]]
+
+    if len(body) < 2:
+        return out
+    version, default = body[0] >> 4, signed(body[1])
+    out.append((version, default, None, None, None, None, None, None, *updates(body[0] >> 3 & 1)))
+    while at + 2 <= len(body):
+        region, flags = body[at], body[at + 1]
+        at += 2
+        for k in range((flags & 3) + 1):
+            x = width = None
+            if flags & 3:
+                x, width = int.from_bytes(body[at : at + 2], "big"), int.from_bytes(body[at + 2 : at + 4], "big")
+                at += 4
+            if at + 2 > len(body):
+                return out
+            shift, part = signed(body[at]), body[at + 1] >> 4
+            at += 2
+            out.append((version, default, region, k, x, width, shift, part, *updates(flags >> 7)))
+    return out
+
+
+def dvb_disparities(segments: DataFrame) -> DataFrame:
+    """Rows of disparity segments: the page's default, then every part of a region."""
+    return segments.filter("type = 21").select(*KEY, "seg_no", F.explode(disparities_of("body")).alias("d")).select(*KEY, "seg_no", "d.*")
+
+
+def dvb_complete_pages(segments: DataFrame) -> DataFrame:
+    """Display sets with complete: whether an end segment came and a region is defined."""
+    return segments.groupBy(*KEY).agg((F.max((F.col("type") == 0x80).cast("int")) + F.max((F.col("type") == 0x11).cast("int")) == 2).alias("complete"))
+
+
 def dvb_subtitles(pages: DataFrame) -> DataFrame:
     """file_id, page_id, start_ms, end_ms of shown pages: until the timeout or the page's next composition,
     five seconds if that gives no time."""

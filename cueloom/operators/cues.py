@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from cueloom.functions import markup, timecode
+from cueloom.functions import bom, markup, timecode
 
 CUE = ["file_id", "cue_no", "start_ms", "end_ms", "text"]
 
@@ -157,6 +157,12 @@ def check_lines(lines: DataFrame) -> DataFrame:
     return _broken(df, {"blank_lines": (F.col("line") == "") & (F.col("__p") == ""), "not_closed": F.col("__last") & (F.col("line") != "")})
 
 
+def check_marks(files: DataFrame) -> DataFrame:
+    """file_id, cue_no 0, code, severity and the mark's name of files (file_id, content) that begin with a byte-order mark."""
+    found = files.select("file_id", F.lit(0).alias("cue_no"), F.lit("bom").alias("code"), F.lit(RULES["bom"]).alias("severity"), bom.bom_name(F.col("content")).alias("mark"))
+    return found.filter("mark IS NOT NULL")
+
+
 def summary(diagnostics: DataFrame, cues: DataFrame) -> DataFrame:
     """file_id, cues, errors, warnings and first_error of every file."""
     rank = F.create_map(*[F.lit(x) for i, c in enumerate(RULES) for x in (c, i)])

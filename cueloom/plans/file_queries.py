@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cueloom.functions import binary, encoding, timecode
 from cueloom.operators import binary_streams as bs
 from cueloom.operators import cues as ops
+from cueloom.operators import dictionaries, pictures
 from cueloom.plans.adapters import cues_conv, table, with_adapters
 from cueloom.sources import sinks, text_files
 
@@ -213,7 +214,7 @@ def _dvb(s: SparkSession, d: str) -> DataFrame:
 
 
 add("dvb_display_sets", lambda s, d: bs.dvb_subtitles(bs.dvb_pages(_dvb(s, d))), "SELECT s_suppkey AS file_id, 1 AS page_id, s_suppkey * 10 AS start_ms, s_suppkey * 10 + CASE WHEN s_suppkey % 4 IN (1, 2) THEN s_suppkey % 4 * 1000 ELSE 2500 END AS end_ms FROM supplier")
-add("dvb_region_places", lambda s, d: bs.dvb_region_places(_dvb(s, d)).drop("unit"), "SELECT s_suppkey AS file_id, 257::BIGINT AS pid, 1 AS page_id, 0::BIGINT AS region_id, 16::BIGINT AS x, 32::BIGINT AS y FROM supplier")
+add("dvb_region_places", lambda s, d: bs.dvb_region_places(_dvb(s, d)).drop("unit", "seg_no", "i"), "SELECT s_suppkey AS file_id, 257::BIGINT AS pid, 1 AS page_id, 0::BIGINT AS region_id, 16::BIGINT AS x, 32::BIGINT AS y FROM supplier")
 
 
 def _classes(s: SparkSession, d: str) -> DataFrame:
@@ -225,6 +226,77 @@ def _classes(s: SparkSession, d: str) -> DataFrame:
 add("pid_classify", _classes, "SELECT s_suppkey AS file_id, c AS class, n::BIGINT AS n FROM supplier, (VALUES ('psi', 3), ('pes', 2), ('null', 1)) x(c, n)")
 add("sdt_services", lambda s, d: bs.services(bs.psi_sections(bs.ts_packets(_ts_files(s, d)).filter("pid = 17"))), "SELECT s_suppkey AS file_id, 2 AS pkt_no, 1 AS service_id, 1 AS type, 'A' AS provider, 'Bc' AS name FROM supplier")
 
+# pictures of pages and of sub-pictures, whole headers
+
+
+def _unit(s: SparkSession, d: str) -> DataFrame:
+    """Segments of one display set a part: two regions, one with colours of its own, and disparities."""
+    seg = lambda kind, *body: F.concat(F.lit(f"0F{kind}0001"), _hex(F.length(F.concat(*body)) / 2, 4), *body)
+    const = lambda x: F.lit(x.replace(" ", ""))
+    payload = F.concat(
+        F.lit("2000"), seg("10", const("0508 00FF000A0014 01FF000C0015")),
+        seg("11", const("00 08 0003 0002 24 00 00 00 0001 0000 0000")), seg("11", const("01 08 0004 0002 48 01 00 00 0002"), _hex(F.col("p_partkey") % 3, 4), const("0000")),
+        seg("12", const("00 0F 01 81 C8808000 02 80 A221 03 81 00808000")), seg("13", const("0001 00 0004 0000 106C00F0")), seg("13", const("0002 02 0004 0000 111700F0")),
+        seg("15", const("28FE 07015F90 02 0103 02FC 01 81 00100020 0580 0300005A00 00300040 FF00 0300005A00")), seg("80", const("")), F.lit("FF"),
+    )
+    units = table(s, d, "part").select(F.col("p_partkey").alias("file_id"), F.lit(1).alias("pid"), F.lit(1).alias("unit"), (F.col("p_partkey") * 10).alias("pts_ms"), F.lit(0xBD).alias("stream_id"), F.unhex(payload).alias("payload"))
+    return bs.dvb_segments(units)
+
+
+def _compositions(s: SparkSession, d: str) -> DataFrame:
+    return pictures.compositions(_unit(s, d)).select("file_id", "left", "top", "width", "height", F.hex("pixels").alias("pixels"))
+
+
+_LINE = "C8C8C8FFA8A8A8AA"
+add("dvb_compositions", _compositions, f"SELECT p_partkey AS file_id, 10::BIGINT AS \"left\", 20::BIGINT AS top, 4 + p_partkey % 3 AS width, 3::BIGINT AS height, '{_LINE}' || repeat('00000000', 2 + p_partkey % 3) || '{_LINE}' || repeat('00000000', 1 + p_partkey % 3) || 'FFFFFFFF' || repeat('00000000', 3 + p_partkey % 3) || 'FFFFFFFF' AS pixels FROM part")
+add("dvb_object_sizes", lambda s, d: pictures.object_sizes(pictures.object_spans(_unit(s, d))).select("file_id", "object_id", "width", "height"), "SELECT p_partkey AS file_id, o::BIGINT AS object_id, w::INT AS width, 2 AS height FROM part, (VALUES (1, 3), (2, 2)) x(o, w)")
+add("dvb_clut_entries", lambda s, d: bs.dvb_clut_entries(_unit(s, d)).select("file_id", "entry", "full", "y", "cr", "cb", "t"), "SELECT p_partkey AS file_id, x.* FROM part, (VALUES (1, 1, 200, 128, 128, 0), (2, 0, 160, 128, 128, 85), (3, 1, 0, 128, 128, 0)) x(entry, \"full\", y, cr, cb, t)")
+add("dvb_disparities", lambda s, d: bs.dvb_disparities(_unit(s, d)).select("file_id", "version", "default_shift", "region_id", "subregion", "x", "width", "shift", "sixteenths", F.array_join("intervals", ",").alias("intervals"), "interval_ms", F.array_join("shifts", ",").alias("shifts")), "SELECT p_partkey AS file_id, x.* FROM part, (VALUES (2, -2, NULL, NULL, NULL, NULL, NULL, NULL, '1,2', 1000, '3,-4'), (2, -2, 1, 0, 16, 32, 5, 8, '', 1, ''), (2, -2, 1, 1, 48, 64, -1, 0, '', 1, '')) x(version, default_shift, region_id, subregion, x, width, shift, sixteenths, intervals, interval_ms, shifts)")
+add("dvb_complete_pages", lambda s, d: bs.dvb_complete_pages(_unit(s, d)).select("file_id", "page_id", "complete"), "SELECT p_partkey AS file_id, 1 AS page_id, TRUE AS complete FROM part")
+add("dvb_segment_names", lambda s, d: dictionaries.named(_unit(s, d), "segment_types", "type").groupBy("type", "name").agg(F.count("*").alias("n")), "SELECT x.t AS type, x.n AS name, k * count(*) AS n FROM part, (VALUES (16, 'page composition', 1), (17, 'region composition', 2), (18, 'CLUT definition', 1), (19, 'object data', 2), (21, 'disparity signalling', 1), (128, 'end of display set', 1)) x(t, n, k) GROUP BY x.t, x.n, k")
+
+
+def _sub_pictures(s: SparkSession, d: str) -> DataFrame:
+    """Units of two lines of four pixels with an end of their own."""
+    spu = "0026 0008 11 600030 0000 0020 033210 04FFF0 05010013020021 0600040005 01 FF 0058 0020 02 FF".replace(" ", "")
+    packet = F.concat(F.lit(f"000001BD{3 + 5 + 1 + len(spu) // 2:04X}818005"), timecode.ms_to_pes_stamp(F.col("p_partkey") * 40), F.lit("20" + spu + "000001B9"))
+    files = table(s, d, "part").select(F.col("p_partkey").alias("file_id"), F.unhex(packet).alias("content"))
+    return bs.sub_pictures(bs.pes_payloads(bs.ps_packets(files)))
+
+
+def _sub_images(s: SparkSession, d: str) -> DataFrame:
+    palette = table(s, d, "part").select(F.col("p_partkey").alias("file_id"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("color")).withColumn("rgb", F.col("color").cast("long") * 0x111111)
+    out = pictures.sub_picture_images(pictures.sub_picture_spans(_sub_pictures(s, d)), palette)
+    return out.select("file_id", "x0", "y0", "width", "height", F.hex("pixels").alias("pixels"))
+
+
+add("vob_images", _sub_images, f"SELECT p_partkey AS file_id, 16::BIGINT AS x0, 32::BIGINT AS y0, 4 AS width, 2 AS height, '{'111111FF' * 4 + '222222FF' + '333333FF' * 3}' AS pixels FROM part")
+add("vob_times", lambda s, d: pictures.sub_picture_times(_sub_pictures(s, d)).select("file_id", "start_ms", "end_ms"), "SELECT p_partkey AS file_id, p_partkey * 40 AS start_ms, p_partkey * 40 + 1001 AS end_ms FROM part")
+
+
+def _pes_headers(s: SparkSession, d: str) -> DataFrame:
+    escr = 1 << 42 | 1 << 26 | 1 << 10 | 1 | 5 << 11 | 7 << 1
+    stamp = lambda ms: timecode.ms_to_pes_stamp(ms)
+    k = F.col("p_partkey")
+    tail = f"{escr:012X}" + f"{0x800001 | 1000 << 1:06X}" + "55" + "AA" + "BEEF" + "F1" + "00112233445566778899AABBCCDDEEFF" + "02AABB" + "89C3" + "6064" + "8100"
+    data = F.unhex(F.concat(F.lit("000001BD0050" + "8DFF" + f"{10 + len(tail) // 2:02X}"), stamp(k * 40), stamp(k * 20), F.lit(tail)))
+    fields = ["scrambling", "priority", "aligned", "copyright", "original", "malformed", "pts", "dts", "escr", "es_rate", "trick_mode", "trick_bits", "copy_info", "previous_crc", "sequence", "mpeg1", "stuffing", "std_scale", "std_size", "extension_2"]
+    out = bs.pes_headers(table(s, d, "part").select(k.alias("file_id"), data.alias("data")))
+    return out.select("file_id", *fields, F.hex("private_data").alias("private_data"), F.hex("pack_header").alias("pack_header"))
+
+
+add("pes_headers", _pes_headers, "SELECT p_partkey AS file_id, 0::BIGINT AS scrambling, 1::BIGINT AS priority, 1::BIGINT AS aligned, 0::BIGINT AS copyright, 1::BIGINT AS original, FALSE AS malformed, p_partkey * 3600 AS pts, p_partkey * 1800 AS dts, 1507::BIGINT AS escr, 1000::BIGINT AS es_rate, 2::BIGINT AS trick_mode, 21::BIGINT AS trick_bits, 42::BIGINT AS copy_info, 48879::BIGINT AS previous_crc, 9::BIGINT AS sequence, 1::BIGINT AS mpeg1, 3::BIGINT AS stuffing, 1::BIGINT AS std_scale, 100::BIGINT AS std_size, 1::BIGINT AS extension_2, '00112233445566778899AABBCCDDEEFF' AS private_data, 'AABB' AS pack_header FROM part")
+
+
+def _adaptation(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    head = F.concat(F.lit("47410130" + "22" + "FF"), _hex(F.shiftleft(k, 15) + 0x7E00 + 5, 12), F.lit(f"{2 << 15 | 0x7E00 | 1:012X}" + "FE" + "02ABCD" + "0B" + "FF" + "8123" + "C003E8" + "31000100B5"))
+    out = bs.adaptation_fields(table(s, d, "supplier").select(k.alias("file_id"), F.lit(0).alias("pkt_no"), F.unhex(F.rpad(head, 376, "F")).alias("data")))
+    return out.withColumn("private_data", F.hex("private_data"))
+
+
+add("ts_adaptation_fields", _adaptation, "SELECT s_suppkey AS file_id, 0 AS pkt_no, 34::BIGINT AS af_length, 1::BIGINT AS discontinuity, 1::BIGINT AS random_access, 1::BIGINT AS es_priority, s_suppkey * 300 + 5 AS pcr, 601::BIGINT AS opcr, -2::BIGINT AS splice_countdown, 'ABCD' AS private_data, 1::BIGINT AS ltw_valid, 291::BIGINT AS ltw_offset, 1000::BIGINT AS piecewise_rate, 3::BIGINT AS splice_type, 90::BIGINT AS next_dts FROM supplier")
+
 # encodings
 
 _CODECS = ["utf-8", "cp1252", "utf-16-le", "utf-8-sig"]
@@ -239,3 +311,19 @@ def _encoded(s: SparkSession, d: str) -> DataFrame:
 
 add("detect_encoding", lambda s, d: _encoded(s, d).select("doc_id", encoding.detect("content").alias("e")).select("doc_id", "e.*"))
 add("transcode_utf8", lambda s, d: _encoded(s, d).select("doc_id", F.decode(encoding.to_utf8(F.col("content")), "UTF-8").alias("text")), "SELECT doc_id, text FROM documents")
+
+
+def _hinted(s: SparkSession, d: str) -> DataFrame:
+    return _encoded(s, d).select("doc_id", encoding.detect_hinted("content", F.lit(None).cast("string"), F.lit("de"), F.lit(None).cast("string"))["encoding"].alias("encoding"))
+
+
+add("detect_encoding_hinted", _hinted)
+add("encoding_names", lambda s, d: encoding.encoding_names(s).groupBy("family").agg(F.count("*").alias("n")), "SELECT * FROM (VALUES ('unicode', 8::BIGINT), ('multi', 7), ('single', 12), ('ascii', 1), ('binary', 1)) x(family, n)")
+
+
+def _marked(s: SparkSession, d: str) -> DataFrame:
+    content = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    return ops.check_marks(table(s, d, "documents").select(F.col("doc_id").alias("file_id"), content.alias("content")))
+
+
+add("check_bom", _marked, "SELECT doc_id AS file_id, 0 AS cue_no, 'bom' AS code, 'INFO' AS severity, 'UTF-8' AS mark FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL")

@@ -79,3 +79,67 @@ def reassemble_stream(packets: DataFrame) -> DataFrame:
     return packets.groupBy("file_id", "pid").applyInPandasWithState(
         step, "file_id long, pid long, data binary", "held binary", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def pgs_subtitles_stream(compositions: DataFrame) -> DataFrame:
+    """pgs_subtitles() for compositions that arrive in order over several batches; a file's shown object is its state.
+
+    A subtitle is emitted when it ends; one that a file leaves open comes with a row of null pts_ms.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, shown, last = state.get if state.exists else (None, None, None)
+        out = []
+        rows = pd.concat(list(batches)).sort_values("seg_no")
+        for pts, epoch, n, obj in zip(rows["pts_ms"], rows["state"], rows["n_objects"], rows["object_id"], strict=True):
+            ends = pd.isna(pts)
+            at = last if ends else int(pts)
+            shows = not ends and n > 0
+            if start is not None and (not shows or epoch in (0x40, 0x80) or obj != shown):
+                out.append((key[0], start, at))
+                start = None
+            if shows and start is None:
+                start = at
+            shown, last = int(obj) if shows else None, at
+        if last is not None:
+            state.update((start, shown, last))
+        yield pd.DataFrame(out, columns=["file_id", "start_ms", "end_ms"])
+
+    rows = compositions.select("file_id", "seg_no", "pts_ms", "state", "n_objects", "object_id")
+    return rows.groupBy("file_id").applyInPandasWithState(step, "file_id long, start_ms long, end_ms long", "start_ms long, shown long, last_ms long", "append", GroupStateTimeout.NoTimeout)
+
+
+def dvb_pages_stream(pages: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """dvb_subtitles() for pages that arrive in order: a page ends with the next composition, or once the watermark
+    passes its timeout. late: how far behind the latest stamp of any stream a composition may come."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        start, timeout = state.get if state.exists else (None, 0)
+
+        def close(at: int | None) -> None:
+            ends = [x for x in (start + timeout * 1000 if timeout else None, at) if x is not None]
+            end = min(ends, default=start)
+            out.append((*key, start, end if end > start else start + 5000))
+
+        if state.hasTimedOut:
+            close(None)
+            state.remove()
+        else:
+            for _, row in pd.concat(list(batches)).sort_values("pts_ms").iterrows():
+                if start is not None:
+                    close(int(row["pts_ms"]))
+                start, timeout = (int(row["pts_ms"]), int(row["timeout_s"])) if row["n_regions"] > 0 else (None, 0)
+            if start is None:
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((start, timeout))
+                if timeout:
+                    state.setTimeoutTimestamp(max(start + timeout * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["file_id", "pid", "page_id", "start_ms", "end_ms"])
+
+    rows = pages.select("file_id", "pid", "page_id", "pts_ms", "timeout_s", "n_regions", F.timestamp_millis("pts_ms").alias("at")).withWatermark("at", late)
+    return rows.groupBy("file_id", "pid", "page_id").applyInPandasWithState(
+        step, "file_id long, pid long, page_id long, start_ms long, end_ms long", "start_ms long, timeout_s int", "append", GroupStateTimeout.EventTimeTimeout
+    )

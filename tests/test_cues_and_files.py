@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from cueloom.functions import binary, bom, encoding, markup, timecode
 from cueloom.operators import cues as ops
+from cueloom.operators import pictures
 from cueloom.sources import sinks, text_files
 from cueloom.streaming import incremental
 
@@ -128,3 +129,48 @@ def test_writing_refuses_to_replace(spark, tmp_path):
     assert "".join(p.read_text() for p in (tmp_path / "out" / "file_id=1").glob("*.txt")) == "a\nb\n"
     with pytest.raises(Exception, match="exists"):
         sinks.write_lines(lines, str(tmp_path / "out"))
+
+
+def run_stream(spark, tmp_path, rows, schema, operator, name):
+    """Rows of operator over a stream of one file a batch."""
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    query = operator(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    query.stop()
+    return spark.sql(f"SELECT * FROM {name}").collect()
+
+
+def test_epochs_over_batches(spark, tmp_path):
+    schema = "file_id long, seg_no int, pts_ms long, state long, n_objects long, object_id long"
+    rows = [[(1, 1, 0, 0x80, 1, 0)], [(1, 2, 1000, 0, 0, None), (1, 3, 1500, 0, 1, 1)], [(1, 4, 1800, 0, 1, 2), (1, 5, 1900, 0, 1, 2)], [(1, 6, None, None, None, None)]]
+    got = run_stream(spark, tmp_path, rows, schema, incremental.pgs_subtitles_stream, "epochs")
+    assert sorted((r.start_ms, r.end_ms) for r in got) == [(0, 1000), (1500, 1800), (1800, 1900)]
+
+
+def test_page_timeouts_over_batches(spark, tmp_path):
+    schema = "file_id long, pid long, page_id long, pts_ms long, timeout_s int, n_regions int"
+    rows = [[(1, 1, 1, 1000, 2, 1), (2, 1, 1, 1000, 0, 1)], [(1, 1, 1, 2000, 2, 1)], [(3, 1, 1, 9000, 0, 0)], [(3, 1, 1, 9500, 0, 0)], [(2, 1, 1, 9600, 0, 0)]]
+    got = run_stream(spark, tmp_path, rows, schema, incremental.dvb_pages_stream, "timeouts")
+    assert sorted((r.file_id, r.start_ms, r.end_ms) for r in got) == [(1, 1000, 2000), (1, 2000, 4000), (2, 1000, 9600)]
+
+
+def test_hints_settle_near_ties():
+    data = "слово дело".encode("koi8_r")
+    plain, hinted = encoding.detect_bytes(data), encoding.detect_bytes(data, encoding.hinted("KOI8-R", "ru", "example.ru"))
+    assert plain[0] in encoding.SINGLE and hinted[0] == "koi8_r"
+    assert encoding.detect_bytes("これは日本語の文章です".encode("shift_jis"), encoding.hinted(None, "ru"))[0] == "shift_jis"
+    assert encoding.hinted("no such charset", "xx", "example.zz") == {} and set(encoding.hinted("ISO-8859-1")) == {"cp1252"}
+
+
+def test_pictures_without_objects_or_colours(spark):
+    schema = "file_id long, pid long, unit long, pts_ms long, seg_no int, type int, page_id int, body binary"
+    empty = spark.createDataFrame([], schema)
+    assert pictures.compositions(empty).count() == 0
+    page, region, obj = bytes.fromhex("0508" + "00FF00000000"), bytes.fromhex("0008" + "00080008" + "6C" + "00" + "0000" + "000100000000"), bytes.fromhex("0001" + "00" + "00060000" + "1205010000F0")
+    rows = [(1, 1, 1, 0, i, kind, 1, body) for i, (kind, body) in enumerate(((0x10, page), (0x11, region), (0x13, obj)))]
+    got = pictures.compositions(spark.createDataFrame(rows, schema)).first()
+    assert (got.width, got.height) == (2, 2) and bytes(got.pixels) == bytes.fromhex("FF00FF40FF000040" * 2)
+    truncated = [(1, 1, 1, 0, i, kind, 1, body) for i, (kind, body) in enumerate(((0x10, b""), (0x11, b"\0"), (0x12, b"\0"), (0x13, b"\0"), (0x15, b"")))]
+    assert pictures.compositions(spark.createDataFrame(truncated, schema)).count() == 0
