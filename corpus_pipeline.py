@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import mixing, pieces, pii, quality, simhash
+from cueloom.llm import mixing, pieces, pii, quality, similar
 from cueloom.llm.common import scratch_folder
 
 
@@ -18,7 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    """One text of those linked by a Jaccard similarity of 0.8 of their five-word shingles."""
+    return similar.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: Fingerprints and Viterbi encoding are beyond SQL; tests compare the stages with brute force.
+#: Shingle sets and Viterbi encoding are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -126,14 +126,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return joined.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with one row of each component: that of the least key (null last), whole row unchanged."""
-    mark = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), mark.alias("mark"))
-    marked = cut_lineage(fingerprints(rows))
-    roots = classes(marked, "key").select("fp", "root")
+def least_rows(docs: DataFrame, rooted: DataFrame, mark: Column) -> DataFrame:
+    """The row of docs of the least key (null last) of each root; rooted: root, key, mark of every row."""
     # the row of the least key, then mark; counted, as rows may be repeated
-    each = marked.join(roots, "fp").groupBy("root", "key", "mark").agg(F.count("*").alias("n"))
+    each = rooted.groupBy("root", "key", "mark").agg(F.count("*").alias("n"))
     order = F.struct(F.col("key").isNull().alias("null"), F.col("key").alias("key"), F.col("mark").alias("mark"), F.col("n").alias("n"))
     chosen = cut_lineage(each.groupBy("root").agg(F.min(order).alias("c")).select("c.key", "c.mark", "c.n"))
     with_mark = docs.withColumn("__mark", mark)
@@ -141,3 +137,12 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     once = with_mark.join(chosen.filter("n = 1").select(F.col("mark").alias("__mark")), "__mark", "left_semi")
     more = with_mark.join(chosen.filter("n > 1").select(F.col("mark").alias("__mark")), "__mark", "left_semi")
     return once.drop("__mark").unionByName(more.dropDuplicates(["__mark"]).drop("__mark"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with one row of each component: that of the least key (null last), whole row unchanged."""
+    mark = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), mark.alias("mark"))
+    marked = cut_lineage(fingerprints(rows))
+    roots = classes(marked, "key").select("fp", "root")
+    return least_rows(docs, marked.join(roots, "fp"), mark)
