@@ -61,6 +61,20 @@ def mod97(code: Column) -> Column:
     return let(F.regexp_replace(code, " ", ""), lambda s: (F.length(s) >= 15) & (F.length(s) <= 34) & (remainder(s) == 1))
 
 
+#: Characters of account numbers by length, and the countries that have them.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR",
+    27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+#: By the country's length, so that a word that follows is not taken in; else one run, groups of four and a shorter one, or any grouping.
+_IBAN = (
+    r"(?<![A-Za-z0-9])(?:(?:"
+    + "|".join(rf"(?:{of})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, of in IBAN_COUNTRIES.items())
+    + r")(?![A-Za-z0-9])|[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+"
+    r"|(?:\x20[A-Z0-9]{4}(?![A-Za-z0-9])){2,7}+(?:\x20[A-Z0-9]{1,3}(?![A-Za-z0-9]))?+"
+    r"|(?:\x20?[A-Z0-9]){11,30}+)(?![A-Za-z0-9]))"
+)
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
@@ -113,7 +127,7 @@ KINDS = [
     ),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+        _IBAN,
         lambda t: t.rlike("[A-Z]{2}[0-9]{2}"),
         mod97,
         0.8,
@@ -131,8 +145,8 @@ KINDS = [
     ),
     Kind(
         "secret",
-        r"(?<![A-Za-z0-9_])(?:token|api_key|apikey|password|secret)\x20?[=:]\x20?\x22?[A-Za-z0-9_/+-]{16,}+",
-        lambda t: t.rlike(r"(token|key|password|secret)\x20?[=:]"),
+        r"(?:(?<![A-Za-z0-9])|(?<=[a-z])(?=[A-Z]))(?i:token|api[_-]?key|access[_-]?key|secret[_-]?key|password|secret)\x20?[=:]\x20?\x22?[A-Za-z0-9_/+-]{16,}+",
+        lambda t: t.rlike(r"(?i)(token|key|password|secret)\x20?[=:]"),
         lambda x: F.lit(True),
         0.7,
         "token|key|secret|login",
