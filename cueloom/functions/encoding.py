@@ -6,6 +6,7 @@ from __future__ import annotations
 import codecs
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
@@ -13,8 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes looked at.
-MOST = 256 * 1024
 MARKS = [(b"\xef\xbb\xbf", "utf-8"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xff\xfe\x00\x00", "utf-32-le"), (b"\xfe\xff", "utf-16-be"), (b"\xff\xfe", "utf-16-le"), (b"\x84\x31\x95\x33", "gb18030")]
 MULTI = ["euc_jp", "shift_jis", "euc_kr", "gb18030", "big5"]
 SINGLE = ["cp1252", "cp1250", "cp1251", "koi8_r", "iso8859_5", "iso8859_7", "cp1255", "cp1256", "iso8859_9", "cp1257", "cp874"]
@@ -40,33 +39,33 @@ def _kind(c: str) -> tuple[str, bool]:
 
 def _score(text: str, encoding: str) -> float:
     """Mean plausibility of the characters beyond ASCII."""
+    # each character counts with its neighbours, so of ASCII runs only the ends matter
+    text = re.sub(r"([\x00-\x7f])[\x00-\x7f]+([\x00-\x7f])", r"\1\2", text)
     total, n = 0.0, 0
-    for m in re.finditer(r"[^\x00-\x7f]", text):
-        i = m.start()
-        c = m[0]
-        n += 1
-        script, letter = _kind(c)
-        if not letter:
-            total += 0.2 if c in "«»„“”’–—…·。、，「」" else -1.0
-            continue
-        if encoding in MULTI:
-            total += 1.0 if c in FREQUENT or script in ("HIRAGANA", "KATAKANA") or "가" <= c <= "힣" else 0.25 if script == "CJK" else -0.5
-            continue
-        before = text[i - 1] if i else " "
-        after = text[i + 1] if i + 1 < len(text) else " "
-        if script == "LATIN":
-            total += 0.8 if c.lower() in LATIN.get(encoding, "") else -0.4
-            if c.isupper() and before.islower():
-                total -= 1.0
-            continue
-        for other in (before, after):
-            same, is_letter = _kind(other)
-            total += 0.5 if same == script else 0.1 if not is_letter else -0.8
-        if c.isupper() and (before.islower() or (before.isupper() and after.islower())):
-            total -= 1.0
+    for (before, c, after), times in Counter(zip(" " + text, text, text[1:] + " ", strict=False)).items():
+        if c > "\x7f":
+            n += times
+            total += times * _plausible(before, c, after, encoding)
     return total / n if n else 0.0
 
 
+def _plausible(before: str, c: str, after: str, encoding: str) -> float:
+    script, letter = _kind(c)
+    if not letter:
+        return 0.2 if c in "«»„“”’–—…·。、，「」" else -1.0
+    if encoding in MULTI:
+        return 1.0 if c in FREQUENT or script in ("HIRAGANA", "KATAKANA") or "가" <= c <= "힣" else 0.25 if script == "CJK" else -0.5
+    if script == "LATIN":
+        return (0.8 if c.lower() in LATIN.get(encoding, "") else -0.4) - (1.0 if c.isupper() and before.islower() else 0.0)
+    total = 0.0
+    for other in (before, after):
+        same, is_letter = _kind(other)
+        total += 0.5 if same == script else 0.1 if not is_letter else -0.8
+    if c.isupper() and (before.islower() or (before.isupper() and after.islower())):
+        total -= 1.0
+    return total
+
+
 #: Encodings that texts of a language often have; a country's domain stands for its language.
 LANGUAGE_ENCODINGS = {
     "ja": ("shift_jis", "euc_jp"), "ko": ("euc_kr",), "zh": ("gb18030", "big5"), "ru": ("cp1251", "koi8_r", "iso8859_5"), "bg": ("cp1251",), "uk": ("cp1251", "koi8_r"), "el": ("iso8859_7",), "he": ("cp1255",), "ar": ("cp1256",),
@@ -115,8 +114,7 @@ def encoding_names(spark: SparkSession) -> DataFrame:
 
 def detect_bytes(data: bytes, hints: dict[str, float] | None = None) -> tuple[str, int, bool, str | None]:
     """Encoding, bytes looked at, whether that is reliable, and the second best. hints: scores to add by encoding."""
-    part = data[:MOST]
-    used = len(part)
+    part, used = data, len(data)
     if not part:
         return "iso8859_1", 0, True, None
     for mark, name in MARKS:
@@ -129,7 +127,7 @@ def detect_bytes(data: bytes, hints: dict[str, float] | None = None) -> tuple[st
         if max(even, odd) > 2 * min(even, odd) + 2:
             return ("utf-16-be" if even > odd else "utf-16-le"), used, True, None
         return "binary", used, True, None
-    if all(b < 128 for b in part):
+    if part.isascii():
         if re.search(rb"\x1b[$(][@BJI]", part):
             return "iso2022_jp", used, True, None
         if b"~{" in part and b"~}" in part:
@@ -137,24 +135,22 @@ def detect_bytes(data: bytes, hints: dict[str, float] | None = None) -> tuple[st
         if re.search(rb"\+[A-Za-z0-9/]{3,}-", part) and not re.search(rb"\+(?![A-Za-z0-9/]{2,}-|-)", part):
             return "utf-7", used, True, None
         return "ascii", used, True, None
-    cut = part if used == len(data) else part[:-4]
     try:
-        text = cut.decode("utf-8")
+        text = part.decode("utf-8")
         try:
             text.encode("cp1252").decode("utf-8")
             return "utf-8-utf-8", used, True, "utf-8"
         except UnicodeError:
             return "utf-8", used, True, None
-    except UnicodeDecodeError as e:
-        if used < len(data) and e.start >= len(cut) - 4:
-            return "utf-8", used, True, None
+    except UnicodeDecodeError:
+        pass
     ranked = []
     for name in [*MULTI, *SINGLE]:
         try:
-            ranked.append((_score(cut[:16384].decode(name), name), name))
+            ranked.append((_score(part.decode(name), name), name))
         except UnicodeDecodeError as e:
-            if e.start >= min(len(cut), 16384) - 4 and name in MULTI:
-                ranked.append((_score(cut[: e.start].decode(name), name), name))
+            if e.start >= used - 4 and name in MULTI:
+                ranked.append((_score(part[: e.start].decode(name), name), name))
     ranked = [(score + (hints or {}).get(name, 0.0), name) for score, name in ranked]
     ranked.sort(key=lambda x: (-x[0], [*MULTI, *SINGLE].index(x[1])))
     if not ranked:
