@@ -47,7 +47,7 @@ def cues_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cues_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The HTML of pages with tags of every class and misspelling put in."""
     marked = F.concat(
-        F.lit('{ \\an8 }< i >'), F.substring("html", 1, 40), F.lit('</ i><FONT COLOR = "#ff0000">'), F.substring("html", 41, 200), F.lit("< /font ><U>x</u ><s>"), F.substring("html", 241, 100000)
+        F.lit('{ \\an8 }< i >'), F.substring("html", 1, 40), F.lit('</ i><FONT COLOR = "#ff0000">'), F.substring("html", 41, 200), F.lit("< /font ><U>x</u ><s>"), F.substring("html", F.lit(241), F.length("html"))
     )
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.lit(1).cast("long").alias("cue_no"), F.lit(0).cast("long").alias("start_ms"), F.lit(1000).cast("long").alias("end_ms"), marked.alias("text"))
 

@@ -92,7 +92,7 @@ def _in_section(all_lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     head = F.when(F.col("line").rlike(r"^\[.*\]\s*$"), F.trim("line"))
     df = all_lines.withColumn("section", F.last(head, ignorenulls=True).over(w))
-    form = F.when(F.col("line").startswith("Format:"), F.transform(F.split(F.substring("line", 8, 10000), ","), lambda c: F.trim(c)))
+    form = F.when(F.col("line").startswith("Format:"), F.transform(F.split(F.substring("line", F.lit(8), F.length("line")), ","), lambda c: F.trim(c)))
     ws = Window.partitionBy("file_id", "section").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("format", F.last(form, ignorenulls=True).over(ws))
 
@@ -105,7 +105,7 @@ def _field(name: str, values: str = "values"):
 
 def ssa_styles(all_lines: DataFrame) -> DataFrame:
     df = _in_section(all_lines).filter(F.col("section").isin("[V4 Styles]", "[V4+ Styles]") & F.col("line").startswith("Style:"))
-    df = df.withColumn("values", F.transform(F.split(F.substring("line", 7, 10000), ","), lambda c: F.trim(c)))
+    df = df.withColumn("values", F.transform(F.split(F.substring("line", F.lit(7), F.length("line")), ","), lambda c: F.trim(c)))
     number = lambda n: _field(n).try_cast("int")
     w = Window.partitionBy("file_id").orderBy("line_no")
     return df.select(
@@ -117,7 +117,7 @@ def ssa_styles(all_lines: DataFrame) -> DataFrame:
 def ssa_events(all_lines: DataFrame) -> DataFrame:
     df = _in_section(all_lines).filter((F.col("section") == "[Events]") & F.col("line").startswith("Dialogue: "))
     # the last field keeps its commas
-    df = df.withColumn("values", F.split(F.substring("line", 11, 100000), F.lit(","), F.size("format")))
+    df = df.withColumn("values", F.split(F.substring("line", F.lit(11), F.length("line")), F.lit(","), F.size("format")))
     w = Window.partitionBy("file_id").orderBy("line_no")
     time = lambda n: timecode.ssa_clock_to_ms(F.trim(_field(n)))
     return df.select("file_id", F.row_number().over(w).alias("event_no"), time("Start").alias("start_ms"), time("End").alias("end_ms"), F.trim(_field("Style")).alias("style"), _field("Text").alias("text"))
