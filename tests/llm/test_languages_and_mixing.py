@@ -103,3 +103,24 @@ def test_large_tables_of_sources_are_joined_by_shuffle(spark, sf_dir, monkeypatc
     want = sorted(map(repr, mixing.mix(docs, carry=["doc_id"]).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     assert sorted(map(repr, mixing.mix(docs, carry=["doc_id"]).collect())) == want
+
+
+def test_frequencies_follow_the_odds(spark):
+    """Of documents of one expected number of copies, as many copies are taken on average, and lengths differ in it."""
+    rng = random.Random(11)
+    rows = [(i, "ab"[i % 3 == 0], " ".join(["w"] * rng.choice([3, 12, 50, 200, 800]))) for i in range(9000)]
+    rows.append((9999, "c", "w " * 300_000))
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), carry=["doc_id", "source"]).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r.source, r.expected), []).append(r)
+    assert len({e for s, e in groups if s == "a"}) == 5
+    for (_, expected), rs in groups.items():
+        copies = [r.copies for r in rs]
+        assert all(c in (int(expected), int(expected) + 1) for c in copies)
+        if len(rs) > 100:
+            p = expected - int(expected)
+            assert abs(sum(copies) / len(rs) - expected) < 4 * (p * (1 - p) / len(rs)) ** 0.5 + 0.02
+    for source in "ab":
+        rs = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in rs) - rs[0].target) <= max(r.size for r in rs)
