@@ -160,3 +160,43 @@ def test_shards_copies_and_bad_vectors(spark):
     assert ann.nearest(frame.limit(0), F.lit(True)).count() == 0
     few = spark.createDataFrame([(20, [1.0, 0.0]), (21, [0.5, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(few, F.col("vec_id") == 20).collect()] == [(20, 1, 21)]
+
+
+def recall_of(v, q, found, k=20):
+    s = v[q] @ v.T
+    hits = 0
+    for i, row in enumerate(found):
+        row = row[row >= 0]
+        hits += len(set(row[np.argsort(-s[i][row])][:k]) & set(np.argsort(-s[i])[:k]))
+    return hits / (k * len(q))
+
+
+def test_recall_of_a_full_shard():
+    v = np.random.default_rng(4).normal(size=(ann.SHARD, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    q = np.arange(0, ann.SHARD, 40)
+    graph = ann.build(ann.level_off(v))
+    found, _ = ann.search(graph, np.concatenate([v[q], np.zeros((len(q), 1))], axis=1).astype(np.float32))
+    assert recall_of(v, q, found) > 0.95
+    assert all((g.max() < ann.SHARD) and (g[:, 0] >= 0).sum() >= (graph.level >= k).sum() - 1 for k, g in enumerate(graph.neighbours))
+
+
+@pytest.mark.parametrize("factor", [1.0, 1e200])
+def test_recall_of_many_shards_and_unequal_lengths(spark, monkeypatch, factor):
+    monkeypatch.setattr(ann, "TOGETHER", 1)
+    monkeypatch.setattr(ann, "QUERIES", 64)
+    rng = np.random.default_rng(6)
+    n = 5000
+    v = rng.normal(size=(n, 32)) * rng.lognormal(size=(n, 1)) * factor
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(list)
+    for r in ann.nearest(frame, F.col("vec_id") % 20 == 0, shard=512).collect():
+        found[r.query_id].append(r.vec_id)
+    hits = 0
+    with np.errstate(over="ignore"):
+        for q, got in found.items():
+            s = (v / factor) @ (v[q] / factor)
+            s[q] = -np.inf
+            hits += len(set(got) & set(np.argsort(-s)[:20]))
+    assert len(found) == n // 20 and all(len(x) == 20 for x in found.values())
+    assert hits / (20 * len(found)) > (0.9 if factor == 1.0 else 0.0)
