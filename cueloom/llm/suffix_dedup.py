@@ -21,9 +21,17 @@ array is never built whole:
 
 Names of strings are 64-bit hashes within a bucket, 128-bit ones across the corpus.
 
-Defined results: null counts as empty; texts shorter than LENGTH keep everything; repeated rows
-remove each other; columns of the input other than the text are passed on unless one has the
-name of an output column.
+Passages that other documents have too, but whose LENGTH bytes do not repeat, are reported and not removed:
+``n_shared_words`` counts the words that such passages cover. The anchors are the same, of words
+instead of bytes: the least hash of ``WORD_GRAM`` words in every window of ``WORD_WINDOW`` words, and the
+``WORD_TAIL`` words from there on are a passage if another document has them. So every passage of
+``WORD_WINDOW + WORD_TAIL - 1`` (51) words that repeats across documents is found, and none of fewer
+than WORD_TAIL words is.
+
+Defined results: null counts as empty; texts shorter than LENGTH keep everything; a very long text is one of
+many anchors, and only its own runs meet in one task; repeated rows remove each other, but are one document to
+n_shared_words; strings that tie are all removed, the first included; an empty table gives an empty result;
+columns of the input other than the text are passed on unless one has the name of an output column.
 """
 
 from __future__ import annotations
@@ -46,6 +54,9 @@ GRAM = 16
 COVER = 64
 HOT = 256
 PIECE = 16
+WORD_GRAM = 3
+WORD_WINDOW = 27
+WORD_TAIL = 25
 #: Region bytes sorted at once.
 BLOCK = 1_000_000
 
@@ -76,32 +87,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of all substrings of some bytes, by one pass over them."""
+    """Hashes of all substrings of some bytes, or runs of some numbers, by one pass over them."""
 
     def __init__(self, data: np.ndarray, which: int):
         n = len(data)
         up, self.down = _power(which, n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLES[which][data] * up[:n], out=self.sums[1:])
+        each = _TABLES[which][data] if data.dtype == np.uint8 else _mix(data * np.uint64(0x94D049BB133111EB)) | np.uint64(1)
+        np.cumsum(each * up[:n], out=self.sums[1:])
 
     def of(self, start, end) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
-def served(data: np.ndarray, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors, and the first and last start that each serves."""
-    starts = len(data) - LENGTH + 1
-    n = starts + WINDOW - 1
+def served(hashes: Hashes, starts: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of so many starts, and the first and last start that each serves."""
+    n = starts + window - 1
     at = np.arange(n, dtype=np.uint64)
-    key = ((hashes.sums[GRAM : GRAM + n] - hashes.sums[:n]) * hashes.down[:n]) * np.uint64(0x94D049BB133111EB)
+    key = ((hashes.sums[gram : gram + n] - hashes.sums[:n]) * hashes.down[:n]) * np.uint64(0x94D049BB133111EB)
     key = (_mix(key) & np.uint64(0xFFFFFFFF00000000)) | at
-    blocks = -(-n // WINDOW)
-    padded = np.full(blocks * WINDOW, np.uint64(0xFFFFFFFFFFFFFFFF))
+    blocks = -(-n // window)
+    padded = np.full(blocks * window, np.uint64(0xFFFFFFFFFFFFFFFF))
     padded[:n] = key
-    grid = padded.reshape(blocks, WINDOW)
+    grid = padded.reshape(blocks, window)
     head = np.minimum.accumulate(grid, axis=1).ravel()
     tail = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(tail[:starts], head[WINDOW - 1 : WINDOW - 1 + starts]) & np.uint64(0xFFFFFFFF)
+    least = np.minimum(tail[:starts], head[window - 1 : window - 1 + starts]) & np.uint64(0xFFFFFFFF)
     change = np.flatnonzero(least[1:] != least[:-1]) + 1
     first = np.concatenate([[0], change])
     last = np.concatenate([change, [starts]]) - 1
@@ -132,7 +143,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(data) < LENGTH:
                 continue
             one, two = Hashes(data, 0), Hashes(data, 1)
-            anchor, first, last = served(data, one)
+            anchor, first, last = served(one, len(data) - LENGTH + 1, WINDOW, GRAM)
             bucket = one.of(anchor, anchor + LENGTH - WINDOW + 1)
             e1, e2 = one.of(first, last + LENGTH), two.of(first, last + LENGTH)
             n = len(anchor)
@@ -146,6 +157,35 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 ANCHORS = ["k1", "k2", "packed", "bucket", "e1", "e2"]
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k1, k2, passage, word: a hash of the WORD_TAIL words at each anchor of a text, and the anchor's word."""
+    for batch in batches:
+        parts: list[list[np.ndarray]] = []
+        size = 0
+        for k1, k2, text in zip(*batch.columns, strict=True):
+            data = _bytes(text.as_py())
+            inside = np.concatenate([[False], ~_SPACES[data], [False]])
+            begin = np.flatnonzero(inside[1:] & ~inside[:-1])
+            starts = len(begin) - WORD_WINDOW - WORD_TAIL + 2
+            if starts < 1:
+                continue
+            end = np.flatnonzero(inside[:-1] & ~inside[1:])
+            words = Hashes(Hashes(data, 0).of(begin, end), 1)
+            at, _, _ = served(words, starts, WORD_WINDOW, WORD_GRAM)
+            n = len(at)
+            parts.append([np.full(n, k1.as_py()), np.full(n, k2.as_py()), words.of(at, at + WORD_TAIL).view(np.int64), at])
+            size += n
+            if size > 200_000:
+                yield _batch(parts, PASSAGES)
+                parts, size = [], 0
+        if parts:
+            yield _batch(parts, PASSAGES)
+
+
+PASSAGES = ["k1", "k2", "passage", "word"]
 
 
 def _batch(parts: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
@@ -323,23 +363,25 @@ def _spread(regions: DataFrame) -> DataFrame:
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n_bytes, n_removed, n_spans, kept_sha256 from the last columns: z, runs."""
+    """n_bytes, n_removed, n_spans, n_shared_words, kept_sha256 from the last columns: z, runs, words."""
     for batch in batches:
         results = []
-        for z, runs in zip(batch.columns[-2], batch.columns[-1], strict=True):
+        for z, runs, words in zip(*batch.columns[-3:], strict=True):
             data = _open(z)
-            spans = merged(runs.values.flatten()) if runs.is_valid else []
+            spans = merged(runs.values.flatten()) if runs.is_valid and len(runs) else []
+            at = np.sort(words.values.to_numpy()) if words.is_valid else np.zeros(0, np.int64)
+            shared = int(np.minimum(np.diff(at), WORD_TAIL).sum()) + WORD_TAIL if len(at) else 0
             kept, at = hashlib.sha256(), 0
             for a, b in spans:
                 kept.update(data[at:a].tobytes())
                 at = b
             kept.update(data[at:].tobytes())
-            results.append((len(data), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
-        columns = [pa.array([r[i] for r in results], pa.int64() if i < 3 else pa.string()) for i in range(4)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[2:-2], *columns], names=[*batch.schema.names[2:-2], *OUT])
+            results.append((len(data), sum(b - a for a, b in spans), len(spans), shared, kept.hexdigest()))
+        columns = [pa.array([r[i] for r in results], pa.int64() if i < 4 else pa.string()) for i in range(5)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[2:-3], *columns], names=[*batch.schema.names[2:-3], *OUT])
 
 
-OUT = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+OUT = ["n_bytes", "n_removed", "n_spans", "n_shared_words", "kept_sha256"]
 
 
 def merged(runs) -> list[tuple[int, int]]:
@@ -389,12 +431,22 @@ def repeats(keyed: DataFrame, text: Column) -> DataFrame:
     return runs.union(few).union(_spread(open_.filter(F.col("kinds") > HOT)))
 
 
+def shared_passages(keyed: DataFrame, text: Column) -> DataFrame:
+    """k1, k2, word: the first word of each passage at an anchor that another document has too."""
+    passages = keyed.select("k1", "k2", text.alias("text")).mapInArrow(_passages, _longs(PASSAGES))
+    one = F.struct("k1", "k2")
+    twice = passages.groupBy("passage").agg(F.min(one).alias("a"), F.max(one).alias("b")).filter("a <> b").select("passage")
+    return passages.join(cut_lineage(twice), "passage", "left_semi").select("k1", "k2", "word")
+
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the text, with n_bytes, n_removed, n_spans and kept_sha256."""
+    """docs without the text, with n_bytes, n_removed, n_spans, n_shared_words and kept_sha256."""
     rest = [c for c in docs.columns if c not in (*OUT, text)]
     keyed = _keyed(docs, text, rest)
-    runs = repeats(keyed, F.col("text")).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
-    joined = _squeezed(keyed, F.col("text"), ["row"]).join(runs, ["k1", "k2"], "left").select("k1", "k2", "row", "z", "runs")
+    none = F.lit(None).cast("long")
+    runs = repeats(keyed, F.col("text")).select("k1", "k2", F.struct("start", "end").alias("run"), none.alias("word"))
+    words = shared_passages(keyed, F.col("text")).select("k1", "k2", F.when(F.lit(False), F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))).alias("run"), "word")
+    found = runs.union(words).groupBy("k1", "k2").agg(F.collect_set("run").alias("runs"), F.collect_set("word").alias("words"))
+    joined = _squeezed(keyed, F.col("text"), ["row"]).join(found, ["k1", "k2"], "left").select("k1", "k2", "row", "z", "runs", "words")
     fields = [keyed.schema["row"]] + [T.StructField(c, T.LongType() if c != "kept_sha256" else T.StringType()) for c in OUT]
     return joined.mapInArrow(_without, T.StructType(fields)).select(*[F.col(f"row.`{c}`").alias(c) for c in rest], *OUT)
