@@ -37,19 +37,45 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"({WORD_RE})")), F.lit(0)).cast("long")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir.
-
-    Only where neither that setting nor the context names a folder (tests) is one made.
-    """
-    context = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; one is made only where Spark runs on one machine."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not where:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="cueloom-")
     if not context.getCheckpointDir():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="cueloom-checkpoint-"))
+        context.setCheckpointDir(where)
+    return where
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder's path below the checkpoint folder, which all executors share."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(where or tempfile.mkdtemp(prefix='cueloom-scratch-')).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A new folder's path below the shared folder."""
+    return f"{_shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: A key is hot from one in so many of the rows on.
+HOT_SHARE = 1000
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, key: list[str], total: int) -> DataFrame:
+    """rows joined with table, which has one row a key and in n how many of the rows, total in all, have it.
+
+    Keys of more than a HOT_SHARE-th of the rows are fewer than HOT_SHARE, so their rows of table are broadcast,
+    and no task of the join by shuffle gets more rows of one key than that share. rows should be cheap to read twice.
+    """
+    hot = F.broadcast(table.filter(F.col("n") * HOT_SHARE > total))
+    cold = table.filter(F.col("n") * HOT_SHARE <= total)
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))

@@ -6,39 +6,43 @@ one round at most, and nothing but counts reaches the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, join_by_key
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """u, v and m: the least of u and its neighbours."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least.select("u", F.least("u", "m").alias("m")), "u")
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """u, v and m: the least of u and its neighbours; the edges of a node with very many are spread."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return join_by_key(edges, least.select("u", F.least("u", "m").alias("m"), "n"), ["u"], total).select("u", "v", "m")
+
+
+def _ordered(a: Column, b: Column) -> list[Column]:
+    return [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of every node with an edge; edges: u, v."""
-    edges = cut_lineage(edges.select("u", "v").filter("u <> v").distinct())
-    before = None
-    while True:
+    edges = cut_lineage(edges.filter("u <> v").select(*_ordered(F.col("u"), F.col("v"))).distinct())
+    total, before = edges.count(), None
+    while total:
         # large star: greater neighbours go to the least
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _with_least(both, 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours go to the least of them
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-        small = _with_least(down)
+        down = cut_lineage(large)
+        small = _with_least(down, down.count())
         edges = cut_lineage(
             small.select(F.col("v").alias("a"), F.col("m").alias("b"))
             .union(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
             .filter("a <> b")
-            .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+            .select(*_ordered(F.col("a"), F.col("b")))
             .distinct()
         )
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first()
+        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first())
         if state == before:
             break
-        before = state
+        total, before = state[0], state
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))

@@ -7,29 +7,30 @@ within k * d / SEGMENTS differing bits. For d = 2 and 16 segments, the first sev
 the chain are equal, so equal 28-bit keys at some rotation find every link; the chain's further
 prefixes prune the candidates before the full check.
 
-Copies are collapsed first: only distinct fingerprints are compared. Where more than ``HOT``
-distinct fingerprints share a key, no pairs are made: each of them is connected with the least
-fingerprint with which it shares a neighbour of distance one. Fingerprints that share such a neighbour
-differ in at most two bits, and all that differ in at most two bits share one, so the
-components are exact and the work is linear.
+Copies are collapsed first: only distinct fingerprints are compared. A key that more than ``HOT`` distinct
+fingerprints share is split: at most d of the bits beside the key differ, so of d + 1 groups of those bits one is
+equal, and each group makes a longer key; so on until at most ``LOOSE`` bits are left, which bounds
+the fingerprints of a key. No link is lost, and every candidate passes the same chain check.
 
 Defined results: null texts and texts without a word have fingerprint zero and link as any
-other; null ids count as no id in the component's least id; repeated rows are in one component;
-an empty table gives an empty result.
+other; a very long text is counted in blocks of its shingles; null ids count as no id in the component's least id;
+a bit of just half the shingles (a tie) is 0; repeated rows are in one component; an empty table gives an empty result;
+columns beside key and text are not looked at, so names cannot clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage
+from .common import cut_lineage, join_by_key
 from .components import components
 
 SEED = 42
@@ -40,6 +41,8 @@ WIDTH = 64 // SEGMENTS
 #: Segments of a chain that must be equal: prefixes whose budget is below one bit.
 EQUAL = (SEGMENTS - 1) // DISTANCE
 HOT = 50
+#: Bits beside a key at which it is split no more: at most 2 ** LOOSE fingerprints share it.
+LOOSE = 12
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -53,21 +56,25 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
         hashes = [of(b" ".join(words), seed)]
     else:
         hashes = [of(b" ".join(s), seed) for s in zip(*(words[k:] for k in range(shingle)), strict=False)]
-    array = np.array(hashes, np.uint64)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some unsigned 64-bit numbers."""
     counts = np.zeros(64, np.int64)
-    for a in range(0, len(array), 1 << 16):
-        part = array[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8)
+    for a in range(0, len(hashes), 1 << 16):
+        part = hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(array), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """docs without the text, with fp (the fingerprint's bits as a long)."""
     rest = [c for c in docs.columns if c not in ("fp", text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x.as_py()) for x in batch.column(len(rest))], np.uint64).view(np.int64)
+            found = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(len(rest))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=[*rest, "fp"])
 
     narrow = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("__text"))
@@ -91,38 +98,56 @@ def _chain_holds(difference: Column, by: Column) -> Column:
     return ok
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """u, v: links between distinct fingerprints (fp) that have the same components as all links."""
-    keys = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("by"))
-    keys = keys.withColumn("key", F.call_function("shiftrightunsigned", _rotated(F.col("fp"), F.col("by")), F.lit(64 - EQUAL * WIDTH)))
-    shared = keys.groupBy("by", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    candidates = cut_lineage(keys.join(shared, ["by", "key"]))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
 
-    cold = candidates.filter(F.col("n") <= HOT)
-    a, b = cold.select("by", "key", F.col("fp").alias("u")), cold.select("by", "key", F.col("fp").alias("v"))
-    pairs = a.join(b, ["by", "key"]).filter("u < v")
-    pairs = pairs.filter(_chain_holds(F.col("u").bitwiseXOR(F.col("v")), F.col("by"))).select("u", "v")
+#: Bits of a key from the first segment of its chain on, and the longer keys that it is split into.
+FIRST_KEY = ((1 << EQUAL * WIDTH) - 1) << (64 - EQUAL * WIDTH)
 
-    hot = candidates.filter(F.col("n") > HOT).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(x if (x := 1 << i) < 1 << 63 else x - (1 << 64)).cast("long") for i in range(64)])
-    near = hot.select(F.col("fp"), F.explode(flips).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("at"))
-    least = near.groupBy("at").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1")
-    stars = near.join(least.select("at", "v"), "at").select(F.col("fp").alias("u"), "v").filter("u <> v")
-    return pairs.union(stars)
+
+def _split(mask: int) -> list[int]:
+    left = [b for b in range(63, -1, -1) if not mask >> b & 1]
+    cuts = [len(left) * k // (DISTANCE + 1) for k in range(DISTANCE + 2)]
+    return [mask | sum(1 << b for b in left[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """u, v: all links between distinct fingerprints (fp)."""
+    rows = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("by")).withColumns({"ring": _rotated(F.col("fp"), F.col("by")), "mask": F.lit(_signed(FIRST_KEY)).cast("long")})
+    masks, found = [FIRST_KEY], []
+    while True:
+        keys = rows.withColumn("part", F.col("ring").bitwiseAND(F.col("mask")))
+        counted = cut_lineage(keys.groupBy("by", "mask", "part").agg(F.count("*").alias("n")).filter("n > 1"))
+        total = counted.agg(F.sum("n")).first()[0] or 0
+        here = cut_lineage(join_by_key(keys.select("fp", "by", "ring", "mask", "part"), counted, ["by", "mask", "part"], total))
+        last = all(64 - m.bit_count() <= LOOSE for m in masks)
+        cold = here if last else here.filter(F.col("n") <= HOT)
+        a = cold.select("by", "mask", "part", F.col("fp").alias("u"))
+        b = cold.select("by", "mask", "part", F.col("fp").alias("v"))
+        pairs = a.join(b, ["by", "mask", "part"]).filter("u < v")
+        found.append(pairs.filter(_chain_holds(F.col("u").bitwiseXOR(F.col("v")), F.col("by"))).select("u", "v"))
+        hot = here.filter(F.col("n") > HOT)
+        if last or hot.isEmpty():
+            return reduce(DataFrame.union, found)
+        longer = F.create_map(*[y for m in masks for y in (F.lit(_signed(m)), F.array(*[F.lit(_signed(x)) for x in _split(m)]))])
+        rows = hot.select("fp", "by", "ring", F.explode(F.try_element_at(longer, F.col("mask"))).alias("mask"))
+        masks = [x for m in masks for x in _split(m)]
 
 
 def classes(marked: DataFrame, key: str = "doc_id") -> DataFrame:
-    """fp and component_id of each fingerprint of marked (key, fp)."""
-    distinct = cut_lineage(marked.groupBy("fp").agg(F.min(f"`{key}`").alias("least")))
+    """fp, root, component_id of each fingerprint of marked (key, fp), and n, its rows."""
+    distinct = cut_lineage(marked.groupBy("fp").agg(F.min(f"`{key}`").alias("least"), F.count("*").alias("n")))
     linked = components(links(distinct.select("fp")))
-    rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    return rooted.withColumn("component_id", F.min("least").over(Window.partitionBy("root"))).select("fp", "root", "component_id")
+    rooted = cut_lineage(distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    return join_by_key(rooted.select("fp", "root", F.col("n").alias("rows")), least, ["root"], rooted.count()).select("fp", "root", "component_id", F.col("rows").alias("n"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """key, fingerprint (hex) and component_id of each row."""
-    marked = cut_lineage(fingerprints(docs.select(key, F.col(f"`{text}`").alias("text"))))
-    joined = marked.join(classes(marked, key).select("fp", "component_id"), "fp")
+    marked = cut_lineage(fingerprints(docs.select(key, F.col(f"`{text}`").alias("text")), shingle=shingle))
+    joined = join_by_key(marked, cut_lineage(classes(marked, key)), ["fp"], marked.count())
     return joined.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -144,5 +169,5 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     mark = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), mark.alias("mark"))
     marked = cut_lineage(fingerprints(rows))
-    roots = classes(marked, "key").select("fp", "root")
-    return least_rows(docs, marked.join(roots, "fp"), mark)
+    rooted = join_by_key(marked, cut_lineage(classes(marked, "key")), ["fp"], marked.count())
+    return least_rows(docs, rooted.select("root", "key", "mark"), mark)

@@ -1,19 +1,24 @@
-"""Near copies by the exact Jaccard similarity of their word shingles.
+"""SimHash near-duplicates whose links are exact: a Jaccard similarity of word shingles.
 
 Two texts link if the sets of their ``SHINGLE``-word shingles have a Jaccard similarity of at least
-``OVER`` / ``UNDER``; components of links are one. No link is lost: of sets in one total order, two that are so
-similar share one of the first n - ceil(n * OVER / UNDER) + 1 shingles of each (prefix filter), so texts
-with a shared prefix shingle are the candidates. A shingle of one set alone changes one bit at most of the
+``OVER`` / ``UNDER``; components of links are one. First come the pairs that SimHash finds: fingerprints of the sets,
+linked by pigeonring chains as in ``simhash``, and texts of one fingerprint with the least of them. Each pair's sets are then
+compared. Fingerprints of similar sets may differ in more bits than a chain can search, so SimHash alone
+loses links. The rest come from a prefix filter, which loses none: of sets in one total order, two that
+are so similar share one of the first n - ceil(n * OVER / UNDER) + 1 shingles of each, so texts
+with a shared prefix shingle are candidates. A shingle of one set alone changes one bit at most of the
 sets' parity sketches, so candidates whose sketches differ in more bits than their sets may go, and the sets
 of all others are compared. The order has shingles that are frequent in a sample last; it decides how many
 candidates there are, not which links.
 
 Equal sets are collapsed first. Of the texts that share a prefix shingle, each is first compared with the least
-of them; only pairs that these links do not connect are compared after that, so a large group of
+of them; only pairs that all these links do not connect are compared after that, so a large group of
 near copies takes linear work.
 
 Defined results: ASCII case and the kind of spaces do not count; a text with fewer words than a shingle is one
-shingle, null texts and texts without a word are one empty shingle.
+shingle, null texts and texts without a word are one empty shingle; a very long text has a set as any other, held by one
+task for one text at a time; of texts that tie for the least key any one stays; repeated rows are one; an empty table gives an empty
+result; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,9 +31,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, join_by_key
 from .components import components
-from .simhash import _LOWER, SEED, least_rows
+from .simhash import _LOWER, SEED, least_rows, majority
+from .simhash import links as fingerprint_links
 
 SHINGLE = 5
 OVER, UNDER = 4, 5
@@ -84,12 +90,12 @@ def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(rows: DataFrame) -> DataFrame:
-    """key, mark, sig (a hash of the set), n, prefix and sketch of rows (key, mark, text)."""
+    """key, mark, sig (a hash of the set), n, fp, prefix and sketch of rows (key, mark, text)."""
     known, counts = frequent(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, sizes, firsts, drawn = [], [], [], []
+            sigs, sizes, prints, firsts, drawn = [], [], [], [], []
             for x in batch.column(2):
                 s = shingles(x.as_py())
                 often = np.zeros(len(s), np.int64)
@@ -98,13 +104,15 @@ def prefixes(rows: DataFrame) -> DataFrame:
                     often = np.where(known[at] == s, counts[at], 0)
                 sigs.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 sizes.append(len(s))
+                prints.append(majority(s.view(np.uint64)))
                 drawn.append(sketch(s))
                 firsts.append(s[np.lexsort((s, often))[: prefix_size(len(s))]])
-            made = [pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(firsts), _lists(drawn)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["key", "mark", "sig", "n", "prefix", "sketch"])
+            longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            made = [longs(sigs), pa.array(sizes, pa.int32()), longs(prints), _lists(firsts), _lists(drawn)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["key", "mark", "sig", "n", "fp", "prefix", "sketch"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.select("key", "mark", "text").mapInArrow(run, f"key {kind}, mark long, sig long, n int, prefix array<long>, sketch array<long>")
+    return rows.select("key", "mark", "text").mapInArrow(run, f"key {kind}, mark long, sig long, n int, fp long, prefix array<long>, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame) -> DataFrame:
@@ -122,24 +130,39 @@ def _verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame) -> DataFra
     return both.filter((OVER + UNDER) * F.size(F.array_intersect("a", "b")) >= OVER * (F.size("a") + F.size("b"))).select("u", "v")
 
 
+def _by_fingerprint(distinct: DataFrame) -> DataFrame:
+    """u, v: sigs of one fingerprint with the least of them, and the least of fingerprints that link."""
+    least = cut_lineage(distinct.groupBy("fp").agg(F.min("sig").alias("u"), F.count("*").alias("n")))
+    own = join_by_key(distinct.select("fp", "sig"), least, ["fp"], distinct.count()).select("u", F.col("sig").alias("v"))
+    side = lambda fp, sig: least.select(F.col("fp").alias(fp), F.col("u").alias(sig))
+    linked = fingerprint_links(least.select("fp")).withColumnsRenamed({"u": "a", "v": "b"})
+    linked = linked.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    return own.filter("u <> v").union(linked)
+
+
 def links(marked: DataFrame, rows: DataFrame) -> DataFrame:
     """u, v: links between sigs that have the same components as all links."""
-    distinct = cut_lineage(marked.groupBy("sig").agg(F.min(F.struct("mark", "n", "sketch")).alias("x")).select("sig", "x.*"))
-    each = marked.select(F.explode("prefix").alias("at"), "sig", "n")
+    distinct = cut_lineage(marked.groupBy("sig").agg(F.min(F.struct("mark", "n", "fp", "sketch")).alias("x")).select("sig", "x.*"))
+    sizes = distinct.select("sig", F.col("n").alias("size"))
+    each = marked.select(F.explode("prefix").alias("at"), "sig", F.col("n").alias("size"))
+    total = marked.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    met = each.groupBy("at").agg(F.min(F.struct("sig", "size")).alias("least"), F.max("sig").alias("most"), F.count("*").alias("n"))
+    met = cut_lineage(met.filter("least.sig <> most").drop("most"))
     # rows of equal sets have equal prefixes and count once
-    shared = each.groupBy("at").agg(F.sort_array(F.collect_set(F.struct("sig", "n"))).alias("of")).filter(F.size("of") > 1)
-    shared = cut_lineage(shared.select("at", F.get("of", F.lit(0)).alias("least"), F.inline("of")))
-    near = (F.lit(UNDER) * F.least("n", "m") >= F.lit(OVER) * F.greatest("n", "m"))
-    stars = shared.select(F.col("least.sig").alias("u"), F.col("least.n").alias("m"), F.col("sig").alias("v"), "n").filter((F.col("u") < F.col("v")) & near)
-    first = cut_lineage(_verified(stars.select("u", "v").distinct(), distinct, rows))
-
-    joined = shared.select("at", "sig", "n").join(components(first).withColumnRenamed("node", "sig"), "sig", "left").withColumn("of", F.coalesce("component", "sig"))
-    joined = cut_lineage(joined.select("at", "sig", "n", "of"))
+    shared = cut_lineage(join_by_key(each, met, ["at"], total).select("at", "least", "sig", "size").distinct())
+    near = lambda a, b: F.lit(UNDER) * F.least(a, b) >= F.lit(OVER) * F.greatest(a, b)
+    stars = shared.filter((F.col("least.sig") < F.col("sig")) & near(F.col("least.size"), F.col("size"))).select(F.col("least.sig").alias("u"), F.col("sig").alias("v"))
+    printed = _by_fingerprint(distinct)
+    printed = printed.join(sizes.withColumnsRenamed({"sig": "u", "size": "a"}), "u").join(sizes.withColumnsRenamed({"sig": "v", "size": "b"}), "v").filter(near(F.col("a"), F.col("b"))).select("u", "v")
+    first = cut_lineage(_verified(cut_lineage(stars.union(printed).distinct()), distinct, rows))
+
+    joined = shared.select("at", "sig", "size").join(components(first).withColumnRenamed("node", "sig"), "sig", "left").withColumn("of", F.coalesce("component", "sig"))
+    joined = cut_lineage(joined.select("at", "sig", "size", "of"))
     apart = joined.groupBy("at").agg(F.min("of").alias("x"), F.max("of").alias("y")).filter("x < y").select("at")
     joined = joined.join(apart, "at", "left_semi")
-    a = joined.select("at", F.col("sig").alias("u"), F.col("n").alias("m"), F.col("of").alias("x"))
-    b = joined.select("at", F.col("sig").alias("v"), "n", F.col("of").alias("y"))
-    pairs = a.join(b, "at").filter((F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & near).select("u", "v").distinct()
+    a = joined.select("at", F.col("sig").alias("u"), F.col("size").alias("a"), F.col("of").alias("x"))
+    b = joined.select("at", F.col("sig").alias("v"), F.col("size").alias("b"), F.col("of").alias("y"))
+    pairs = a.join(b, "at").filter((F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & near(F.col("a"), F.col("b"))).select("u", "v").distinct()
     return first.union(_verified(pairs, distinct, rows))
 
 
