@@ -2,6 +2,11 @@
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents.
+
+Defined results: a null or empty text has no word and goes with the quality rules, as does any text that they reject;
+very long texts pass as any other; of tied and repeated rows of a group one stays; null ids, languages and
+sources stay null; an empty table passes every stage and gives an empty result; further columns of docs pass the first
+four stages, unless their names begin with two underscores, and the last keeps doc_id, lang and source.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueloom.llm import mixing, pieces, pii, quality, similar
-from cueloom.llm.common import scratch_folder
+from cueloom.llm.common import drop_folder, scratch_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One text of those linked by a Jaccard similarity of 0.8 of their five-word shingles."""
+    """SimHash on five-word shingles, links checked and completed by a Jaccard similarity of 0.8; one text of each group stays."""
     return similar.keep_one(docs)
 
 
@@ -52,8 +57,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = scratch_folder(spark, "pipeline")
+    folder, read = scratch_folder(spark, "pipeline"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if read:
+            drop_folder(spark, read)
+        read = f"{folder}/{name}"
     return docs
