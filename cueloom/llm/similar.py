@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, join_by_key
@@ -115,11 +115,17 @@ def prefixes(rows: DataFrame) -> DataFrame:
     return rows.select("key", "mark", "text").mapInArrow(run, f"key {kind}, mark long, sig long, n int, fp long, prefix array<long>, sketch array<long>")
 
 
+def _near(a: str, b: str) -> Column:
+    """Whether sets of two sizes can be similar."""
+    return F.lit(UNDER) * F.least(a, b) >= F.lit(OVER) * F.greatest(a, b)
+
+
 def _verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame) -> DataFrame:
     """Those of pairs (u, v) whose sets are similar; distinct: sig, n, sketch and the mark of one of its rows."""
     side = lambda sig, n, bits: distinct.select(F.col("sig").alias(sig), F.col("n").alias(n), F.col("sketch").alias(bits))
     drawn = pairs.join(side("u", "m", "a"), "u").join(side("v", "n", "b"), "v")
     bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    drawn = drawn.filter(_near("m", "n"))
     pairs = cut_lineage(drawn.filter((OVER + UNDER) * bits <= (UNDER - OVER) * (F.col("m") + F.col("n"))).select("u", "v"))
     named = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct().join(distinct.select("sig", "mark"), "sig")
     texts = rows.join(named.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"])
@@ -143,18 +149,14 @@ def _by_fingerprint(distinct: DataFrame) -> DataFrame:
 def links(marked: DataFrame, rows: DataFrame) -> DataFrame:
     """u, v: links between sigs that have the same components as all links."""
     distinct = cut_lineage(marked.groupBy("sig").agg(F.min(F.struct("mark", "n", "fp", "sketch")).alias("x")).select("sig", "x.*"))
-    sizes = distinct.select("sig", F.col("n").alias("size"))
     each = marked.select(F.explode("prefix").alias("at"), "sig", F.col("n").alias("size"))
     total = marked.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    met = each.groupBy("at").agg(F.min(F.struct("sig", "size")).alias("least"), F.max("sig").alias("most"), F.count("*").alias("n"))
-    met = cut_lineage(met.filter("least.sig <> most").drop("most"))
+    met = each.groupBy("at").agg(F.min("sig").alias("least"), F.max("sig").alias("most"), F.count("*").alias("n"))
+    met = cut_lineage(met.filter("least <> most").drop("most"))
     # rows of equal sets have equal prefixes and count once
     shared = cut_lineage(join_by_key(each, met, ["at"], total).select("at", "least", "sig", "size").distinct())
-    near = lambda a, b: F.lit(UNDER) * F.least(a, b) >= F.lit(OVER) * F.greatest(a, b)
-    stars = shared.filter((F.col("least.sig") < F.col("sig")) & near(F.col("least.size"), F.col("size"))).select(F.col("least.sig").alias("u"), F.col("sig").alias("v"))
-    printed = _by_fingerprint(distinct)
-    printed = printed.join(sizes.withColumnsRenamed({"sig": "u", "size": "a"}), "u").join(sizes.withColumnsRenamed({"sig": "v", "size": "b"}), "v").filter(near(F.col("a"), F.col("b"))).select("u", "v")
-    first = cut_lineage(_verified(cut_lineage(stars.union(printed).distinct()), distinct, rows))
+    stars = shared.filter("least < sig").select(F.col("least").alias("u"), F.col("sig").alias("v"))
+    first = cut_lineage(_verified(stars.union(_by_fingerprint(distinct)).distinct(), distinct, rows))
 
     joined = shared.select("at", "sig", "size").join(components(first).withColumnRenamed("node", "sig"), "sig", "left").withColumn("of", F.coalesce("component", "sig"))
     joined = cut_lineage(joined.select("at", "sig", "size", "of"))
@@ -162,7 +164,7 @@ def links(marked: DataFrame, rows: DataFrame) -> DataFrame:
     joined = joined.join(apart, "at", "left_semi")
     a = joined.select("at", F.col("sig").alias("u"), F.col("size").alias("a"), F.col("of").alias("x"))
     b = joined.select("at", F.col("sig").alias("v"), F.col("size").alias("b"), F.col("of").alias("y"))
-    pairs = a.join(b, "at").filter((F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & near(F.col("a"), F.col("b"))).select("u", "v").distinct()
+    pairs = a.join(b, "at").filter((F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & _near("a", "b")).select("u", "v").distinct()
     return first.union(_verified(pairs, distinct, rows))
 
 
