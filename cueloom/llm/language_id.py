@@ -7,11 +7,11 @@ the language of most letters is the text's.
 
 Training counts trigrams on the executors over a sample of labelled rows of at most about
 ``SAMPLE`` rows a language, chosen by a hash of the id; what comes to the driver is
-``BUCKETS`` numbers a language.
+``BUCKETS`` numbers a language, for at most ``MOST_LANGUAGES`` (more are an error).
 
 Defined results: null and empty texts, and those without a letter, are ``und`` with score 0 and
-no spans; with no labelled rows everything is ``und``; repeated rows are judged one by one; ties
-between languages go to the smaller name; columns of the input other than the text are passed
+no spans; very long texts are labelled whole, word by word; with no labelled rows everything is ``und``; an empty table gives an
+empty result; repeated rows are judged one by one; ties between languages go to the smaller name; columns of the input other than the text are passed
 on unless one has the name of an output column.
 """
 
@@ -34,8 +34,8 @@ from .common import cut_lineage
 #: Bound on the expected number of training rows a language.
 SAMPLE = 3_000
 BUCKETS = 1 << 16
-#: The table of labelled rows a language is broadcast up to so many languages.
-FEW_LANGUAGES = 10_000
+#: Languages of a model at most: 65,536 numbers each are broadcast, 131 MB in all.
+MOST_LANGUAGES = 500
 #: Cost of a switch of language between two words, in nats.
 SWITCH = 10.0
 #: Cost of a language never seen in a word's script.
@@ -97,8 +97,8 @@ class Words:
 
 def split_words(texts: list[str]) -> Words:
     letter, part, script = _tables()
-    # one separator after each text; a lower-cased text may be longer, so cases are mapped only where lengths stay
-    lower = [low if len(low := t.lower()) == len(t) else t for t in texts]
+    # one separator after each text; where a lower-cased text is longer, letters that become two stay as they are
+    lower = [low if len(low := t.lower()) == len(t) else "".join(x if len(x := c.lower()) == 1 else c for c in t) for t in texts]
     codes = np.frombuffer("\0".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     ends = np.cumsum([len(t) + 1 for t in texts])
     inside = part[codes]
@@ -133,8 +133,9 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{key}`"), F.lit("language")).alias("h"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = cut_lineage(rows.groupBy("lang").agg(F.count("*").alias("n")))
-    if sizes.count() <= FEW_LANGUAGES:  # then texts need no shuffle
-        sizes = F.broadcast(sizes)
+    if (languages := sizes.count()) > MOST_LANGUAGES:
+        raise ValueError(f"{languages} languages; a model has at most {MOST_LANGUAGES}")
+    sizes = F.broadcast(sizes)  # texts need no shuffle
     share = F.col("h").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
     sample = rows.join(sizes, "lang").filter(share * F.col("n") < SAMPLE).select("lang", "text")
 

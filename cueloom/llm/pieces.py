@@ -4,14 +4,16 @@ Text is prefixed with a space, spaces become the mark, and the result is cut bef
 marks; no piece goes across such a cut, so the parts can be encoded alone and each distinct part
 of a batch once. Parts of equal length advance together: at each end position the hashes of all
 substrings that end there are looked up in sorted piece keys (and the characters compared), and
-maxima over whole columns store back pointers.
+maxima over whole columns store back pointers. A part of more than ``LONG`` characters, as of text without spaces,
+is a lane of its own: the substrings of all its positions are looked up together, and the same recurrence
+walks over what was found, so its time is in proportion to its length.
 
 A piece's score is that of Zipf's law at its rank in the vocabulary, as an integer, so sums are
 exact; of equally good splits the one with the longer last piece counts, at every position.
 Characters without a piece, and the mark itself, become bytes, so decoding gives the very text.
 
-Defined results: null encodes to null and decodes to null; the empty text to no pieces; repeated
-rows are encoded one by one; columns of the input other than the text are passed on unless one
+Defined results: null encodes to null and decodes to null; the empty text to no pieces; very long texts are
+encoded whole, a block each; repeated rows are encoded one by one; an empty table gives an empty result; columns of the input other than the text are passed on unless one
 has the name of an output column.
 """
 
@@ -34,6 +36,9 @@ BLOCK = 4_000_000
 LANE = 400_000
 #: Entries of a task's memory of parts; it is emptied when full.
 MEMORY = 400_000
+#: Characters from which on a part is advanced alone, and positions of it whose matches are held at once.
+LONG = 256
+SPAN = 65_536
 PART = re.compile(r" +[^ ]*|[^ ]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MARK = np.uint32(ord(SPACE_MARK))
@@ -130,19 +135,69 @@ class Encoder:
             used = steps > 0
             counts = used.sum(axis=1)
             return np.split(out[used], np.cumsum(counts)[:-1])
-        result = []
-        for r in range(size):
-            ids: list[int] = []
-            for p, end in zip(out[r].tolist(), steps[r].tolist(), strict=True):
-                if p >= 0:
-                    ids.append(p)
-                elif end:
-                    c = int(codes[r, end - 1])
-                    char = " " if c == _MARK else SPACE_MARK if c == _LITERAL_MARK else chr(c)
-                    byte_ids = self.table.byte_ids
-                    ids += [byte_ids[b] for b in char.encode()] if byte_ids else [self.table.unknown_id]
-            result.append(np.array(ids, np.int32))
-        return result
+        return [self._with_bytes(codes[r], [(p, end) for p, end in zip(out[r].tolist(), steps[r].tolist(), strict=True) if end]) for r in range(size)]
+
+    def _with_bytes(self, codes: np.ndarray, path: list[tuple[int, int]]) -> np.ndarray:
+        """Ids of a path of pieces and their ends; what has no piece (-1) becomes bytes."""
+        ids: list[int] = []
+        for p, end in path:
+            if p >= 0:
+                ids.append(p)
+                continue
+            c = int(codes[end - 1])
+            char = " " if c == _MARK else SPACE_MARK if c == _LITERAL_MARK else chr(c)
+            byte_ids = self.table.byte_ids
+            ids += [byte_ids[b] for b in char.encode()] if byte_ids else [self.table.unknown_id]
+        return np.array(ids, np.int32)
+
+    def _matches(self, codes: np.ndarray, prefix: np.ndarray, first: int, last: int) -> tuple[list[int], ...]:
+        """Pieces that end at positions first + 1 to last, by end, then length: where each position's begin, lengths, ids, scores."""
+        found = []
+        for k, (keys, chars, ids, scores) in self.by_length.items():
+            ends = np.arange(max(first + 1, k), last + 1)
+            probe = prefix[ends] - prefix[ends - k] * self.power[k]
+            at = np.searchsorted(keys, probe)
+            at[at == len(keys)] = 0
+            hit = np.flatnonzero(keys[at] == probe)
+            at, ends = at[hit], ends[hit]
+            same = (chars[at] == codes[ends[:, None] - k + np.arange(k)]).all(axis=1)
+            found.append((ends[same], np.full(int(same.sum()), k), ids[at[same]], scores[at[same]]))
+        ends, lengths, ids, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((lengths, ends))
+        begin = np.searchsorted(ends[order], np.arange(first + 1, last + 2))
+        return begin.tolist(), lengths[order].tolist(), ids[order].tolist(), scores[order].tolist()
+
+    def _long(self, part: str) -> np.ndarray:
+        """Ids of one long part, by the recurrence of _lane."""
+        codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        codes[codes == _MARK] = _LITERAL_MARK
+        codes[codes == 32] = _MARK
+        n, inverse = len(codes), np.uint64(pow(int(_BASE), -1, 1 << 64))
+        up, down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, x)])) for x in (_BASE, inverse))
+        prefix = np.zeros(n + 1, np.uint64)
+        prefix[1:] = np.cumsum(_mixed(codes) * down[:n]) * up[:n]
+        width = np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4)))
+        alone = (self.byte_score * width).tolist()
+        best, back, piece = [0] * (n + 1), np.ones(n + 1, np.int16), np.full(n + 1, -1, np.int32)
+        for first in range(0, n, SPAN):
+            last = min(n, first + SPAN)
+            begin, lengths, ids, scores = self._matches(codes, prefix, first, last)
+            backs, chosen = [], []
+            for end in range(first + 1, last + 1):
+                score, length, take = best[end - 1] + alone[end - 1], 1, -1
+                for j in range(begin[end - first - 1], begin[end - first]):
+                    new = best[end - lengths[j]] + scores[j]
+                    if new >= score:
+                        score, length, take = new, lengths[j], ids[j]
+                best[end] = score
+                backs.append(length)
+                chosen.append(take)
+            back[first + 1 : last + 1], piece[first + 1 : last + 1] = backs, chosen
+        path, end = [], n
+        while end:
+            path.append((int(piece[end]), end))
+            end -= int(back[end])
+        return self._with_bytes(codes, path[::-1])
 
     def learn(self, parts: set[str]) -> None:
         """Encodes parts that the memory lacks."""
@@ -154,6 +209,10 @@ class Encoder:
         a = 0
         while a < len(new):
             n, b = len(new[a]), a
+            if n > LONG:
+                self.memory[new[a]] = self._long(new[a])
+                a += 1
+                continue
             most = max(1, LANE // n)
             while b < len(new) and len(new[b]) == n and b - a < most:
                 b += 1

@@ -6,7 +6,9 @@ reported whenever their check passes; the added kinds (iban, ssn, secret) when t
 raised by context words nearby, reaches ``threshold``.
 
 Defined results: a null text counts as empty, a text without personal data has zero counts and
-empty lists; repeated rows are judged one by one; columns of the input other than the text
+empty lists; very long texts are searched whole, in time in proportion to their length; spans of two kinds may overlap and are
+all reported, by start, then in the order of kinds; characters 1 and 2 of a text both count as character 2, which is in
+no pattern; repeated rows are judged one by one; an empty table gives an empty result; columns of the input other than the text
 are passed on unless one has the name of an output column.
 """
 
@@ -236,24 +238,35 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
 def redact(text: Column) -> Column:
     """The text with every span replaced by its kind in angle brackets; null stays null.
 
-    Of overlapping spans the first names the replacement, which covers them all.
+    Of overlapping spans the first names the replacement, which covers them all. Spans are cut in blocks, so that
+    one text with very many takes no quadratic time.
     """
     names = F.array(*[F.lit(f"<{k.name.upper()}>") for k in KINDS])
 
     def cut(pair: Column) -> Column:
         t, found = pair["t"], pair["s"]
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-        def step(acc: Column, x: Column) -> Column:
-            gap = F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["start"] - acc["at"]), F.get(names, x["kind_no"]))
-            return F.struct(
-                F.greatest(acc["at"], x["end"]).alias("at"),
-                F.when(x["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"),
-            )
+        def block(b: Column) -> Column:
+            """What stands for the text from the last end before a block of spans to the last end in it."""
+            here = F.slice(found, b * RUN + 1, F.lit(RUN))
+            reach = lambda s: F.coalesce(F.array_max(F.transform(s, lambda x: x["end"])), F.lit(0))
+            before = reach(F.slice(found, F.lit(1), b * RUN))
 
-        done = F.aggregate(
-            found, start, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t)))
-        )
+            def cut_block(own: Column) -> Column:
+                start = F.struct(own["from"].alias("at"), F.lit("").alias("out"))
+
+                def step(acc: Column, x: Column) -> Column:
+                    gap = F.concat(acc["out"], F.substring(own["t"], acc["at"] - own["from"] + 1, x["start"] - acc["at"]), F.get(names, x["kind_no"]))
+                    return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"))
+
+                return F.aggregate(own["s"], start, step, lambda acc: acc["out"])
+
+            own = let(F.struct(before.alias("from"), here.alias("s")), lambda o: F.struct(o["from"].alias("from"), o["s"].alias("s"), F.substring(t, o["from"] + 1, F.greatest(reach(o["s"]) - o["from"], F.lit(0))).alias("t")))
+            return let(own, cut_block)
+
+        blocks = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(found) - 1, F.lit(RUN)).cast("int")), block)
+        last = F.array_max(F.transform(found, lambda x: x["end"]))
+        done = F.concat(F.array_join(blocks, ""), let(last, lambda e: F.substring(t, e + 1, F.length(t))))
         return F.when(F.size(found) == 0, t).otherwise(done)
 
     return F.when(text.isNotNull(), let(F.struct(text.alias("t"), spans(text).alias("s")), cut))
