@@ -1,6 +1,6 @@
 """Licence scans: sparse TF-IDF cosine against templates, then inheritance from directories.
 
-Passages of a file that speak of a licence (and, of short files, the whole text) are compared
+Passages of a file that speak of a licence, lines and the sentences of a line, are compared
 with licence templates. The templates are a bounded table of this module, so their vectors are
 literals of the plan: scoring a file takes no join and no shuffle. A file without a licence of
 its own takes that of the nearest ancestor directory that has a licence file, found by joins of
@@ -9,9 +9,11 @@ directory paths. Distinct directories are resolved first; files meet them by one
 Weights of terms are integers and cosines compare exact integers, so results do not depend on
 the order of sums.
 
-Defined results: a null or empty text has no licence of its own; a null path has no
-directory and inherits nothing; repeated rows are scanned one by one; several licence files in
-one directory: the best score, then the smaller licence name, counts.
+Defined results: a null or empty text has no licence of its own; a very long text is scanned whole, and only its
+passages that speak of a licence are scored; a null path has no
+directory and inherits nothing; repeated rows are scanned one by one; of templates that tie for a file the first
+counts; several licence files in one directory: the best score, then the licence name that sorts last, counts; an empty table gives an empty
+result; columns of files that have the name of an output column are left out.
 """
 
 from __future__ import annotations
@@ -44,8 +46,17 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright to the public domain, CC0 1.0 Universal."),
     ("Proprietary", "Copyright. All rights reserved."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-CUE = r"(?i)licen[cs]e|copyright|redistribution|public domain|permission is hereby|rights reserved|creative commons"
+CUE = r"(?i)licen[cs]e|copyright|redistribution|public domain|permission is hereby|permission to use|rights reserved|creative commons"
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
 TERM_RE = "[^a-z0-9.]+|\\.+(?![a-z0-9])"
 #: A passage is of a licence from this cosine on.

@@ -4,8 +4,8 @@ Every rule is evaluated once a document. The ledger keeps the measurements and o
 a policy is a mask of the bits that reject. Other policies, and what each rule alone costs,
 follow from the ledger by bitwise operations, without the texts.
 
-Defined results: a null text has no words, so it fails ``few_words``; an empty table gives an
-empty ledger; repeated rows are judged one by one; columns of the input other than the text are
+Defined results: a null text has no words, so it fails ``few_words``; very long texts are measured whole; rules compare
+with fixed bounds, so no ties arise; an empty table gives an empty ledger; repeated rows are judged one by one; columns of the input other than the text are
 passed on, unless one has the name of a ledger column, which then holds the ledger's value.
 """
 

@@ -8,8 +8,9 @@ link taken pays for characters read before.
 A word is matched as the word mark and its characters. A word that cannot be split into pieces
 counts as one unknown token.
 
-Defined results: null and empty texts have no words and no tokens; repeated rows are counted
-one by one; columns of the input other than the text are passed on unless one has the name of
+Defined results: null and empty texts have no words and no tokens; very long texts and words are counted whole, in time in
+proportion to their length; a split has no ties, as the longest piece is taken; repeated rows are counted
+one by one; an empty table gives an empty result; columns of the input other than the text are passed on unless one has the name of
 an output column.
 """
 
