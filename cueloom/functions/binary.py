@@ -177,8 +177,8 @@ decode_vob = _udf(vob_runs)
 decode_dvb = _udf(dvb_runs)
 
 
-def pixel_rows(runs: Column, palette: Column) -> Column:
-    """Hex rows of runs by line, through a palette of RRGGBB strings."""
-    painted = F.transform(runs, lambda r: F.struct(r["line"].alias("line"), F.repeat(F.coalesce(F.get(palette, r["color"]), F.lit("000000")), r["length"]).alias("p")))
+def pixel_rows(runs: Column, palette: Column, missing: str = "000000") -> Column:
+    """Hex rows of runs by line, through a palette of strings of one length, as RRGGBB."""
+    painted = F.transform(runs, lambda r: F.struct(r["line"].alias("line"), F.repeat(F.coalesce(F.get(palette, r["color"]), F.lit(missing)), r["length"]).alias("p")))
     last = F.array_max(F.transform(runs, lambda r: r["line"]))
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.transform(F.filter(painted, lambda x: x["line"] == i), lambda x: x["p"]), ""))

@@ -14,9 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bom
+
 MARKS = [(b"\xef\xbb\xbf", "utf-8"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xff\xfe\x00\x00", "utf-32-le"), (b"\xfe\xff", "utf-16-be"), (b"\xff\xfe", "utf-16-le"), (b"\x84\x31\x95\x33", "gb18030")]
 MULTI = ["euc_jp", "shift_jis", "euc_kr", "gb18030", "big5"]
-SINGLE = ["cp1252", "cp1250", "cp1251", "koi8_r", "iso8859_5", "iso8859_7", "cp1255", "cp1256", "iso8859_9", "cp1257", "cp874"]
+SINGLE = ["cp1252", "cp1250", "cp1251", "koi8_r", "iso8859_5", "iso8859_7", "cp1255", "cp1256", "iso8859_9", "cp1257", "cp874", "iso8859_2", "cp866", "mac_cyrillic", "mac_roman", "cp850"]
+#: Two-byte encodings that a text may have without a mark.
+WIDE = ["utf-16-le", "utf-16-be"]
+CANDIDATES = [*MULTI, *SINGLE, *WIDE]
 #: Letters of the languages that a Latin code page is for, beyond ASCII.
 LATIN = {
     "cp1252": "àáâãäåæçèéêëìíîïñòóôõöøùúûüßœ",
@@ -24,14 +29,21 @@ LATIN = {
     "iso8859_9": "çğıöşüâîû",
     "cp1257": "āčēģīķļņšūžąęėįų",
 }
+LATIN |= {"mac_roman": LATIN["cp1252"], "cp850": LATIN["cp1252"], "iso8859_2": LATIN["cp1250"]}
 #: Frequent ideographs and kana.
 FREQUENT = "的一是不了在人有我他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可她里后小么心多天而能好都然没日于起还发成事只作当想看文无开手十用主行方又如前所本见经头面公同三已老从动两长知民样现分将外但身些与高意进把法此实回二理美点月明其种声全工己话儿者向情部正名定女问力机给等几很业最间新什打便位因重被走电四第门相次东政海口使教西再平真听世气信北少关并内加化由却代军产入先山五太水万市眼体别处总才场师书比住员九笑性通目华报立马命张活难神数件安表原车白应路期叫死常提感金何更反合放做系计或司利受光王果亲界及今京务制解各任至清物台象记边共风战干接它许八特觉望直服毛林题建南度统色字请交爱让认算论百吃义科怎元社术结六功指思非流每青管夫连远资队跟带花快条院变联言权往展该领传近留红治决周保达办运武半候七必城父强步完革深区即求品士转量空甚众技轻程告江语英基派满式李息写呢识极令黄德收脸钱党倒未持取设始版双历越史商千片容研像找友孩站广改议形委早房音火际则首单据导影失拿网香似斯专石若兵弟谁校读志飞观争究包组造落视济喜离虽坏们の是にをはがでとたしてれる"
 
 
+#: The most frequent letters of a script in the languages that its code pages are for.
+COMMON = {"CYRILLIC": "оеаинтсрвлк", "GREEK": "αοιετσνηυρά", "HEBREW": "יוהלאמרתבש", "ARABIC": "ايلمونترةب", "THAI": "านรอกเงมยลว่"}
+#: Frequent syllables of Korean.
+HANGUL = "이다는을의에가은고하지로기도한사나를서어니리자아으들게해것인시수대있일그전부제습과장보"
+
+
 @lru_cache(maxsize=4096)
 def _kind(c: str) -> tuple[str, bool]:
     """Script and whether a letter."""
-    if not c.isalpha():
+    if not c.isalpha() and unicodedata.category(c) != "Mn":
         return "", False
     name = unicodedata.name(c, "").split(" ")[0]
     return name, True
@@ -53,11 +65,15 @@ def _plausible(before: str, c: str, after: str, encoding: str) -> float:
     script, letter = _kind(c)
     if not letter:
         return 0.2 if c in "«»„“”’–—…·。、，「」" else -1.0
-    if encoding in MULTI:
-        return 1.0 if c in FREQUENT or script in ("HIRAGANA", "KATAKANA") or "가" <= c <= "힣" else 0.25 if script == "CJK" else -0.5
+    if encoding in MULTI or encoding in WIDE:
+        if "가" <= c <= "힣":
+            return 1.1 if c in HANGUL else 0.7
+        return 1.0 if c in FREQUENT or script in ("HIRAGANA", "KATAKANA") else 0.25 if script == "CJK" else -0.5
     if script == "LATIN":
         return (0.8 if c.lower() in LATIN.get(encoding, "") else -0.4) - (1.0 if c.isupper() and before.islower() else 0.0)
-    total = 0.0
+    if unicodedata.category(c) == "Mn" and _kind(before)[0] != script:
+        return -1.0  # a mark follows a letter
+    total = 0.2 if c.lower() in COMMON.get(script, "") else -0.15
     for other in (before, after):
         same, is_letter = _kind(other)
         total += 0.5 if same == script else 0.1 if not is_letter else -0.8
@@ -88,14 +104,14 @@ def hinted(charset: str | None = None, language: str | None = None, domain: str
         declared = codecs.lookup(charset.strip()).name if charset else None
     except LookupError:
         declared = None
-    for e in [*MULTI, *SINGLE]:
+    for e in CANDIDATES:
         if declared and codecs.lookup(e).name == SUPERSETS.get(declared, declared):
             out[e] = out.get(e, 0.0) + HINT
     return out
 
 
 #: Declared charsets that stand for a larger one.
-SUPERSETS = {"iso8859-1": "cp1252", "gb2312": "gb18030", "gbk": "gb18030", "iso8859-2": "cp1250", "iso8859-8": "cp1255", "iso8859-6": "cp1256", "iso8859-13": "cp1257", "tis-620": "cp874", "cp1253": "iso8859-7", "cp1254": "iso8859-9", "cp932": "shift_jis", "cp949": "euc_kr"}
+SUPERSETS = {"iso8859-1": "cp1252", "gb2312": "gb18030", "gbk": "gb18030", "iso8859-8": "cp1255", "iso8859-6": "cp1256", "iso8859-13": "cp1257", "tis-620": "cp874", "cp1253": "iso8859-7", "cp1254": "iso8859-9", "cp932": "shift_jis", "cp949": "euc_kr"}
 
 #: Registered names of the encodings, and their family.
 NAMES = [
@@ -103,15 +119,34 @@ NAMES = [
     ("utf-32-be", "UTF-32BE", "unicode"), ("utf-32-le", "UTF-32LE", "unicode"), ("utf-16", "UTF-16", "unicode"), ("euc_jp", "EUC-JP", "multi"), ("shift_jis", "Shift_JIS", "multi"), ("iso2022_jp", "ISO-2022-JP", "multi"), ("euc_kr", "EUC-KR", "multi"),
     ("gb18030", "GB18030", "multi"), ("big5", "Big5", "multi"), ("hz", "HZ-GB-2312", "multi"), ("iso8859_1", "ISO-8859-1", "single"), ("cp1252", "windows-1252", "single"), ("cp1250", "windows-1250", "single"), ("cp1251", "windows-1251", "single"),
     ("koi8_r", "KOI8-R", "single"), ("iso8859_5", "ISO-8859-5", "single"), ("iso8859_7", "ISO-8859-7", "single"), ("cp1255", "windows-1255", "single"), ("cp1256", "windows-1256", "single"), ("iso8859_9", "ISO-8859-9", "single"), ("cp1257", "windows-1257", "single"),
-    ("cp874", "windows-874", "single"),
+    ("cp874", "windows-874", "single"), ("iso8859_2", "ISO-8859-2", "single"), ("cp866", "IBM866", "single"), ("mac_cyrillic", "x-mac-cyrillic", "single"), ("mac_roman", "macintosh", "single"), ("cp850", "IBM850", "single"),
+    # not detected, but known to conversion
+    ("iso8859_3", "ISO-8859-3", "single"), ("iso8859_4", "ISO-8859-4", "single"), ("iso8859_6", "ISO-8859-6", "single"), ("iso8859_8", "ISO-8859-8", "single"), ("iso8859_10", "ISO-8859-10", "single"), ("iso8859_11", "ISO-8859-11", "single"),
+    ("iso8859_13", "ISO-8859-13", "single"), ("iso8859_14", "ISO-8859-14", "single"), ("iso8859_15", "ISO-8859-15", "single"), ("iso8859_16", "ISO-8859-16", "single"), ("cp1253", "windows-1253", "single"), ("cp1254", "windows-1254", "single"),
+    ("cp1258", "windows-1258", "single"), ("cp437", "IBM437", "single"), ("cp852", "IBM852", "single"), ("cp855", "IBM855", "single"), ("cp857", "IBM857", "single"), ("cp862", "IBM862", "single"), ("cp864", "IBM864", "single"), ("cp775", "IBM775", "single"),
+    ("koi8_u", "KOI8-U", "single"), ("tis_620", "TIS-620", "single"), ("gbk", "GBK", "multi"), ("gb2312", "GB2312", "multi"), ("big5hkscs", "Big5-HKSCS", "multi"), ("cp932", "Windows-31J", "multi"), ("cp949", "KS_C_5601-1987", "multi"),
+    ("johab", "Johab", "multi"), ("iso2022_kr", "ISO-2022-KR", "multi"), ("utf-32", "UTF-32", "unicode"),
 ]
 
 
 def encoding_names(spark: SparkSession) -> DataFrame:
-    """encoding, mime_name, family: one row an encoding that detection returns."""
+    """encoding, mime_name, family: one row an encoding that detection returns or conversion takes."""
     return spark.createDataFrame(NAMES, "encoding string, mime_name string, family string")
 
 
+def _wide_score(data: bytes, encoding: str) -> float:
+    try:
+        return _score(data.decode(encoding), encoding)
+    except UnicodeDecodeError:
+        return -1.0
+
+
+#: A result is reliable if it is this plausible itself and leads by this margin; below NOT_TEXT it is no text.
+PLAUSIBLE, MARGIN, NOT_TEXT = 0.4, 0.2, -0.6
+_MAGICS = tuple(bytes.fromhex(m) for m, _ in bom.MAGICS)
+_ASCII_PAIRS = re.compile(rb"[\x20-\x7e][\x20-\x7e]")
+
+
 def detect_bytes(data: bytes, hints: dict[str, float] | None = None) -> tuple[str, int, bool, str | None]:
     """Encoding, bytes looked at, whether that is reliable, and the second best. hints: scores to add by encoding."""
     part, used = data, len(data)
@@ -120,12 +155,17 @@ def detect_bytes(data: bytes, hints: dict[str, float] | None = None) -> tuple[st
     for mark, name in MARKS:
         if part.startswith(mark):
             return name, used, True, None
+    if part.startswith(_MAGICS):
+        return "binary", used, True, None
     if b"\0" in part:
         even, odd = part[0::2].count(0), part[1::2].count(0)
         if even + odd > len(part) * 0.6:
             return ("utf-32-be" if part[0] == 0 else "utf-32-le"), used, True, None
         if max(even, odd) > 2 * min(even, odd) + 2:
             return ("utf-16-be" if even > odd else "utf-16-le"), used, True, None
+        wide = sorted((_wide_score(part, name), name) for name in WIDE)
+        if wide[1][0] >= PLAUSIBLE:
+            return wide[1][1], used, wide[1][0] - wide[0][0] >= MARGIN, wide[0][1]
         return "binary", used, True, None
     if part.isascii():
         if re.search(rb"\x1b[$(][@BJI]", part):
@@ -145,18 +185,22 @@ def detect_bytes(data: bytes, hints: dict[str, float] | None = None) -> tuple[st
     except UnicodeDecodeError:
         pass
     ranked = []
-    for name in [*MULTI, *SINGLE]:
+    for name in CANDIDATES:
+        # text in two bytes has few letters of one byte in either half, which other text has throughout
+        if name in WIDE and (used % 2 or len(_ASCII_PAIRS.findall(part)) * 4 > used // 2):
+            continue
         try:
             ranked.append((_score(part.decode(name), name), name))
         except UnicodeDecodeError as e:
             if e.start >= used - 4 and name in MULTI:
                 ranked.append((_score(part[: e.start].decode(name), name), name))
     ranked = [(score + (hints or {}).get(name, 0.0), name) for score, name in ranked]
-    ranked.sort(key=lambda x: (-x[0], [*MULTI, *SINGLE].index(x[1])))
-    if not ranked:
-        return "binary", used, False, None
+    ranked.sort(key=lambda x: (-x[0], CANDIDATES.index(x[1])))
+    if not ranked or ranked[0][0] < NOT_TEXT:
+        return "binary", used, False, ranked[0][1] if ranked else None
     second = ranked[1] if len(ranked) > 1 else None
-    return ranked[0][1], used, second is None or ranked[0][0] - second[0] >= 0.2, second and second[1]
+    clear = second is None or ranked[0][0] - second[0] >= MARGIN
+    return ranked[0][1], used, clear and ranked[0][0] >= PLAUSIBLE, second and second[1]
 
 
 DETECTED = T.StructType(
@@ -194,6 +238,12 @@ def decode_as(content: pd.Series, charset: pd.Series) -> pd.Series:
     return pd.Series([one(c, n) for c, n in zip(content, charset, strict=True)])
 
 
+@F.pandas_udf(T.BinaryType())
+def encode_as(text: pd.Series, charset: pd.Series) -> pd.Series:
+    """text in the charset named; characters that it lacks become question marks."""
+    return pd.Series([None if t is None or n is None else t.encode(n, "replace") for t, n in zip(text, charset, strict=True)], dtype=object)
+
+
 def to_utf8(content: Column) -> Column:
     """content in UTF-8, whatever its detected encoding."""
     return F.encode(decode_as(content, detect(content)["encoding"]), "UTF-8")

@@ -140,9 +140,8 @@ def ssa_to_srt(text: Column) -> Column:
     Every group in braces is cut into single overrides; openers without a closer get one at the end.
     """
     text = F.regexp_replace(fix_angles(text), r"\\[nN]", "\n")
-    # one override a group
-    for _ in range(4):
-        text = F.regexp_replace(text, r"\{(\\[^{}\\]+)(\\[^{}]*)\}", r"{$1}{$2}")
+    # one override a group, however many a group has: each begins at its brace or where the one before ended
+    text = F.regexp_replace(text, r"(?:\{(?=\\[^{}]*\})|(?!^)(?<!\})\G)(\\[^{}\\]*)\}?", "{$1}")
     for x in LETTERS:
         text = F.regexp_replace(text, rf"\{{\\{x}1\}}", f"<{x}>")
         text = F.regexp_replace(text, rf"\{{\\{x}0?\}}", f"</{x}>")

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cueloom.functions.binary import bits, joined, u
-from cueloom.functions.timecode import ticks_to_ms
+from cueloom.functions.binary import bits, decode_pgs, joined, pixel_rows, u
+from cueloom.functions.color import ycbcr_to_rgb
+from cueloom.functions.timecode import ms_to_pes_stamp, ticks_to_ms
 
 
 def _list(**fields: T.DataType) -> T.ArrayType:
@@ -84,6 +85,74 @@ def pgs_objects(segments: DataFrame) -> DataFrame:
     ).drop("part")
 
 
+def _walked(body: Column, start: Column, count: Column, size) -> Column:
+    """Places of count records that follow each other from start on; size(place) is the bytes of the record there."""
+    first = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, _: F.struct((acc["at"] + size(acc["at"])).cast("int").alias("at"), F.when(acc["at"] < F.length(body), F.concat(acc["out"], F.array(acc["at"]))).otherwise(acc["out"]).alias("out"))
+    return F.when(count > 0, F.aggregate(F.sequence(F.lit(1), count.cast("int")), first, step)["out"]).otherwise(F.array().cast("array<int>"))
+
+
+def pgs_epochs(segments: DataFrame) -> DataFrame:
+    """segments with display_set, object_epoch and palette_epoch. An epoch start (0x80) clears objects and palettes, an acquisition
+    point (0x40) palettes."""
+    w = Window.partitionBy("file_id").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, 0)
+    state = F.when(F.col("type") == 22, u(F.col("body"), 7, 1))
+    counted = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(w)
+    return segments.withColumns({"display_set": counted(state.isNotNull()), "object_epoch": counted(state == 0x80), "palette_epoch": counted(state.isin(0x40, 0x80))})
+
+
+def pgs_composition_objects(segments: DataFrame) -> DataFrame:
+    """One row an object of a composition: its id, window, place, and the part of it that is shown (null: all of it)."""
+    b = F.col("body")
+    cropped = lambda at: bits(u(b, at + 3, 1), 6, 1) == 1
+    places = _walked(b, F.lit(11), u(b, 10, 1), lambda at: F.when(cropped(at), 16).otherwise(8))
+    each = segments.filter("type = 22").select("file_id", "seg_no", "display_set", "object_epoch", "palette_epoch", "pts", "body", F.posexplode(places).alias("object_no", "at"))
+    at = F.col("at")
+    crop = {n: F.when(cropped(at), u(b, at + o, 2)) for n, o in (("crop_x", 8), ("crop_y", 10), ("crop_width", 12), ("crop_height", 14))}
+    return each.select(
+        "file_id", "seg_no", "display_set", "object_epoch", "palette_epoch", ticks_to_ms(F.col("pts")).alias("pts_ms"), u(b, 9, 1).alias("palette_id"), "object_no",
+        u(b, at, 2).alias("object_id"), u(b, at + 2, 1).alias("window_id"), u(b, at + 4, 2).alias("x"), u(b, at + 6, 2).alias("y"), *[v.alias(n) for n, v in crop.items()],
+    )
+
+
+def pgs_colours(segments: DataFrame) -> DataFrame:
+    """pgs_palette_entries with rgba, eight hex digits."""
+    rgb = ycbcr_to_rgb(F.col("y"), F.col("cb"), F.col("cr"))
+    return pgs_palette_entries(segments).withColumn("rgba", F.concat(*[F.lpad(F.hex(c.cast("long")), 2, "0") for c in (*rgb, F.col("alpha"))]))
+
+
+def pgs_pictures(segments: DataFrame) -> DataFrame:
+    """What each composition shows: file_id, seg_no, object_no, pts_ms, x, y, width, height, rows (hex of RRGGBBAA pixels, one a line).
+
+    Of an object and of a palette's entry the last definition up to the composition's display set counts, within the
+    epoch that has not cleared it; entries never defined are transparent, objects never defined show nothing.
+    """
+    known = pgs_epochs(segments)
+    shown = pgs_composition_objects(known)
+    use = ["file_id", "seg_no", "object_no"]
+    where = known.select("file_id", F.col("seg_no").alias("first_seg"), F.col("display_set").alias("since"), "object_epoch")
+    objects = pgs_objects(segments).join(where, ["file_id", "first_seg"])
+    last = F.max_by(F.struct("width", "height", "rle"), F.col("first_seg")).alias("o")
+    pixels = shown.join(objects, ["file_id", "object_epoch", "object_id"]).filter("since <= display_set").groupBy(use).agg(last)
+
+    at = known.select("file_id", "seg_no", F.col("display_set").alias("since"), "palette_epoch")
+    entries = pgs_colours(segments).join(at, ["file_id", "seg_no"]).select("file_id", "palette_epoch", "palette_id", "entry", "rgba", "since", F.col("seg_no").alias("defined"))
+    sets = shown.select("file_id", "seg_no", "display_set", "palette_epoch", "palette_id").distinct()
+    colours = sets.join(entries, ["file_id", "palette_epoch", "palette_id"]).filter("since <= display_set").groupBy("file_id", "seg_no", "entry").agg(F.max_by("rgba", "defined").alias("rgba"))
+    colours = colours.groupBy("file_id", "seg_no").agg(F.map_from_entries(F.collect_list(F.struct("entry", "rgba"))).alias("m"))
+
+    clear = F.lit("00000000")
+    palette = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i.cast("long")), clear))
+    whole = shown.join(pixels, use).join(colours, ["file_id", "seg_no"], "left").withColumn("runs", decode_pgs("o.rle")).withColumn("palette", palette)
+    whole = whole.withColumn("rows", pixel_rows(F.col("runs"), F.col("palette"), "00000000"))
+    # rows end with what their runs cover; the object's size counts
+    rows = F.transform(F.slice("rows", F.lit(1), F.col("o.height").cast("int")), lambda r: F.rpad(r, F.col("o.width").cast("int") * 8, "0"))
+    cut = F.transform(F.slice(rows, F.col("crop_y").cast("int") + 1, F.col("crop_height").cast("int")), lambda r: F.substring(r, F.col("crop_x").cast("int") * 8 + 1, F.col("crop_width").cast("int") * 8))
+    return whole.select(
+        *use, "pts_ms", "x", "y", F.coalesce("crop_width", "o.width").alias("width"), F.coalesce("crop_height", "o.height").alias("height"), F.when(F.col("crop_x").isNull(), rows).otherwise(cut).alias("rows")
+    )
+
+
 def pgs_subtitles(compositions: DataFrame) -> DataFrame:
     """file_id, sub_no, start_ms, end_ms. A composition that clears, starts an epoch, or changes its object
     ends the one shown; one with objects then begins, or goes on if the object is the same."""
@@ -97,9 +166,19 @@ def pgs_subtitles(compositions: DataFrame) -> DataFrame:
     return out.select("file_id", F.row_number().over(w).alias("sub_no"), F.col("pts_ms").alias("start_ms"), F.coalesce("end_ms", "last_ms").alias("end_ms"))
 
 
-def pgs_changes(segments: DataFrame, ms: int) -> DataFrame:
-    """file_id, offset, bytes: patches that move both stamps of every segment, not below zero."""
-    moved = lambda c: F.unhex(F.lpad(F.hex(F.greatest(F.col(c) + ms * 90, F.lit(0))), 8, "0"))
+def on_line(old_first: int, old_last: int, new_first: int, new_last: int):
+    """A change of times in ms for pgs_changes and pes_changes: along the line through two anchors."""
+    if old_first == old_last:
+        raise ValueError("the anchors are the same")
+    ratio = (new_last - new_first) / (old_last - old_first)
+    return lambda ms: (F.lit(float(new_first)) + (ms - old_first) * F.lit(ratio)).cast("long")
+
+
+def pgs_changes(segments: DataFrame, change) -> DataFrame:
+    """file_id, offset, bytes: patches that change both stamps of every segment, not below zero. change: ms to add, or
+    a function of the old time in ms such as on_line()."""
+    new = (lambda c: F.col(c) + change * 90) if isinstance(change, int) else (lambda c: change(ticks_to_ms(F.col(c))) * 90)
+    moved = lambda c: F.unhex(F.lpad(F.hex(F.greatest(new(c), F.lit(0))), 8, "0"))
     each = F.explode(F.array(F.struct((F.col("pos") + 2).alias("offset"), moved("pts").alias("bytes")), F.struct((F.col("pos") + 6).alias("offset"), moved("dts").alias("bytes"))))
     return segments.select("file_id", each.alias("c")).select("file_id", "c.offset", "c.bytes")
 
@@ -179,6 +258,29 @@ def pes_payloads(packets: DataFrame) -> DataFrame:
     )
 
 
+def pes_changes(packets: DataFrame, change) -> DataFrame:
+    """file_id, offset, bytes: patches of the stamps in packets of private stream 1; change as in pgs_changes."""
+    d = F.col("data")
+    flags = bits(u(d, 7, 1), 6, 2)
+    new = (lambda t: ticks_to_ms(t) + change) if isinstance(change, int) else (lambda t: change(ticks_to_ms(t)))
+    patch = lambda on, at, prefix: F.when(on, F.struct((F.col("pos") + at).alias("offset"), F.unhex(ms_to_pes_stamp(F.greatest(new(stamp(d, at)), F.lit(0)), prefix)).alias("bytes")))
+    each = F.explode(F.array_compact(F.array(patch(flags == 2, 9, 2), patch(flags == 3, 9, 3), patch(flags == 3, 14, 1))))
+    return packets.filter("kind = 189").select("file_id", each.alias("c")).select("file_id", "c.offset", "c.bytes")
+
+
+def indexed_packets(entries: DataFrame, packets: DataFrame) -> DataFrame:
+    """packets of program streams with lang, lang_index, ts_no and start_ms of the index entry whose place in the file they follow.
+
+    Both have file_id; an entry's place is filepos, a packet's pos. Packets before the first entry have none.
+    """
+    columns = ["lang", "lang_index", "ts_no", "start_ms"]
+    mark = entries.select("file_id", F.col("filepos").alias("pos"), F.lit(0).alias("kind_of_row"), F.struct(*columns).alias("entry"), F.lit(None).cast("int").alias("pkt_no"), F.lit(None).cast("int").alias("kind"))
+    rows = packets.select("file_id", "pos", F.lit(1).alias("kind_of_row"), F.lit(None).cast(mark.schema["entry"].dataType).alias("entry"), "pkt_no", "kind")
+    w = Window.partitionBy("file_id").orderBy("pos", "kind_of_row").rowsBetween(Window.unboundedPreceding, 0)
+    both = mark.unionByName(rows).withColumn("entry", F.last("entry", ignorenulls=True).over(w)).filter("kind_of_row = 1")
+    return both.select("file_id", "pkt_no", "pos", "kind", *[F.col(f"entry.{c}").alias(c) for c in columns])
+
+
 def pes_headers(packets: DataFrame) -> DataFrame:
     """All fields of the headers of packets (data from its start code): flags, stamps and the optional parts in their order.
 
@@ -288,16 +390,37 @@ def adaptation_fields(packets: DataFrame) -> DataFrame:
     )
 
 
+def _unit_parts(packets: DataFrame) -> DataFrame:
+    """file_id, pid, unit, pkt_no, data: what a packet adds to a unit. The bytes before a pointer end the unit before."""
+    w = Window.partitionBy("file_id", "pid").orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, 0)
+    p = packets.filter(F.length("payload") > 0).withColumn("unit", F.sum("pusi").over(w))
+    pointer, payload = u(F.col("payload"), 0, 1).cast("int"), F.col("payload")
+    part = lambda unit, data: F.struct(unit.alias("unit"), data.alias("data"))
+    starts = F.array(part(F.col("unit") - 1, F.substring(payload, F.lit(2), pointer)), part(F.col("unit"), F.substring(payload, pointer + 2, F.lit(188))))
+    each = p.select("file_id", "pid", "pkt_no", F.explode(F.when(F.col("pusi") == 1, starts).otherwise(F.array(part(F.col("unit"), payload)))).alias("p"))
+    return each.select("file_id", "pid", "pkt_no", "p.unit", "p.data").filter("unit > 0")
+
+
 def psi_sections(packets: DataFrame) -> DataFrame:
     """Sections of table PIDs: file_id, pid, section_no, pkt_no, table_id, body (after the length, without CRC).
 
-    A packet that starts a unit begins a new one; its pointer skips the end of the one before."""
-    w = Window.partitionBy("file_id", "pid").orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, 0)
-    p = packets.filter(F.col("payload").isNotNull()).withColumn("unit", F.sum("pusi").over(w)).filter("unit > 0")
-    data = F.when(F.col("pusi") == 1, F.substring("payload", u(F.col("payload"), 0, 1).cast("int") + 2, F.lit(188))).otherwise(F.col("payload"))
-    whole = p.groupBy("file_id", "pid", "unit").agg(F.min("pkt_no").alias("pkt_no"), joined(F.col("pkt_no"), data).alias("data"))
-    size = bits(u(F.col("data"), 1, 2), 0, 12).cast("int")
-    return whole.select("file_id", "pid", F.col("unit").alias("section_no"), "pkt_no", u(F.col("data"), 0, 1).alias("table_id"), F.substring("data", F.lit(4), size - 4).alias("body"))
+    A unit goes from a pointer to the next; it holds one section or more, up to stuffing. A section that
+    its unit does not hold whole, as at the end of a cut stream, is left out. pkt_no is that of the unit's first packet."""
+    whole = _unit_parts(packets).groupBy("file_id", "pid", "unit").agg(F.min("pkt_no").alias("pkt_no"), joined(F.col("pkt_no"), F.col("data")).alias("data"))
+    data, none = F.col("data"), F.lit(None).cast("int")
+
+    def step(acc: Column, _: Column) -> Column:
+        at = acc["at"]
+        size = bits(u(data, at + 1, 2), 0, 12).cast("int") + 3
+        good = at.isNotNull() & (u(data, at, 1) != 0xFF) & (at + size <= F.length(data))
+        return F.struct(F.when(good, at + size).otherwise(none).alias("at"), F.when(good, F.concat(acc["out"], F.array(F.struct(at.alias("at"), size.alias("size"))))).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,size:int>>").alias("out"))
+    # a section has seven bytes at least
+    places = F.aggregate(F.sequence(F.lit(0), F.expr("int(length(data) div 7)")), start, step)["out"]
+    each = whole.select("file_id", "pid", "unit", "pkt_no", "data", F.inline(places))
+    number = F.row_number().over(Window.partitionBy("file_id", "pid").orderBy("unit", "at"))
+    return each.select("file_id", "pid", number.alias("section_no"), "pkt_no", u(data, F.col("at"), 1).alias("table_id"), F.substring(data, F.col("at") + 4, F.col("size") - 7).alias("body"))
 
 
 def pat_programs(sections: DataFrame) -> DataFrame:

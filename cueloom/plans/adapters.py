@@ -57,7 +57,7 @@ SQL = {
     "cues_events": "SELECT file_id, cue_no, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY file_id ORDER BY cue_no), start_ms + 1000) AS end_ms, text FROM (SELECT user_id AS file_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cue_no, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) // 1000 AS start_ms, event_type AS text FROM events)",
     "doc_lines": "SELECT doc_id AS file_id, unnest(range(1, len(p) + 1)) AS line_no, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)",
     "cues_docs": "SELECT file_id, line_no AS cue_no, line_no * 2000 AS start_ms, line_no * 2000 + 2000 AS end_ms, CASE WHEN line_no % 7 = 0 THEN '...' ELSE line END AS text FROM doc_lines",
-    "cues_pages": "SELECT page_id AS file_id, 1::BIGINT AS cue_no, 0::BIGINT AS start_ms, 1000::BIGINT AS end_ms, '{ \\an8 }< i >' || substr(html, 1, 40) || '</ i><FONT COLOR = \"#ff0000\">' || substr(html, 41, 200) || '< /font ><U>x</u ><s>' || substr(html, 241, 100000) AS text FROM pages",
+    "cues_pages": "SELECT page_id AS file_id, 1::BIGINT AS cue_no, 0::BIGINT AS start_ms, 1000::BIGINT AS end_ms, '{ \\an8 }< i >' || substr(html, 1, 40) || '</ i><FONT COLOR = \"#ff0000\">' || substr(html, 41, 200) || '< /font ><U>x</u ><s>' || substr(html, 241) AS text FROM pages",
 }
 
 

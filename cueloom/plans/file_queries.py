@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.functions import binary, encoding, timecode
+from cueloom.functions import binary, encoding, markup, timecode
 from cueloom.operators import binary_streams as bs
 from cueloom.operators import cues as ops
 from cueloom.operators import dictionaries, pictures
@@ -80,6 +80,15 @@ add(
 )
 
 
+def _overrides(s: SparkSession, d: str) -> DataFrame:
+    """Eight overrides in a group, and one group right after another."""
+    tags = F.lit("{\\fs20\\fnArial\\shad1\\bord2\\blur1\\i1\\b1\\an8}{\\u1\\k5}")
+    return cues_conv(s, d).select("file_id", "cue_no", markup.ssa_to_srt(F.concat(tags, F.lit("x "), F.translate("text", "<>{}\\", ""), F.lit("{\\i0\\b0\\u0} end"))).alias("text"))
+
+
+add("ssa_overrides", _overrides, "SELECT file_id, cue_no, '<i><b>{\\an8}<u>x ' || translate(text, '<>{}\\', '') || '</i></b></u> end' AS text FROM cues_conv")
+
+
 def _idx_lines(s: SparkSession, d: str) -> DataFrame:
     o = table(s, d, "orders").select((F.col("o_orderkey") % 50).alias("file_id"), "o_orderkey")
     lang = F.col("o_orderkey") % 100 >= 50
@@ -155,6 +164,44 @@ def _pgs_retimed(s: SparkSession, d: str) -> DataFrame:
 
 add("byte_patch", _pgs_retimed, "SELECT c_custkey AS file_id, n AS sub_no, greatest(c_custkey * 100 + a - 300, 0) AS start_ms, greatest(c_custkey * 100 + b - 300, 0) AS end_ms FROM customer, (VALUES (1, 0, 1000), (2, 1500, 1800), (3, 1800, 2500)) x(n, a, b)")
 
+
+
+def _pgs_two_epochs(s: SparkSession, d: str) -> DataFrame:
+    """Two objects in a composition, one cropped; then a palette changed; then an epoch that clears both."""
+    def seg(kind: str, ms: int, body: str) -> Column:
+        t = F.col("c_custkey") * 100 + ms
+        return F.concat(F.lit("5047"), _hex(t * 90, 8), F.lit("00000000" + kind + f"{len(body) // 2:04X}" + body))
+
+    pcs = lambda state, *objects: "07800438100001" + state + "0000" + f"{len(objects):02X}" + "".join(objects)
+    two = ("00010000" + "00100020", "00020140" + "00300040" + "0001000000020001")
+    ods = lambda no, width, rle: f"{no:04X}00C0{len(rle) // 2 + 4:06X}{width:04X}0001{rle}"
+    parts = [
+        seg("16", 0, pcs("80", *two)), seg("14", 0, "0000" + "01108080FF" + "02EB808080"), seg("15", 0, ods(1, 2, "01020000")), seg("15", 0, ods(2, 3, "0102020000")), seg("80", 0, ""),
+        seg("16", 500, pcs("00", two[0])), seg("14", 500, "0001" + "01EB8080FF"), seg("80", 500, ""),
+        seg("16", 900, pcs("80", two[0])), seg("15", 900, ods(1, 1, "020000")), seg("80", 900, ""),
+        seg("16", 1200, pcs("00", two[1])), seg("80", 1200, ""),
+    ]
+    files = table(s, d, "customer").select(F.col("c_custkey").alias("file_id"), F.unhex(F.concat(*parts)).alias("content"))
+    out = bs.pgs_pictures(bs.pgs_segments(files))
+    return out.select("file_id", "seg_no", "object_no", "pts_ms", "x", "y", "width", "height", F.array_join("rows", "/").alias("rows"), F.array_join(sinks.premultiplied(F.col("rows")), "/").alias("premultiplied"))
+
+
+add(
+    "pgs_pictures",
+    _pgs_two_epochs,
+    "SELECT c_custkey AS file_id, n AS seg_no, o AS object_no, c_custkey * 100 + t AS pts_ms, x::BIGINT AS x, y::BIGINT AS y, w::BIGINT AS width, 1::BIGINT AS height, r AS rows, p AS premultiplied FROM customer, "
+    "(VALUES (1, 0, 0, 16, 32, 2, '000000FFFFFFFF80', '000000808080'), (1, 1, 0, 48, 64, 2, 'FFFFFF80FFFFFF80', '808080808080'), (6, 0, 500, 16, 32, 2, 'FFFFFFFFFFFFFF80', 'FFFFFF808080'), (9, 0, 900, 16, 32, 1, '00000000', '000000')) v(n, o, t, x, y, w, r, p)",
+)
+
+
+def _pgs_synced(s: SparkSession, d: str) -> DataFrame:
+    files = _pgs_files(s, d)
+    moved = bs.apply_changes(files, bs.pgs_changes(bs.pgs_segments(files), bs.on_line(0, 1000, 500, 2500)))
+    return bs.pgs_subtitles(bs.pgs_compositions(bs.pgs_segments(moved)))
+
+
+add("pgs_sync", _pgs_synced, "SELECT c_custkey AS file_id, n AS sub_no, 500 + 2 * (c_custkey * 100 + a) AS start_ms, 500 + 2 * (c_custkey * 100 + b) AS end_ms FROM customer, (VALUES (1, 0, 1000), (2, 1500, 1800), (3, 1800, 2500)) x(n, a, b)")
+
 # program streams
 
 
@@ -173,6 +220,24 @@ def _vob_files(s: SparkSession, d: str) -> DataFrame:
 add("vob_packets", lambda s, d: bs.ps_packets(_vob_files(s, d)).groupBy("file_id", "kind").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos")), "SELECT p_partkey AS file_id, k AS kind, n::BIGINT AS n, p::BIGINT AS first_pos FROM part, (VALUES (186, 2, 0), (189, 2, 14), (185, 1, 85)) x(k, n, p)")
 
 
+def _vob_retimed(s: SparkSession, d: str) -> DataFrame:
+    files = _vob_files(s, d)
+    moved = bs.apply_changes(files, bs.pes_changes(bs.ps_packets(files), -2000))
+    return bs.sub_pictures(bs.pes_payloads(bs.ps_packets(moved))).select("file_id", "substream", "pts_ms")
+
+
+add("vob_retime", _vob_retimed, "SELECT p_partkey AS file_id, 32::BIGINT AS substream, greatest(p_partkey * 40 - 2000, 0) AS pts_ms FROM part")
+
+
+def _vob_indexed(s: SparkSession, d: str) -> DataFrame:
+    key = F.col("p_partkey")
+    entries = table(s, d, "part").select(key.alias("file_id"), F.explode(F.array(*[F.struct(F.lit(x).alias("lang"), F.lit(i).alias("lang_index"), F.lit(1).alias("ts_no"), (F.col("p_partkey") * 40 + i).alias("start_ms"), F.lit(p).cast("long").alias("filepos")) for x, i, p in (("en", 0, 14), ("fr", 1, 85))])).alias("e")).select("file_id", "e.*")
+    return bs.indexed_packets(entries, bs.ps_packets(_vob_files(s, d)))
+
+
+add("idx_packets", _vob_indexed, "SELECT p_partkey AS file_id, v.n AS pkt_no, v.p::BIGINT AS pos, v.k AS kind, v.l AS lang, v.i AS lang_index, CASE WHEN v.l IS NOT NULL THEN 1 END AS ts_no, p_partkey * 40 + v.i AS start_ms FROM part, (VALUES (1, 0, 186, NULL, NULL), (2, 14, 189, 'en', 0), (3, 49, 186, 'en', 0), (4, 63, 189, 'en', 0), (5, 85, 185, 'fr', 1)) v(n, p, k, l, i)")
+
+
 def _pictures(s: SparkSession, d: str) -> DataFrame:
     spu = bs.sub_pictures(bs.pes_payloads(bs.ps_packets(_vob_files(s, d))))
     commands = F.transform(bs.control_commands("data", F.col("control_at").cast("int")), lambda c: c["command"].cast("string"))
@@ -213,6 +278,18 @@ def _dvb(s: SparkSession, d: str) -> DataFrame:
     return bs.dvb_segments(bs.pes_units(mine))
 
 
+def _psi(s: SparkSession, d: str) -> DataFrame:
+    """Three sections in two packets: one whole, one that ends before the second packet's pointer, one after it."""
+    k = F.col("s_suppkey")
+    section = lambda table_id, size, fill: F.concat(F.lit(f"{table_id:02X}F0{size:02X}"), _hex(k, 8), F.repeat(F.lit(fill), size - 4))
+    stream = F.concat(section(0x42, 40, "AB"), section(0x46, 200, "CD"))
+    first, second = F.substring(stream, 1, 366), F.substring(stream, 367, 1000)
+    packets = F.concat(F.lit("47401110" + "00"), first, F.rpad(F.concat(F.lit("47401111" + f"{43 + 203 - 183:02X}"), second, section(0x4A, 30, "EF")), 376, "F"))
+    sections = bs.psi_sections(bs.ts_packets(table(s, d, "supplier").select(k.alias("file_id"), F.unhex(packets).alias("content"))))
+    return sections.select("file_id", "pid", "section_no", "pkt_no", "table_id", F.length("body").alias("size"), F.hex(F.substring("body", 1, 5)).alias("head"))
+
+
+add("psi_sections", _psi, "SELECT s_suppkey AS file_id, 17::BIGINT AS pid, n AS section_no, p AS pkt_no, t::BIGINT AS table_id, z AS size, printf('%08X', s_suppkey) || f AS head FROM supplier, (VALUES (1, 0, 66, 36, 'AB'), (2, 0, 70, 196, 'CD'), (3, 1, 74, 26, 'EF')) x(n, p, t, z, f)")
 add("dvb_display_sets", lambda s, d: bs.dvb_subtitles(bs.dvb_pages(_dvb(s, d))), "SELECT s_suppkey AS file_id, 1 AS page_id, s_suppkey * 10 AS start_ms, s_suppkey * 10 + CASE WHEN s_suppkey % 4 IN (1, 2) THEN s_suppkey % 4 * 1000 ELSE 2500 END AS end_ms FROM supplier")
 add("dvb_region_places", lambda s, d: bs.dvb_region_places(_dvb(s, d)).drop("unit", "seg_no", "i"), "SELECT s_suppkey AS file_id, 257::BIGINT AS pid, 1 AS page_id, 0::BIGINT AS region_id, 16::BIGINT AS x, 32::BIGINT AS y FROM supplier")
 
@@ -309,7 +386,33 @@ def _encoded(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", "text", content.alias("content"))
 
 
-add("detect_encoding", lambda s, d: _encoded(s, d).select("doc_id", encoding.detect("content").alias("e")).select("doc_id", "e.*"))
+#: A text in each encoding; what detection calls it is the same name.
+_RU = "Съешь же ещё этих мягких французских булок, да выпей чаю. Ёжик идёт домой, и Маша тоже."
+_FR = "Dès Noël, où un zéphyr haï me vêt de glaçons, je dîne d'exquis rôtis de bœuf à l'ail, été comme hiver."
+_FR_850 = _FR.replace("œ", "oe")
+_SAMPLES = [
+    ("cp1251", _RU), ("koi8_r", _RU), ("iso8859_5", _RU), ("cp866", _RU), ("mac_cyrillic", _RU), ("cp1252", _FR), ("mac_roman", _FR), ("cp850", _FR_850), ("utf-8", _FR + _RU),
+    ("iso8859_7", "Τα παιδιά παίζουν στον κήπο και η γιαγιά μαγειρεύει το φαγητό για όλους."), ("cp1255", "הילדים משחקים בגן והסבתא מבשלת את האוכל לכולם היום"), ("cp1256", "الأطفال يلعبون في الحديقة والجدة تطبخ الطعام للجميع اليوم"),
+    ("cp874", "เด็กๆเล่นในสวนและคุณยายทำอาหารให้ทุกคนในวันนี้"), ("iso8859_9", "Çocuklar bahçede oynuyor, büyükanne herkes için güzel bir akşam yemeği pişiriyor, ığdır şehri."), ("cp1257", "Vaikai žaidžia sode, o močiutė verda valgį visiems šiandien, ąžuolas, ėjo, įėjo, ūkis."),
+    ("cp1250", "Zażółć gęślą jaźń. Dzieci bawią się w ogrodzie, a źrebię śpi, świat jest piękny, ćma i łąka."), ("iso8859_2", "Zażółć gęślą jaźń. Dzieci bawią się w ogrodzie, a źrebię śpi, świat jest piękny, ćma i łąka."),
+    ("shift_jis", "これは日本語の文章です。今日はとても良い天気でしたから、子供たちは公園で遊びました。"), ("euc_jp", "これは日本語の文章です。今日はとても良い天気でしたから、子供たちは公園で遊びました。"), ("euc_kr", "아이들은 공원에서 놀고 할머니는 모두를 위해 음식을 만듭니다 오늘은 날씨가 좋습니다"),
+    ("gb18030", "今天天气很好，我们一起去公园玩，大家都很高兴，这是一个美丽的国家，人们生活得很好。"), ("big5", "今天天氣很好，我們一起去公園玩，大家都很高興，這是一個美麗的國家，人們生活得很好。"), ("utf-16-le", "今天天气很好我们一起去公园玩大家都很高兴这是一个美丽的国家人们生活得很好"), ("utf-16-be", "今天天气很好我们一起去公园玩大家都很高兴这是一个美丽的国家人们生活得很好"),
+]
+_WIDE_FROM = len(_SAMPLES) - 2
+
+
+def _sampled(s: SparkSession, d: str) -> DataFrame:
+    """A sample behind plain ASCII of the document: none, 20 kB or, for every 240th, 400 kB; wide ones stand alone."""
+    k = (F.col("doc_id") % len(_SAMPLES)).cast("int")
+    pick = lambda i: F.get(F.array(*[F.lit(x[i]) for x in _SAMPLES]), k)
+    plain = F.concat(F.regexp_replace("text", r"[^\x20-\x7e]", " "), F.lit(" plain text "))
+    size = F.when(k >= _WIDE_FROM, 0).when(F.col("doc_id") % 240 < 24, 400_000).when(F.col("doc_id") % 2 == 0, 20_000).otherwise(0)
+    head = F.substring(F.repeat(plain, F.when(size > 0, size / F.length(plain) + 1).otherwise(0).cast("int")), F.lit(1), size)
+    docs = table(s, d, "documents").filter("text IS NOT NULL")
+    return docs.select("doc_id", encoding.encode_as(F.concat(head, pick(1)), pick(0)).alias("content"))
+
+
+add("detect_encoding", lambda s, d: _sampled(s, d).select("doc_id", encoding.detect("content")["encoding"].alias("encoding")), "SELECT doc_id, [" + ", ".join(f"'{n}'" for n, _ in _SAMPLES) + f"][doc_id % {len(_SAMPLES)} + 1] AS encoding FROM documents WHERE text IS NOT NULL")
 add("transcode_utf8", lambda s, d: _encoded(s, d).select("doc_id", F.decode(encoding.to_utf8(F.col("content")), "UTF-8").alias("text")), "SELECT doc_id, text FROM documents")
 
 
@@ -318,7 +421,7 @@ def _hinted(s: SparkSession, d: str) -> DataFrame:
 
 
 add("detect_encoding_hinted", _hinted)
-add("encoding_names", lambda s, d: encoding.encoding_names(s).groupBy("family").agg(F.count("*").alias("n")), "SELECT * FROM (VALUES ('unicode', 8::BIGINT), ('multi', 7), ('single', 12), ('ascii', 1), ('binary', 1)) x(family, n)")
+add("encoding_names", lambda s, d: encoding.encoding_names(s).groupBy("family").agg(F.count("*").alias("n")), "SELECT * FROM (VALUES ('unicode', 9::BIGINT), ('multi', 14), ('single', 39), ('ascii', 1), ('binary', 1)) x(family, n)")
 
 
 def _marked(s: SparkSession, d: str) -> DataFrame:

@@ -323,12 +323,12 @@ add(
 
 def _marked(s: SparkSession, d: str) -> DataFrame:
     marks = F.array(F.lit(""), *[F.lit(m) for _, _, m in bom.BOMS])
-    content = F.concat(F.unhex(F.get(marks, (F.col("doc_id") % 12).cast("int"))), F.encode(F.substring("text", 1, 60), "UTF-8"))
+    content = F.concat(F.unhex(F.get(marks, (F.col("doc_id") % 12).cast("int"))), F.encode("text", "UTF-8"))
     return table(s, d, "documents").select("doc_id", content.alias("content"))
 
 
 _MARKS = "['', " + ", ".join(f"'{m}'" for _, _, m in bom.BOMS) + "]"
-_BOMSQL = f"(SELECT doc_id, doc_id % 12 AS k, {_MARKS}[doc_id % 12 + 1] AS m, hex(encode(substr(text, 1, 60))) AS h FROM documents)"
+_BOMSQL = f"(SELECT doc_id, doc_id % 12 AS k, {_MARKS}[doc_id % 12 + 1] AS m, hex(encode(text)) AS h FROM documents)"
 _NAMES = "[NULL, " + ", ".join(f"'{n}'" for _, n, _ in bom.BOMS) + "]"
 add("bom_detect", lambda s, d: _marked(s, d).select("doc_id", bom.bom_id(F.col("content")).alias("bom_id"), bom.bom_name(F.col("content")).alias("name")), f"SELECT doc_id, k::INT AS bom_id, {_NAMES}[k + 1] AS name FROM {_BOMSQL}")
 add("bom_strip", lambda s, d: _marked(s, d).select("doc_id", F.hex(bom.strip_bom(F.col("content"))).alias("bytes")), f"SELECT doc_id, h AS bytes FROM {_BOMSQL}")

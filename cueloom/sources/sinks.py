@@ -42,11 +42,32 @@ def write_lines(lines: DataFrame, path: str, order: str = "line_no") -> None:
     placed.select("file_id", F.col("line").alias("value")).write.partitionBy("file_id").mode("errorifexists").text(path)
 
 
+def write_texts(files: DataFrame, path: str, content: str = "content") -> None:
+    """One text file with the content (BINARY in UTF-8, or STRING) of each file_id, in a folder file_id=... of its own; refuses to overwrite.
+
+    A content that does not end with a line end gets one.
+    """
+    text = F.regexp_replace(F.col(content).cast("string"), "\n\\z", "")
+    files.select("file_id", text.alias("value")).repartition("file_id").write.partitionBy("file_id").mode("errorifexists").text(path)
+
+
+def write_srt(cues: DataFrame, path: str, mark: int = 0) -> None:
+    """SubRip files on disk; mark: 1 for a mark of UTF-8."""
+    write_texts(srt_text(cues, mark), path)
+
+
 def write_contents(files: DataFrame, path: str) -> None:
     """content (BINARY) of each file_id, as a Parquet table of whole files; refuses to overwrite."""
     files.write.mode("errorifexists").parquet(path)
 
 
+def premultiplied(rows):
+    """Hex rows of RRGGBB pixels from rows of RRGGBBAA: colours times alpha / 255, rounded down."""
+    value = lambda p, i: F.conv(F.substring(p, i, 2), 16, 10).cast("long")
+    pixel = lambda p: F.concat(*[F.lpad(F.hex(F.floor(value(p, i) * value(p, 7) / 255).cast("long")), 2, "0") for i in (1, 3, 5)])
+    return F.transform(rows, lambda r: F.array_join(F.transform(F.regexp_extract_all(r, F.lit("([0-9A-F]{8})")), pixel), ""))
+
+
 def bmp(width, height, rgb):
     """A bottom-up 24-bit bitmap (BINARY) of hex rows top to bottom, each of RRGGBB pixels; rgb: array<string>."""
     pad = (F.lit(4) - (width * 3) % 4) % 4

@@ -71,8 +71,11 @@ def text_blocks(texts: DataFrame) -> DataFrame:
 NAME = r"(\d\d_\d\d_\d\d_\d{3})__(\d\d_\d\d_\d\d_\d{3})"
 
 
-def named_cues(files: DataFrame, group: str = "file_id") -> DataFrame:
-    """Cues from files whose names are their times (hh_mm_ss_mmm__hh_mm_ss_mmm); files: group, path, content."""
+def named_cues(files: DataFrame, group: str = "file_id", listed: DataFrame | None = None) -> DataFrame:
+    """Cues from files whose names are their times (hh_mm_ss_mmm__hh_mm_ss_mmm); files: group, path, content.
+
+    listed: lines (file_id, line_no, line) of list files; cues then come in their order, and only those listed.
+    """
     name = F.element_at(F.split("path", "/"), -1)
     df = files.select(
         F.col(group).alias("file_id"),
@@ -81,7 +84,11 @@ def named_cues(files: DataFrame, group: str = "file_id") -> DataFrame:
         timecode.clock_to_ms(F.regexp_extract(name, NAME, 2)).alias("end_ms"),
         F.btrim(F.translate(F.decode("content", "UTF-8"), "\r", ""), F.lit("\n")).alias("text"),
     )
-    w = Window.partitionBy("file_id").orderBy("start_ms", "name")
+    order = ["start_ms", "name"]
+    if listed is not None:
+        names = listed.select("file_id", "line_no", F.element_at(F.split(F.trim("line"), "/"), -1).alias("name"))
+        df, order = df.join(names, ["file_id", "name"]), ["line_no"]
+    w = Window.partitionBy("file_id").orderBy(*order)
     return df.withColumn("cue_no", F.row_number().over(w)).select("file_id", "cue_no", "start_ms", "end_ms", "text")
 
 

@@ -60,20 +60,22 @@ def combine_stream(cues: DataFrame) -> DataFrame:
 
 def reassemble_stream(packets: DataFrame) -> DataFrame:
     """Units of each (file_id, pid) from packets (pkt_no, pusi, payload) that arrive in order; the open unit's
-    bytes are the state."""
+    bytes are the state. A packet of a null payload ends a file's pid: the open unit comes out then."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = bytes(state.get[0]) if state.exists else None
+        held: list[bytes] = [bytes(state.get[0])] if state.exists else []
         out = []
-        for _, row in pd.concat(list(batches)).sort_values("pkt_no").iterrows():
-            if row["pusi"] == 1:
-                if held is not None:
-                    out.append((key[0], key[1], held))
-                held = bytes(row["payload"])
-            elif held is not None:
-                held += bytes(row["payload"])
-        if held is not None:
-            state.update((held,))
+        rows = pd.concat(list(batches)).sort_values("pkt_no")
+        for pusi, payload in zip(rows["pusi"], rows["payload"], strict=True):
+            if held and (payload is None or pusi == 1):
+                out.append((key[0], key[1], b"".join(held)))
+                held = []
+            if payload is not None and (held or pusi == 1):
+                held.append(bytes(payload))
+        if held:
+            state.update((b"".join(held),))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["file_id", "pid", "data"])
 
     return packets.groupBy("file_id", "pid").applyInPandasWithState(
