@@ -42,6 +42,8 @@ OVER, UNDER = 4, 5
 SAMPLE, FREQUENT = 5000, 3
 #: Frequent shingles in the order's table at most; any other is ordered by its hash alone.
 TABLE = 200_000
+#: Rows whose texts are compared again: their marks are broadcast up to so many (16 MB), and joined by a shuffle beyond.
+BROADCAST_MARKS = 1_000_000
 #: Bits of a sketch: the parity of a set's hashes by their last bits.
 BITS = 1024
 
@@ -120,20 +122,33 @@ def _near(a: str, b: str) -> Column:
     return F.lit(UNDER) * F.least(a, b) >= F.lit(OVER) * F.greatest(a, b)
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of pairs (u, v) whose sets are similar; distinct: sig, n, sketch and the mark of one of its rows."""
-    side = lambda sig, n, bits: distinct.select(F.col("sig").alias(sig), F.col("n").alias(n), F.col("sketch").alias(bits))
-    drawn = pairs.join(side("u", "m", "a"), "u").join(side("v", "n", "b"), "v")
+def _plausible(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Those of pairs (u, v) whose sizes and sketches allow similar sets; distinct: sig, n and sketch."""
+    side = lambda sig, **columns: distinct.select(F.col("sig").alias(sig), *[F.col(c).alias(x) for x, c in columns.items()])
+    sized = pairs.join(side("u", m="n"), "u").join(side("v", n="n"), "v").filter(_near("m", "n"))
+    drawn = sized.join(side("u", a="sketch"), "u").join(side("v", b="sketch"), "v")
     bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    drawn = drawn.filter(_near("m", "n"))
-    pairs = cut_lineage(drawn.filter((OVER + UNDER) * bits <= (UNDER - OVER) * (F.col("m") + F.col("n"))).select("u", "v"))
-    named = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct().join(distinct.select("sig", "mark"), "sig")
-    texts = rows.join(named.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"])
-    found = cut_lineage(named.join(sets(texts), "mark").select("sig", "shingles"))
+    return cut_lineage(drawn.filter((OVER + UNDER) * bits <= (UNDER - OVER) * (F.col("m") + F.col("n"))).select("u", "v"))
+
+
+def _verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of pairs (u, v) whose sets are similar; distinct: sig and the mark of one of its rows."""
+    named = cut_lineage(pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct().join(distinct.select("sig", "mark"), "sig"))
+    # texts are shuffled only where the marks wanted are too many to go to every task
+    named = F.broadcast(named) if named.count() <= BROADCAST_MARKS else named
+    found = sets(rows.join(named.select("mark"), "mark", "left_semi")).join(named, "mark").select("sig", "shingles").dropDuplicates(["sig"])
     a, b = found.select(F.col("sig").alias("u"), F.col("shingles").alias("a")), found.select(F.col("sig").alias("v"), F.col("shingles").alias("b"))
     both = pairs.join(a, "u").join(b, "v")
     # J = i / (a + b - i) >= OVER / UNDER
-    return both.filter((OVER + UNDER) * F.size(F.array_intersect("a", "b")) >= OVER * (F.size("a") + F.size("b"))).select("u", "v")
+    alike = (OVER + UNDER) * F.size(F.array_intersect("a", "b")) >= OVER * (F.size("a") + F.size("b"))
+    return cut_lineage(both.filter(alike).select("u", "v"))
+
+
+def _apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """Those of pairs (u, v) that links do not connect; linked: node, component."""
+    side = lambda c, x: linked.select(F.col("node").alias(c), F.col("component").alias(x))
+    both = pairs.join(side("u", "x"), "u", "left").join(side("v", "y"), "v", "left")
+    return both.filter(F.coalesce("x", "u") != F.coalesce("y", "v")).select("u", "v")
 
 
 def _by_fingerprint(distinct: DataFrame) -> DataFrame:
@@ -156,7 +171,10 @@ def links(marked: DataFrame, rows: DataFrame) -> DataFrame:
     # rows of equal sets have equal prefixes and count once
     shared = cut_lineage(join_by_key(each, met, ["at"], total).select("at", "least", "sig", "size").distinct())
     stars = shared.filter("least < sig").select(F.col("least").alias("u"), F.col("sig").alias("v"))
-    first = cut_lineage(_verified(stars.union(_by_fingerprint(distinct)).distinct(), distinct, rows))
+    some = _plausible(stars.union(_by_fingerprint(distinct)).distinct(), distinct)
+    # one pair a set first, which connects most; then those that are still apart
+    first = _verified(some.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), distinct, rows)
+    first = cut_lineage(first.union(_verified(cut_lineage(_apart(some, cut_lineage(components(first)))), distinct, rows)))
 
     joined = shared.select("at", "sig", "size").join(components(first).withColumnRenamed("node", "sig"), "sig", "left").withColumn("of", F.coalesce("component", "sig"))
     joined = cut_lineage(joined.select("at", "sig", "size", "of"))
@@ -165,7 +183,7 @@ def links(marked: DataFrame, rows: DataFrame) -> DataFrame:
     a = joined.select("at", F.col("sig").alias("u"), F.col("size").alias("a"), F.col("of").alias("x"))
     b = joined.select("at", F.col("sig").alias("v"), F.col("size").alias("b"), F.col("of").alias("y"))
     pairs = a.join(b, "at").filter((F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & _near("a", "b")).select("u", "v").distinct()
-    return first.union(_verified(pairs, distinct, rows))
+    return first.union(_verified(_plausible(pairs, distinct), distinct, rows))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
