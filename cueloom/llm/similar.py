@@ -44,7 +44,7 @@ SAMPLE, FREQUENT = 5000, 3
 TABLE = 200_000
 #: Rows whose texts are compared again: their marks are broadcast up to so many (16 MB), and joined by a shuffle beyond.
 BROADCAST_MARKS = 1_000_000
-#: Bits of a sketch: the parity of a set's hashes by their last bits.
+#: Least bits of a sketch, the parity of a set's hashes by their last bits; a set has twice as many bits as shingles or more.
 BITS = 1024
 
 
@@ -64,7 +64,14 @@ def prefix_size(n: int) -> int:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    return np.packbits((np.bincount(s & (BITS - 1), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+    bits = max(BITS, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount(s & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _folded(x: Column, y: Column) -> Column:
+    """Sketch x in the bits of sketch y, which has as many or half as many."""
+    half = F.size(y)
+    return F.when(F.size(x) > half, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda a, b: a.bitwiseXOR(b))).otherwise(x)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -127,7 +134,7 @@ def _plausible(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     side = lambda sig, **columns: distinct.select(F.col("sig").alias(sig), *[F.col(c).alias(x) for x, c in columns.items()])
     sized = pairs.join(side("u", m="n"), "u").join(side("v", n="n"), "v").filter(_near("m", "n"))
     drawn = sized.join(side("u", a="sketch"), "u").join(side("v", b="sketch"), "v")
-    bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    bits = F.aggregate(F.zip_with(_folded(F.col("a"), F.col("b")), _folded(F.col("b"), F.col("a")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     return cut_lineage(drawn.filter((OVER + UNDER) * bits <= (UNDER - OVER) * (F.col("m") + F.col("n"))).select("u", "v"))
 
 
