@@ -42,7 +42,7 @@ SWITCH = 10.0
 FOREIGN = 50.0
 UNDETERMINED = "und"
 #: Code points labelled at once.
-BLOCK = 8_000_000
+BLOCK = 2_000_000
 
 #: Script ranges: first and last code point.
 SCRIPTS: list[tuple[str, int, int]] = [

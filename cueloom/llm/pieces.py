@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .vocabulary import PIECES, SPACE_MARK, PieceTable, load_pieces
 
 #: Characters of text encoded at once, and of equally long parts advanced at once.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 LANE = 400_000
 #: Entries of a task's memory of parts; it is emptied when full.
 MEMORY = 400_000
