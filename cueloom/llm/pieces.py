@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .vocabulary import PIECES, SPACE_MARK, PieceTable, load_pieces
 
 #: Characters of text encoded at once, and of equally long parts advanced at once.
-BLOCK = 1_000_000
+BLOCK = 4_000_000
 LANE = 400_000
 #: Entries of a task's memory of parts; it is emptied when full.
 MEMORY = 400_000
@@ -260,13 +260,13 @@ def _share(df: DataFrame, path: str, table: PieceTable | None):
     return df.sparkSession.sparkContext.broadcast((hash((tuple(table.pieces), tuple(table.ranks))), table))
 
 
-def _blocks(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
-    """Runs of at most BLOCK characters, one text at least."""
+def _blocks(column: pa.Array, most: int) -> Iterator[tuple[int, list[str | None]]]:
+    """Runs of at most so many characters, one text at least."""
     start, block, size = 0, [], 0
     for i, x in enumerate(column):
         t = x.as_py()
         n = len(t) if t else 0
-        if block and size + n > BLOCK:
+        if block and size + n > most:
             yield start, block
             start, block, size = i, [], 0
         block.append(t)
@@ -275,9 +275,9 @@ def _blocks(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         yield start, block
 
 
-def encode(docs: DataFrame, text: str = "text", path: str = PIECES, table: PieceTable | None = None, verify: bool = False) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", path: str = PIECES, table: PieceTable | None = None, verify: bool = False, block: int = BLOCK) -> DataFrame:
     """docs without the text, with ids (array<int>) and n_pieces; verify adds round_trip, whether
-    decoding the ids gives the text."""
+    decoding the ids gives the text. block: characters encoded at once; fewer take less memory and more time."""
     shared = _share(docs, path, table)
     new = [("ids", T.ArrayType(T.IntegerType(), False)), ("n_pieces", T.LongType())] + [("round_trip", T.BooleanType())] * verify
     names = [n for n, _ in new]
@@ -287,7 +287,7 @@ def encode(docs: DataFrame, text: str = "text", path: str = PIECES, table: Piece
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
-            for start, texts in _blocks(batch.column(len(rest))):
+            for start, texts in _blocks(batch.column(len(rest)), block):
                 ids, counts = encoder.encode(texts)
                 null = np.array([t is None for t in texts])
                 offsets = np.concatenate([[0], np.cumsum(counts)])
