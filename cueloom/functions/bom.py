@@ -34,12 +34,19 @@ MAGICS: list[tuple[str, str]] = [
     ("49492A00", "tiff"),
     ("38425053", "psd"),
     ("789C", "zlib"),
+    ("2A004D4D", "tiff"),
+    ("01666370", "final cut"),
+    ("43435344", "ccsd"),
+    ("53494D50", "fits"),
+    ("48575020446F63756D656E742046696C652056", "hwp"),
+    ("4857502E446F63756D656E742E46696C652E56", "hwp"),
+    ("5044535F56455253494F4E5F4944", "pds"),
 ]
 _LONGEST_FIRST = sorted(BOMS, key=lambda b: (-len(b[2]), b[0]))
 
 
-def _first(content: Column) -> Column:
-    return F.hex(F.substring(content, 1, 4))
+def _first(content: Column, n: int = 4) -> Column:
+    return F.hex(F.substring(content, 1, n))
 
 
 def bom_id(content: Column) -> Column:
@@ -71,7 +78,7 @@ def write_bom(content: Column, no: int) -> Column:
 
 
 def magic(content: Column) -> Column:
-    head, out = _first(content), F
+    head, out = _first(content, max(len(m) for m, _ in MAGICS) // 2), F
     for prefix, name in MAGICS:
         out = out.when(head.startswith(prefix), F.lit(name))
     return out.otherwise(F.lit(None).cast("string"))

@@ -141,6 +141,16 @@ def _wide_score(data: bytes, encoding: str) -> float:
         return -1.0
 
 
+#: What a page says of itself: a meta element or an XML declaration.
+_DECLARED = re.compile(rb"""<(?:meta\b[^<>]{0,200}?charset|\?xml\b[^<>]{0,200}?encoding)\s*=\s*["']?\s*([A-Za-z0-9_:.-]{1,40})""", re.IGNORECASE)
+
+
+def declared_charset(data: bytes) -> str | None:
+    """The charset that a page declares first, wherever that stands; null if none."""
+    found = _DECLARED.search(data)
+    return found[1].decode("ascii") if found else None
+
+
 #: A result is reliable if it is this plausible itself and leads by this margin; below NOT_TEXT it is no text.
 PLAUSIBLE, MARGIN, NOT_TEXT = 0.4, 0.2, -0.6
 _MAGICS = tuple(bytes.fromhex(m) for m, _ in bom.MAGICS)
@@ -148,7 +158,8 @@ _ASCII_PAIRS = re.compile(rb"[\x20-\x7e][\x20-\x7e]")
 
 
 def detect_bytes(data: bytes, hints: dict[str, float] | None = None) -> tuple[str, int, bool, str | None]:
-    """Encoding, bytes looked at, whether that is reliable, and the second best. hints: scores to add by encoding."""
+    """Encoding, bytes looked at, whether that is reliable, and the second best. hints: scores to add by encoding;
+    a charset declared in the text itself is one."""
     part, used = data, len(data)
     if not part:
         return "iso8859_1", 0, True, None
@@ -194,7 +205,10 @@ def detect_bytes(data: bytes, hints: dict[str, float] | None = None) -> tuple[st
         except UnicodeDecodeError as e:
             if e.start >= used - 4 and name in MULTI:
                 ranked.append((_score(part[: e.start].decode(name), name), name))
-    ranked = [(score + (hints or {}).get(name, 0.0), name) for score, name in ranked]
+    hints = dict(hints or {})
+    for name, score in hinted(declared_charset(part)).items():
+        hints[name] = max(hints.get(name, 0.0), score)
+    ranked = [(score + hints.get(name, 0.0), name) for score, name in ranked]
     ranked.sort(key=lambda x: (-x[0], CANDIDATES.index(x[1])))
     if not ranked or ranked[0][0] < NOT_TEXT:
         return "binary", used, False, ranked[0][1] if ranked else None

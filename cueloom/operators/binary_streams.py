@@ -468,13 +468,38 @@ def services(sections: DataFrame) -> DataFrame:
     return s.select("file_id", "pkt_no", "s.*")
 
 
-def pid_classes(packets: DataFrame, programs: DataFrame, streams: DataFrame) -> DataFrame:
-    """packets with class: null, psi, pes or unknown."""
-    psi = programs.select("file_id", "pid").distinct().withColumn("psi", F.lit(True))
-    pes = streams.select("file_id", "pid").distinct().withColumn("pes", F.lit(True))
-    joined_ = packets.join(psi, ["file_id", "pid"], "left").join(pes, ["file_id", "pid"], "left")
-    kind = F.when(F.col("pid") == 0x1FFF, "null").when((F.col("pid") < 0x20) | F.col("psi"), "psi").when(F.col("pes"), "pes").otherwise("unknown")
-    return joined_.withColumn("class", kind).drop("psi", "pes")
+def _listed(tables: DataFrame, key: list[str], entries: DataFrame) -> DataFrame:
+    """file_id, pid, pkt_no, change: where a table's version begins to list a PID (1) and where the next version ends that (-1).
+
+    tables: key, pkt_no and version of each section, key being the columns that tell tables apart; entries: key, pkt_no, pid.
+    """
+    w = Window.partitionBy(*key).orderBy("pkt_no")
+    anew = F.coalesce(F.col("version") != F.lag("version").over(w), F.lit(True))
+    known = tables.distinct().withColumn("run", F.sum(F.when(anew, 1).otherwise(0)).over(w))
+    starts = known.groupBy(*key, "run").agg(F.min("pkt_no").alias("start"))
+    starts = starts.withColumn("end", F.lead("start").over(Window.partitionBy(*key).orderBy("run")))
+    mine = entries.join(known, [*key, "pkt_no"]).groupBy(*key, "run", "pid").agg(F.min("pkt_no").alias("pkt_no")).join(starts, [*key, "run"])
+    changes = F.array(F.struct("pkt_no", F.lit(1).alias("change")), F.struct(F.col("end").alias("pkt_no"), F.lit(-1).alias("change")))
+    return mine.select("file_id", "pid", F.inline(changes)).filter("pkt_no IS NOT NULL")
+
+
+def pid_classes(packets: DataFrame, sections: DataFrame) -> DataFrame:
+    """packets with class: null, psi, pes or unknown.
+
+    A PID is of a program map (psi) or an elementary stream (pes) from the packet on in which a table lists it, until a
+    new version of that table does not. A repeated version changes nothing. Packets before their table are unknown.
+    """
+    b = F.col("body")
+    pats = sections.filter("table_id = 0 AND length(body) >= 5").select("file_id", "pkt_no", bits(u(b, 2, 1), 1, 5).alias("version"))
+    pmts = sections.filter("table_id = 2 AND length(body) >= 9").select("file_id", u(b, 0, 2).alias("program"), "pkt_no", bits(u(b, 2, 1), 1, 5).alias("version"))
+    maps = _listed(pats, ["file_id"], pat_programs(sections).select("file_id", "pkt_no", "pid"))
+    streams = _listed(pmts, ["file_id", "program"], pmt_streams(sections).select("file_id", "program", "pkt_no", "pid"))
+    marks = maps.withColumn("of", F.lit("psi")).unionByName(streams.withColumn("of", F.lit("pes")))
+    w = Window.partitionBy("file_id", "pid").orderBy("pkt_no", F.col("change").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    on = lambda kind: F.sum(F.when(F.col("of") == kind, F.col("change")).otherwise(0)).over(w) > 0
+    both = packets.unionByName(marks, allowMissingColumns=True).withColumns({"__psi": on("psi"), "__pes": on("pes")}).filter("change IS NULL")
+    kind = F.when(F.col("pid") == 0x1FFF, "null").when((F.col("pid") < 0x20) | F.col("__psi"), "psi").when(F.col("__pes"), "pes").otherwise("unknown")
+    return both.withColumn("class", kind).drop("__psi", "__pes", "of", "change")
 
 
 def pes_units(packets: DataFrame) -> DataFrame:

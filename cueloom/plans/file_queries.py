@@ -297,7 +297,7 @@ add("dvb_region_places", lambda s, d: bs.dvb_region_places(_dvb(s, d)).drop("uni
 def _classes(s: SparkSession, d: str) -> DataFrame:
     packets = bs.ts_packets(_ts_files(s, d))
     sections = bs.psi_sections(packets.filter("pid <= 256"))
-    return bs.pid_classes(packets, bs.pat_programs(sections), bs.pmt_streams(sections)).groupBy("file_id", "class").agg(F.count("*").alias("n"))
+    return bs.pid_classes(packets, sections).groupBy("file_id", "class").agg(F.count("*").alias("n"))
 
 
 add("pid_classify", _classes, "SELECT s_suppkey AS file_id, c AS class, n::BIGINT AS n FROM supplier, (VALUES ('psi', 3), ('pes', 2), ('null', 1)) x(c, n)")

@@ -338,8 +338,8 @@ _MAGICS = "[" + ", ".join(f"'{m}'" for m, _ in bom.MAGICS) + "]"
 _KINDS = "[" + ", ".join(f"'{n}'" for _, n in bom.MAGICS) + "]"
 add(
     "magic_prefix",
-    lambda s, d: table(s, d, "documents").select("doc_id", bom.magic(F.concat(F.unhex(F.get(F.array(*[F.lit(m) for m, _ in bom.MAGICS]), (F.col("doc_id") % 14).cast("int"))), F.encode("text", "UTF-8"))).alias("kind")),
-    f"SELECT doc_id, {_KINDS}[doc_id % 14 + 1] AS kind FROM documents",
+    lambda s, d: table(s, d, "documents").select("doc_id", bom.magic(F.concat(F.unhex(F.get(F.array(*[F.lit(m) for m, _ in bom.MAGICS]), (F.col("doc_id") % (len(bom.MAGICS) + 1)).cast("int"))), F.encode("text", "UTF-8"))).alias("kind")),
+    f"SELECT doc_id, {_KINDS}[doc_id % {len(bom.MAGICS) + 1} + 1] AS kind FROM documents",
 )
 
 # several operators in a row: markup off, ellipses out, equal neighbours together, lines joined, text alone

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +59,34 @@ def write_srt(cues: DataFrame, path: str, mark: int = 0) -> None:
     write_texts(srt_text(cues, mark), path)
 
 
+def write_binaries(files: DataFrame, path: str, name: str = "name", content: str = "content") -> None:
+    """content (BINARY) of each row as a file of that name in the folder path, which must not exist yet. Names must differ.
+
+    Each task writes its own files through pyarrow's file systems, each first under another name, so that a task
+    that is run again leaves whole files only.
+    """
+    filesystem, root = fs.FileSystem.from_uri(path)
+    if filesystem.get_file_info(root).type != fs.FileType.NotFound:
+        raise FileExistsError(path)
+    filesystem.create_dir(root, recursive=True)
+
+    def write(rows) -> None:
+        there, folder = fs.FileSystem.from_uri(path)
+        for row in rows:
+            part = f"{folder}/_{row[0]}.{uuid.uuid4().hex}"
+            with there.open_output_stream(part) as out:
+                out.write(row[1])
+            there.move(part, f"{folder}/{row[0]}")
+
+    files.select(name, content).filter(F.col(content).isNotNull()).foreachPartition(write)
+
+
+def bitmap_name(start_ms, end_ms):
+    """The name of a bitmap's file, which says its times and which named_cues() reads."""
+    clock = lambda c: F.translate(timecode.ms_to_clock(c), ":,", "__")
+    return F.concat(clock(start_ms), F.lit("__"), clock(end_ms), F.lit(".bmp"))
+
+
 def write_contents(files: DataFrame, path: str) -> None:
     """content (BINARY) of each file_id, as a Parquet table of whole files; refuses to overwrite."""
     files.write.mode("errorifexists").parquet(path)

@@ -128,10 +128,11 @@ def dvb_pages_stream(pages: DataFrame, late: str = "0 seconds") -> DataFrame:
             close(None)
             state.remove()
         else:
-            for _, row in pd.concat(list(batches)).sort_values("pts_ms").iterrows():
+            rows = pd.concat(list(batches)).sort_values("pts_ms")
+            for pts, seconds, n in zip(rows["pts_ms"], rows["timeout_s"], rows["n_regions"], strict=True):
                 if start is not None:
-                    close(int(row["pts_ms"]))
-                start, timeout = (int(row["pts_ms"]), int(row["timeout_s"])) if row["n_regions"] > 0 else (None, 0)
+                    close(int(pts))
+                start, timeout = (int(pts), int(seconds)) if n > 0 else (None, 0)
             if start is None:
                 if state.exists:
                     state.remove()
