@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language_id, licenses, mixing, pieces, pii, quality, simhash, suffix_dedup, token_counts
+from . import ann, codes, language_id, licenses, mixing, pieces, pii, quality, resampling, simhash, substring_dedup, suffix_dedup, token_counts
 from .common import table
 
 
@@ -57,6 +57,18 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_licenses": op2_licenses,
@@ -68,10 +80,16 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_pieces": op9_pieces,
     "op10_repeats": op10_repeats,
+    "op11_codes": op11_codes,
+    "op12_resampling": op12_resampling,
+    "op13_passages": op13_passages,
 }
 
 ORACLES = {
     "op2_licenses": licenses.oracle("concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), doc_id::VARCHAR)"),
     "op5_mixing": mixing.ORACLE_SQL,
     "op8_quality": quality.ORACLE_SQL,
+    "op11_codes": codes.oracle(),
+    "op12_resampling": resampling.ORACLE_SQL,
+    "op13_passages": substring_dedup.ORACLE_SQL,
 }
