@@ -1,86 +1,30 @@
-"""Detection of a text's encoding, and conversion. A design of its own: strict decoders leave the
-possible encodings, and how much the decoded letters look like words ranks them."""
+"""Detection of a text's encoding, and conversion.
+
+Marks and other leading bytes come first, then checkers of sequences (``sequences``), then a learned model of byte pairs
+(``bytepairs``). The pairs of a text are scored in steps of growing size. After each step, encodings that are
+far behind are dropped; when one is left, or only such that read the text alike, the rest of the text is only
+validated. A text that the leader cannot decode is scored again, whole, without it.
+"""
 
 from __future__ import annotations
 
 import codecs
 import re
-import unicodedata
-from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bom
+from . import bom, bytepairs, sequences
+from .bytepairs import MULTI, Model, codec_name, default_model, points
 
 MARKS = [(b"\xef\xbb\xbf", "utf-8"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xff\xfe\x00\x00", "utf-32-le"), (b"\xfe\xff", "utf-16-be"), (b"\xff\xfe", "utf-16-le"), (b"\x84\x31\x95\x33", "gb18030")]
-MULTI = ["euc_jp", "shift_jis", "euc_kr", "gb18030", "big5"]
-SINGLE = ["cp1252", "cp1250", "cp1251", "koi8_r", "iso8859_5", "iso8859_7", "cp1255", "cp1256", "iso8859_9", "cp1257", "cp874", "iso8859_2", "cp866", "mac_cyrillic", "mac_roman", "cp850"]
+CANDIDATES = list(dict.fromkeys(e for group in bytepairs.ENCODINGS.values() for e in group))
 #: Two-byte encodings that a text may have without a mark.
 WIDE = ["utf-16-le", "utf-16-be"]
-CANDIDATES = [*MULTI, *SINGLE, *WIDE]
-#: Letters of the languages that a Latin code page is for, beyond ASCII.
-LATIN = {
-    "cp1252": "àáâãäåæçèéêëìíîïñòóôõöøùúûüßœ",
-    "cp1250": "áäčďéěíňóöřšťúůüýžąćęłńśźżőűăâîșț",
-    "iso8859_9": "çğıöşüâîû",
-    "cp1257": "āčēģīķļņšūžąęėįų",
-}
-LATIN |= {"mac_roman": LATIN["cp1252"], "cp850": LATIN["cp1252"], "iso8859_2": LATIN["cp1250"]}
-#: Frequent ideographs and kana.
-FREQUENT = "的一是不了在人有我他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可她里后小么心多天而能好都然没日于起还发成事只作当想看文无开手十用主行方又如前所本见经头面公同三已老从动两长知民样现分将外但身些与高意进把法此实回二理美点月明其种声全工己话儿者向情部正名定女问力机给等几很业最间新什打便位因重被走电四第门相次东政海口使教西再平真听世气信北少关并内加化由却代军产入先山五太水万市眼体别处总才场师书比住员九笑性通目华报立马命张活难神数件安表原车白应路期叫死常提感金何更反合放做系计或司利受光王果亲界及今京务制解各任至清物台象记边共风战干接它许八特觉望直服毛林题建南度统色字请交爱让认算论百吃义科怎元社术结六功指思非流每青管夫连远资队跟带花快条院变联言权往展该领传近留红治决周保达办运武半候七必城父强步完革深区即求品士转量空甚众技轻程告江语英基派满式李息写呢识极令黄德收脸钱党倒未持取设始版双历越史商千片容研像找友孩站广改议形委早房音火际则首单据导影失拿网香似斯专石若兵弟谁校读志飞观争究包组造落视济喜离虽坏们の是にをはがでとたしてれる"
-
-
-#: The most frequent letters of a script in the languages that its code pages are for.
-COMMON = {"CYRILLIC": "оеаинтсрвлк", "GREEK": "αοιετσνηυρά", "HEBREW": "יוהלאמרתבש", "ARABIC": "ايلمونترةب", "THAI": "านรอกเงมยลว่"}
-#: Frequent syllables of Korean.
-HANGUL = "이다는을의에가은고하지로기도한사나를서어니리자아으들게해것인시수대있일그전부제습과장보"
-
-
-@lru_cache(maxsize=4096)
-def _kind(c: str) -> tuple[str, bool]:
-    """Script and whether a letter."""
-    if not c.isalpha() and unicodedata.category(c) != "Mn":
-        return "", False
-    name = unicodedata.name(c, "").split(" ")[0]
-    return name, True
-
-
-def _score(text: str, encoding: str) -> float:
-    """Mean plausibility of the characters beyond ASCII."""
-    # each character counts with its neighbours, so of ASCII runs only the ends matter
-    text = re.sub(r"([\x00-\x7f])[\x00-\x7f]+([\x00-\x7f])", r"\1\2", text)
-    total, n = 0.0, 0
-    for (before, c, after), times in Counter(zip(" " + text, text, text[1:] + " ", strict=False)).items():
-        if c > "\x7f":
-            n += times
-            total += times * _plausible(before, c, after, encoding)
-    return total / n if n else 0.0
-
-
-def _plausible(before: str, c: str, after: str, encoding: str) -> float:
-    script, letter = _kind(c)
-    if not letter:
-        return 0.2 if c in "«»„“”’–—…·。、，「」" else -1.0
-    if encoding in MULTI or encoding in WIDE:
-        if "가" <= c <= "힣":
-            return 1.1 if c in HANGUL else 0.7
-        return 1.0 if c in FREQUENT or script in ("HIRAGANA", "KATAKANA") else 0.25 if script == "CJK" else -0.5
-    if script == "LATIN":
-        return (0.8 if c.lower() in LATIN.get(encoding, "") else -0.4) - (1.0 if c.isupper() and before.islower() else 0.0)
-    if unicodedata.category(c) == "Mn" and _kind(before)[0] != script:
-        return -1.0  # a mark follows a letter
-    total = 0.2 if c.lower() in COMMON.get(script, "") else -0.15
-    for other in (before, after):
-        same, is_letter = _kind(other)
-        total += 0.5 if same == script else 0.1 if not is_letter else -0.8
-    if c.isupper() and (before.islower() or (before.isupper() and after.islower())):
-        total -= 1.0
-    return total
-
 
 #: Encodings that texts of a language often have; a country's domain stands for its language.
 LANGUAGE_ENCODINGS = {
@@ -89,24 +33,29 @@ LANGUAGE_ENCODINGS = {
     "de": ("cp1252",), "fr": ("cp1252",), "es": ("cp1252",), "pt": ("cp1252",), "it": ("cp1252",), "nl": ("cp1252",), "sv": ("cp1252",), "da": ("cp1252",), "no": ("cp1252",), "fi": ("cp1252",), "en": ("cp1252",),
 }
 DOMAIN_LANGUAGES = {"jp": "ja", "kr": "ko", "cn": "zh", "tw": "zh", "hk": "zh", "ua": "uk", "gr": "el", "il": "he", "ir": "fa", "cz": "cs", "dk": "da", "se": "sv", "at": "de", "br": "pt", "ee": "et", "mx": "es", "uk": "en"}
-#: What a hint adds to the score: it settles near ties, and the bytes settle the rest.
-HINT = 0.15
+#: What hints add, as logarithms of probabilities: a charset that is declared, a language, a domain, an encoding that is given as a guess,
+#: and what most texts of the corpus have.
+WEIGHTS = {"charset": 7.0, "language": 4.0, "domain": 3.0, "guess": 8.0, "corpus": 2.0}
+#: Hints count in full from so many different byte pairs on, and at least so many parts of that.
+FULL_FROM, LEAST_PARTS = 12, 3
 
 
-def hinted(charset: str | None = None, language: str | None = None, domain: str | None = None) -> dict[str, float]:
-    """Scores that hints add, by encoding. A declared charset counts most; what is not known adds nothing."""
+def hinted(charset: str | None = None, language: str | None = None, domain: str | None = None, guess: str | None = None, corpus: str | None = None) -> dict[str, float]:
+    """What hints add to scores, by encoding; what is not known adds nothing."""
     out: dict[str, float] = {}
+
+    def add(encodings, weight: float) -> None:
+        # of several encodings of a language the first is the likeliest
+        for k, e in enumerate(encodings):
+            out[e] = out.get(e, 0.0) + weight / (1 + k / 4)
+
     last = (domain or "").lower().rsplit(".", 1)[-1]
-    for name in (language or "").lower().replace("_", "-").split("-")[:1] + [DOMAIN_LANGUAGES.get(last, last)]:
-        for e in LANGUAGE_ENCODINGS.get(name, ()):
-            out[e] = HINT
-    try:
-        declared = codecs.lookup(charset.strip()).name if charset else None
-    except LookupError:
-        declared = None
-    for e in CANDIDATES:
-        if declared and codecs.lookup(e).name == SUPERSETS.get(declared, declared):
-            out[e] = out.get(e, 0.0) + HINT
+    add(LANGUAGE_ENCODINGS.get((language or "").lower().replace("_", "-").split("-")[0], ()), WEIGHTS["language"])
+    add(LANGUAGE_ENCODINGS.get(DOMAIN_LANGUAGES.get(last, last), ()), WEIGHTS["domain"])
+    for kind, name in (("charset", charset), ("guess", guess), ("corpus", corpus)):
+        declared = codec_name(name)
+        if declared:
+            add([e for e in CANDIDATES if codec_name(e) == SUPERSETS.get(declared, declared)], WEIGHTS[kind])
     return out
 
 
@@ -134,15 +83,8 @@ def encoding_names(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(NAMES, "encoding string, mime_name string, family string")
 
 
-def _wide_score(data: bytes, encoding: str) -> float:
-    try:
-        return _score(data.decode(encoding), encoding)
-    except UnicodeDecodeError:
-        return -1.0
-
-
-#: What a page says of itself: a meta element or an XML declaration.
-_DECLARED = re.compile(rb"""<(?:meta\b[^<>]{0,200}?charset|\?xml\b[^<>]{0,200}?encoding)\s*=\s*["']?\s*([A-Za-z0-9_:.-]{1,40})""", re.IGNORECASE)
+#: What a page says of itself: a meta element or an XML declaration, however long its tag is.
+_DECLARED = re.compile(rb"""<(?:meta\b[^<>]*?charset|\?xml\b[^<>]*?encoding)\s*=\s*["']?\s*([A-Za-z0-9_:.-]{1,40})""", re.IGNORECASE)
 
 
 def declared_charset(data: bytes) -> str | None:
@@ -151,70 +93,198 @@ def declared_charset(data: bytes) -> str | None:
     return found[1].decode("ascii") if found else None
 
 
-#: A result is reliable if it is this plausible itself and leads by this margin; below NOT_TEXT it is no text.
-PLAUSIBLE, MARGIN, NOT_TEXT = 0.4, 0.2, -0.6
+#: Bytes beyond ASCII scored before encodings are dropped for the first time, and each time how many times more.
+FIRST_STEP, GROWTH = 64, 4
+#: Encodings that are so far behind are dropped, and a result is reliable with such a lead (10 bits); both are natural logarithms.
+BEHIND, LEAD = 40.0, 7.0
+#: Mean logarithm of a pair's probability below which bytes are no text.
+NO_TEXT = -11.0
+#: Share of control bytes that makes a content binary.
+BINARY = 0.02
+#: Sequences in UTF-8 that a text needs to be called so in spite of others, and their share.
+UTF8_LEAST, UTF8_SHARE = 2, 0.75
+#: Bytes that doubly encoded text has too many, from which it is reliable.
+DOUBLE = 4
+#: What a well-formed sequence of four bytes adds to the score of its encoding, in which it counts as four unlikely pairs.
+FOUR_BYTES = 25.0
 _MAGICS = tuple(bytes.fromhex(m) for m, _ in bom.MAGICS)
 _ASCII_PAIRS = re.compile(rb"[\x20-\x7e][\x20-\x7e]")
 
+Found = tuple[str, int, bool, str | None]
+
+
+def _seven_bit(data: bytes) -> Found:
+    """Encodings that need no byte beyond ASCII; the one with more good sequences than bad ones."""
+    counts = []
+    if b"\x1b" in data:
+        counts += [("iso2022_jp", *sequences.iso2022_jp(data)), ("iso2022_kr", *sequences.iso2022_kr(data))]
+    if b"~{" in data:
+        counts.append(("hz", *sequences.hz(data)))
+    if b"+" in data:
+        counts.append(("utf-7", *sequences.utf7(data)))
+    counts = [c for c in counts if c[1] > c[2]]
+    if not counts:
+        return "ascii", len(data), True, None
+    name, good, bad = max(counts, key=lambda c: c[1] - c[2])
+    return name, len(data), bad == 0 and (name != "utf-7" or good > 1), "ascii"
+
+
+def _wide(data: bytes, known: np.ndarray) -> Found | None:
+    """Text in two bytes a character without a mark: most of its characters are known ones in one order of bytes, and not in the other."""
+    raw = np.frombuffer(data, np.uint8)
+    if len(data) % 2 or len(data) < 4:
+        return None
+    plain = (raw >= 32) & (raw < 127)
+    # text of one byte a character has Latin letters and spaces side by side
+    if 2 * np.count_nonzero(plain[0::2] & plain[1::2]) > len(data) // 2:
+        return None
+    share = {name: float(known[np.frombuffer(data, "<u2" if name == "utf-16-le" else ">u2")].mean()) for name in WIDE}
+    best, other = sorted(WIDE, key=lambda name: -share[name])
+    if share[best] < 0.75 or share[other] > 0.5 or not _decodes(data, best):
+        return None
+    return best, len(data), share[best] - share[other] > 0.5 and len(data) >= 12, other
+
+
+def _decodes(data: bytes, encoding: str) -> bool:
+    try:
+        data.decode(encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _with_nuls(data: bytes, known: np.ndarray) -> Found:
+    even, odd = data[0::2].count(0), data[1::2].count(0)
+    used = len(data)
+    if even + odd > used * 0.6:
+        return ("utf-32-be" if data[0] == 0 else "utf-32-le"), used, True, None
+    if max(even, odd) > 2 * min(even, odd) + 2:
+        name = "utf-16-be" if even > odd else "utf-16-le"
+        return (name, used, True, None) if _decodes(data[: used // 2 * 2], name) else ("binary", used, True, name)
+    return _wide(data, known) or ("binary", used, True, None)
+
 
-def detect_bytes(data: bytes, hints: dict[str, float] | None = None) -> tuple[str, int, bool, str | None]:
-    """Encoding, bytes looked at, whether that is reliable, and the second best. hints: scores to add by encoding;
+_ONE_BYTE = [e for e in CANDIDATES if e not in MULTI]
+_POINTS = np.stack([points(e) for e in _ONE_BYTE])
+
+
+def _valid(data: bytes, encoding: str) -> bool:
+    """Whether data is text in an encoding of several bytes, but for a character that the end cuts. Of the others only possible ones are asked for."""
+    if encoding not in MULTI:
+        return True
+    try:
+        codecs.getincrementaldecoder(encoding)().decode(data, final=False)
+        return True
+    except UnicodeDecodeError:
+        return False
+
+
+def _readings(seen: np.ndarray) -> tuple[set[str], dict[str, bytes]]:
+    """One-byte encodings that lack some byte beyond ASCII of a text, and how the others read these bytes. seen: how often each byte stands in it."""
+    here = _POINTS[:, 128 + np.flatnonzero(seen[128:])]
+    lack = (here < 0).any(axis=1)
+    return {e for e, x in zip(_ONE_BYTE, lack, strict=True) if x}, {e: h.tobytes() for e, h, x in zip(_ONE_BYTE, here, lack, strict=True) if not x}
+
+
+def _scored(bytes_: np.ndarray, high: np.ndarray, model: Model, out: set[str], bonus: dict[str, float], hints: dict[str, float], reads: dict[str, bytes]) -> tuple[float, list[tuple[float, str]]]:
+    """Mean score of a pair in the best encoding; how far behind it each encoding is, or was when it was dropped, the best first."""
+    tables, names, prior = model.tables
+    live = np.array([i for i, e in enumerate(names) if e not in out], np.int64)
+    pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    padded = np.concatenate([[32], bytes_, [32]]).astype(np.uint16)
+    behind: dict[str, float] = {}
+    at, step, best, mean = 0, FIRST_STEP, "", 0.0
+    while len(live):
+        part = high[at : at + step] + 1
+        before = padded[part - 1] << 8 | padded[part]
+        low = padded[part + 1] < 128  # else the pair is that of the next byte
+        after = (padded[part] << 8 | padded[part + 1])[low]
+        new, n = np.unique(np.concatenate([before, after]), return_counts=True)
+        pairs, counts = _added(pairs, counts, new, n) if at else (new, n)
+        at += step
+        step *= GROWTH
+        # what is repeated tells less each time
+        weight = (1 + np.log(counts)).astype(np.float32)
+        score = (weight @ tables[pairs])[live] + prior[live]
+        derate = min(1.0, max(LEAST_PARTS, len(pairs) + 1) / FULL_FROM)
+        ranked: dict[str, float] = {}
+        for i, x in zip(live.tolist(), score.tolist(), strict=True):
+            e = names[i]
+            ranked[e] = max(ranked.get(e, -1e18), x + bonus.get(e, 0.0) + derate * hints.get(e, 0.0))
+        best = max(ranked, key=lambda e: ranked[e])
+        mean = ranked[best] / weight.sum()
+        behind.update({e: ranked[best] - x for e, x in ranked.items()})
+        near = {e for e in ranked if behind[e] <= BEHIND}
+        live = np.array([i for i in live.tolist() if names[i] in near], np.int64)
+        if at >= len(high) or all(e == best or reads.get(e) == reads.get(best, b"") for e in near):
+            break
+    return mean, sorted((x, e) for e, x in behind.items())
+
+
+def _added(pairs: np.ndarray, counts: np.ndarray, new: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = np.union1d(pairs, new)
+    out = np.zeros(len(both), np.int64)
+    out[np.searchsorted(both, pairs)] = counts
+    out[np.searchsorted(both, new)] += n
+    return both, out
+
+
+def detect_bytes(data: bytes, hints: dict[str, float] | None = None, model: Model | None = None) -> Found:
+    """Encoding, bytes looked at, whether that is reliable, and the second best. hints: what to add to scores by encoding;
     a charset declared in the text itself is one."""
-    part, used = data, len(data)
-    if not part:
+    used = len(data)
+    if not used:
         return "iso8859_1", 0, True, None
     for mark, name in MARKS:
-        if part.startswith(mark):
+        if data.startswith(mark):
             return name, used, True, None
-    if part.startswith(_MAGICS):
+    if data.startswith(_MAGICS):
         return "binary", used, True, None
-    if b"\0" in part:
-        even, odd = part[0::2].count(0), part[1::2].count(0)
-        if even + odd > len(part) * 0.6:
-            return ("utf-32-be" if part[0] == 0 else "utf-32-le"), used, True, None
-        if max(even, odd) > 2 * min(even, odd) + 2:
-            return ("utf-16-be" if even > odd else "utf-16-le"), used, True, None
-        wide = sorted((_wide_score(part, name), name) for name in WIDE)
-        if wide[1][0] >= PLAUSIBLE:
-            return wide[1][1], used, wide[1][0] - wide[0][0] >= MARGIN, wide[0][1]
-        return "binary", used, True, None
-    if part.isascii():
-        if re.search(rb"\x1b[$(][@BJI]", part):
-            return "iso2022_jp", used, True, None
-        if b"~{" in part and b"~}" in part:
-            return "hz", used, True, None
-        if re.search(rb"\+[A-Za-z0-9/]{3,}-", part) and not re.search(rb"\+(?![A-Za-z0-9/]{2,}-|-)", part):
-            return "utf-7", used, True, None
-        return "ascii", used, True, None
-    try:
-        text = part.decode("utf-8")
+    model = model or default_model()
+    if b"\0" in data:
+        return _with_nuls(data, model.known)
+    if data.isascii():
+        return _seven_bit(data)
+    if _decodes(data, "utf-8"):
         try:
-            text.encode("cp1252").decode("utf-8")
-            return "utf-8-utf-8", used, True, "utf-8"
+            twice = data.decode("utf-8").encode("cp1252")
         except UnicodeError:
             return "utf-8", used, True, None
-    except UnicodeDecodeError:
-        pass
-    ranked = []
-    for name in CANDIDATES:
-        # text in two bytes has few letters of one byte in either half, which other text has throughout
-        if name in WIDE and (used % 2 or len(_ASCII_PAIRS.findall(part)) * 4 > used // 2):
-            continue
-        try:
-            ranked.append((_score(part.decode(name), name), name))
-        except UnicodeDecodeError as e:
-            if e.start >= used - 4 and name in MULTI:
-                ranked.append((_score(part[: e.start].decode(name), name), name))
+        return ("utf-8-utf-8", used, len(data) - len(twice) >= DOUBLE, "utf-8") if _decodes(twice, "utf-8") else ("utf-8", used, True, None)
+    bytes_ = np.frombuffer(data, np.uint8)
+    high = np.flatnonzero(bytes_ > 127)
+    good, stray, cut = sequences.utf8(bytes_, len(high))
+    if good >= UTF8_LEAST and 1 - stray / len(high) >= UTF8_SHARE or good and stray == cut:
+        return "utf-8", used, stray == cut and good >= UTF8_LEAST, None
+    if found := _wide(data, model.known):
+        return found
+    seen = np.bincount(bytes_, minlength=256)
+    if sequences.binary_density(seen) > BINARY:
+        return "binary", used, True, None
+
+    bonus: dict[str, float] = {}
+    four, outside = sequences.gb18030(data, len(high))
+    if four and not outside:
+        bonus["gb18030"] = FOUR_BYTES * four
     hints = dict(hints or {})
-    for name, score in hinted(declared_charset(part)).items():
+    for name, score in hinted(declared_charset(data)).items():
         hints[name] = max(hints.get(name, 0.0), score)
-    ranked = [(score + hints.get(name, 0.0), name) for score, name in ranked]
-    ranked.sort(key=lambda x: (-x[0], CANDIDATES.index(x[1])))
-    if not ranked or ranked[0][0] < NOT_TEXT:
-        return "binary", used, False, ranked[0][1] if ranked else None
-    second = ranked[1] if len(ranked) > 1 else None
-    clear = second is None or ranked[0][0] - second[0] >= MARGIN
-    return ranked[0][1], used, clear and ranked[0][0] >= PLAUSIBLE, second and second[1]
+    out, reads = _readings(seen)
+    while True:
+        mean, ranked = _scored(bytes_, high, model, out, bonus, hints, reads)
+        if not ranked:
+            return "binary", used, False, None
+        best = ranked[0][1]
+        if _valid(data, best):
+            break
+        out.add(best)
+    # of encodings that read the text alike the one that hints name, and they are no rivals
+    best = max([best, *(e for _, e in ranked if reads.get(e) == reads.get(best, b""))], key=lambda e: hints.get(e, 0.0))
+    rivals = ((lead, e) for lead, e in ranked[1:] if reads.get(e) != reads.get(best, b"") and _valid(data, e))
+    lead, second = next(rivals, (BEHIND, None))
+    if mean < NO_TEXT:
+        return "binary", used, False, best
+    return best, used, lead >= LEAD, second
 
 
 DETECTED = T.StructType(
@@ -222,17 +292,27 @@ DETECTED = T.StructType(
 )
 
 
-@F.pandas_udf(DETECTED)
-def detect(content: pd.Series) -> pd.DataFrame:
-    rows = [detect_bytes(bytes(c) if c is not None else b"") for c in content]
-    return pd.DataFrame(rows, columns=["encoding", "consumed", "reliable", "second"])
+def detect(content: Column | str, model: Model | None = None) -> Column:
+    """encoding, consumed, reliable and second of a binary column; without a model the default one."""
+    model = model or default_model()
+
+    @F.pandas_udf(DETECTED)
+    def run(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([detect_bytes(bytes(c) if c is not None else b"", None, model) for c in content], columns=["encoding", "consumed", "reliable", "second"])
+
+    return run(content)
+
+
+def detect_hinted(content: Column | str, charset: Column | str, language: Column | str, domain: Column | str, guess: Column | str | None = None, corpus: str | None = None, model: Model | None = None) -> Column:
+    """detect with what was declared about a text: a charset, a language, the domain it is from, a guess; each may be null. corpus: what most texts have."""
+    model = model or default_model()
 
+    @F.pandas_udf(DETECTED)
+    def run(content: pd.Series, charset: pd.Series, language: pd.Series, domain: pd.Series, guess: pd.Series) -> pd.DataFrame:
+        given = zip(content, charset, language, domain, guess, strict=True)
+        return pd.DataFrame([detect_bytes(bytes(c) if c is not None else b"", hinted(*h, corpus), model) for c, *h in given], columns=["encoding", "consumed", "reliable", "second"])
 
-@F.pandas_udf(DETECTED)
-def detect_hinted(content: pd.Series, charset: pd.Series, language: pd.Series, domain: pd.Series) -> pd.DataFrame:
-    """detect with what was declared about a text: a charset, a language, the domain it is from; each may be null."""
-    rows = [detect_bytes(bytes(c) if c is not None else b"", hinted(*h)) for c, *h in zip(content, charset, language, domain, strict=True)]
-    return pd.DataFrame(rows, columns=["encoding", "consumed", "reliable", "second"])
+    return run(content, charset, language, domain, F.lit(None).cast("string") if guess is None else guess)
 
 
 @F.pandas_udf(T.StringType())
@@ -258,6 +338,6 @@ def encode_as(text: pd.Series, charset: pd.Series) -> pd.Series:
     return pd.Series([None if t is None or n is None else t.encode(n, "replace") for t, n in zip(text, charset, strict=True)], dtype=object)
 
 
-def to_utf8(content: Column) -> Column:
+def to_utf8(content: Column, model: Model | None = None) -> Column:
     """content in UTF-8, whatever its detected encoding."""
-    return F.encode(decode_as(content, detect(content)["encoding"]), "UTF-8")
+    return F.encode(decode_as(content, detect(content, model)["encoding"]), "UTF-8")

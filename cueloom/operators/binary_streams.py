@@ -319,20 +319,25 @@ def sub_pictures(payloads: DataFrame) -> DataFrame:
     return spu.select("file_id", "substream", "spu_no", "pts_ms", u(F.col("data"), 0, 2).alias("size"), u(F.col("data"), 2, 2).alias("control_at"), "data")
 
 
-#: Bytes of arguments of each command of a control sequence.
+#: Bytes of arguments of each command of a control sequence. A change of colours and contrast states its own size.
 ARGUMENTS = {0: 0, 1: 0, 2: 0, 3: 2, 4: 2, 5: 6, 6: 4}
+COLOUR_CHANGE = 7
 
 
 @F.udf(_list(delay=T.IntegerType(), command=T.IntegerType(), args=T.BinaryType()), useArrow=True)
 def control_commands(data, start):
-    """The commands of a sub-picture's control sequences, in the order of their links."""
+    """The commands of a sub-picture's control sequences, in the order of their links.
+
+    The size that a change of colours states counts the bytes behind it; one that exceeds the unit ends the sequence."""
     out, at = [], start
     data = bytes(data or b"")
     while at is not None and at + 4 <= len(data):
         delay, following = int.from_bytes(data[at : at + 2], "big"), int.from_bytes(data[at + 2 : at + 4], "big")
         i = at + 4
-        while i < len(data) and data[i] in ARGUMENTS:
-            n = ARGUMENTS[data[i]]
+        while i < len(data) and (data[i] in ARGUMENTS or data[i] == COLOUR_CHANGE):
+            n = 2 + int.from_bytes(data[i + 1 : i + 3], "big") if data[i] == COLOUR_CHANGE else ARGUMENTS[data[i]]
+            if i + 1 + n > len(data):
+                break
             out.append((delay, data[i], data[i + 1 : i + 1 + n]))
             i += 1 + n
         at = following if following > at else None

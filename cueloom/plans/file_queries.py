@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.functions import binary, encoding, markup, timecode
+from cueloom.functions import binary, bytepairs, encoding, markup, timecode
 from cueloom.operators import binary_streams as bs
 from cueloom.operators import cues as ops
 from cueloom.operators import dictionaries, pictures
@@ -333,9 +333,9 @@ add("dvb_complete_pages", lambda s, d: bs.dvb_complete_pages(_unit(s, d)).select
 add("dvb_segment_names", lambda s, d: dictionaries.named(_unit(s, d), "segment_types", "type").groupBy("type", "name").agg(F.count("*").alias("n")), "SELECT x.t AS type, x.n AS name, k * count(*) AS n FROM part, (VALUES (16, 'page composition', 1), (17, 'region composition', 2), (18, 'CLUT definition', 1), (19, 'object data', 2), (21, 'disparity signalling', 1), (128, 'end of display set', 1)) x(t, n, k) GROUP BY x.t, x.n, k")
 
 
-def _sub_pictures(s: SparkSession, d: str) -> DataFrame:
+def _sub_pictures(s: SparkSession, d: str, spu: str = "0026 0008 11 600030 0000 0020 033210 04FFF0 05010013020021 0600040005 01 FF 0058 0020 02 FF") -> DataFrame:
     """Units of two lines of four pixels with an end of their own."""
-    spu = "0026 0008 11 600030 0000 0020 033210 04FFF0 05010013020021 0600040005 01 FF 0058 0020 02 FF".replace(" ", "")
+    spu = spu.replace(" ", "")
     packet = F.concat(F.lit(f"000001BD{3 + 5 + 1 + len(spu) // 2:04X}818005"), timecode.ms_to_pes_stamp(F.col("p_partkey") * 40), F.lit("20" + spu + "000001B9"))
     files = table(s, d, "part").select(F.col("p_partkey").alias("file_id"), F.unhex(packet).alias("content"))
     return bs.sub_pictures(bs.pes_payloads(bs.ps_packets(files)))
@@ -378,6 +378,19 @@ add("ts_adaptation_fields", _adaptation, "SELECT s_suppkey AS file_id, 0 AS pkt_
 
 _CODECS = ["utf-8", "cp1252", "utf-16-le", "utf-8-sig"]
 
+#: Commands behind a change of colours and contrast, in the first sequence and in the one with the end.
+_CHANGED = "0034 0008 11 600030 0000 0027 033210 04FFF0 07 0004 0FFFFFFF 05010013020021 0600040005 01 FF 0058 0027 07 0002 FFFF 02 FF"
+
+
+def _colour_changes(s: SparkSession, d: str) -> DataFrame:
+    units = _sub_pictures(s, d, _CHANGED)
+    commands = units.select("file_id", F.array_join(F.transform(bs.control_commands("data", F.col("control_at").cast("int")), lambda c: F.concat(c["command"].cast("string"), F.lit(":"), F.hex(c["args"]))), " ").alias("commands"))
+    area = pictures.sub_picture_spans(units).groupBy("file_id").agg(F.max("width").alias("width"), F.max("height").alias("height"))
+    return pictures.sub_picture_times(units).select("file_id", "start_ms", "end_ms").join(commands, "file_id").join(area, "file_id")
+
+
+add("vob_colour_changes", _colour_changes, "SELECT p_partkey AS file_id, p_partkey * 40 AS start_ms, p_partkey * 40 + 1001 AS end_ms, '3:3210 4:FFF0 7:00040FFFFFFF 5:010013020021 6:00040005 1: 7:0002FFFF 2:' AS commands, 4 AS width, 2 AS height FROM part")
+
 
 def _encoded(s: SparkSession, d: str) -> DataFrame:
     """Texts in several encodings by doc_id; those that Java encodes itself."""
@@ -413,14 +426,82 @@ def _sampled(s: SparkSession, d: str) -> DataFrame:
 
 
 add("detect_encoding", lambda s, d: _sampled(s, d).select("doc_id", encoding.detect("content")["encoding"].alias("encoding")), "SELECT doc_id, [" + ", ".join(f"'{n}'" for n, _ in _SAMPLES) + f"][doc_id % {len(_SAMPLES)} + 1] AS encoding FROM documents WHERE text IS NOT NULL")
-add("transcode_utf8", lambda s, d: _encoded(s, d).select("doc_id", F.decode(encoding.to_utf8(F.col("content")), "UTF-8").alias("text")), "SELECT doc_id, text FROM documents")
+
+
+def _model(s: SparkSession, d: str) -> bytepairs.Model:
+    """The default model, and the languages of three quarters of the documents."""
+    return bytepairs.trained(table(s, d, "documents").filter("crc32(cast(doc_id AS string)) % 4 <> 2"))
+
+
+add("transcode_utf8", lambda s, d: _encoded(s, d).select("doc_id", F.decode(encoding.to_utf8(F.col("content"), _model(s, d)), "UTF-8").alias("text")), "SELECT doc_id, text FROM documents")
 
 
 def _hinted(s: SparkSession, d: str) -> DataFrame:
-    return _encoded(s, d).select("doc_id", encoding.detect_hinted("content", F.lit(None).cast("string"), F.lit("de"), F.lit(None).cast("string"))["encoding"].alias("encoding"))
+    none = F.lit(None).cast("string")
+    return _encoded(s, d).select("doc_id", encoding.detect_hinted("content", none, F.lit("de"), none, model=_model(s, d))["encoding"].alias("encoding"))
+
+
+_PLAIN = r"NOT regexp_matches(coalesce(text, ''), '[^\x00-\x7F]')"
+add("detect_encoding_hinted", _hinted, f"SELECT doc_id, CASE WHEN text IS NULL OR text = '' AND doc_id % 3 < 2 THEN 'iso8859_1' WHEN doc_id % 3 = 2 THEN 'utf-16-le' WHEN {_PLAIN} THEN 'ascii' WHEN doc_id % 3 = 0 THEN 'utf-8' ELSE 'cp1252' END AS encoding FROM documents")
+
+#: Letters of other scripts, by how frequent they are, for the Latin ones of documents.
+_LETTERS = "etaoinshrdlcumwfgypbvkjxqz"
+_SCRIPTS = {
+    "cyrillic": "оеаинтсрвлкмдпуяыьгзбчйхжш", "arabic": "اليمنورتبةعدفسكقحجشصطخضذزث", "hebrew": "יוהלאמרתבשנכעדקחפגטצזסךםןף", "thai": "านรอกเงมยลวดทสตะปบคหแจพชขใ", "japanese": "のいしたんてにはなかとるがでをうれりすこまらさもあき",
+    "korean": "이다는에의을가고하지로기은사도나서를어리자인아한대시", "simplified": "的一是不了在有人我他这中大来上个国到说们为子和你地出", "traditional": "的一是不了在有人我他這中大來上個國到說們為子和你地出",
+}
+_WRITTEN = [
+    ("latin", "utf-8"), ("latin", "cp1252"), ("latin", "mac_roman"), ("latin", "cp850"), ("latin", "utf-16-le"), ("latin", "utf-32-be"), ("cyrillic", "cp1251"), ("cyrillic", "koi8_r"), ("cyrillic", "iso8859_5"), ("cyrillic", "cp866"), ("cyrillic", "mac_cyrillic"), ("cyrillic", "utf-8"),
+    ("arabic", "cp1256"), ("hebrew", "cp1255"), ("thai", "cp874"), ("japanese", "shift_jis"), ("japanese", "euc_jp"), ("japanese", "iso2022_jp"), ("korean", "euc_kr"), ("korean", "iso2022_kr"), ("simplified", "gb18030"), ("simplified", "hz"), ("simplified", "utf-16-be"), ("traditional", "big5"),
+]
+
+
+def _written(s: SparkSession, d: str) -> DataFrame:
+    """Every document in each of the encodings, in the script that goes with it: doc_id, script, encoding, text, content."""
+    docs = table(s, d, "documents").filter("text <> ''")
+    each = docs.select("doc_id", "text", F.explode(F.array(*[F.struct(F.lit(a).alias("script"), F.lit(b).alias("encoding")) for a, b in _WRITTEN])).alias("w")).select("doc_id", "text", "w.*")
+    changed = F.col("text")
+    for script, letters in _SCRIPTS.items():
+        # other letters go, as the encodings lack them
+        changed = F.when(F.col("script") == script, F.regexp_replace(F.translate(F.lower("text"), _LETTERS, letters), f"[^\\x00-\\x7F{letters}]", "")).otherwise(changed)
+    return each.withColumn("text", changed).withColumn("content", encoding.encode_as("text", "encoding"))
+
+
+def _judged(s: SparkSession, d: str) -> DataFrame:
+    """How often detection reads a document as it was written."""
+    found = _written(s, d).withColumn("found", encoding.detect("content", _model(s, d)))
+    same = encoding.decode_as(F.col("content"), F.col("found.encoding")) == encoding.decode_as(F.col("content"), F.col("encoding"))
+    right = F.sum(F.when(same, 1).otherwise(0))
+    counts = found.groupBy("script", "encoding").agg(F.count("*").alias("n"), right.alias("right"), F.sum(F.when(~same & F.col("found.reliable"), 1).otherwise(0)).alias("wrong"), F.sum("found.consumed").alias("consumed"), F.sum(F.length("content")).alias("bytes"))
+    return counts.select("script", "encoding", "n", (F.col("right") >= 0.99 * F.col("n")).alias("nearly_all_right"), (F.col("wrong") <= 0.005 * F.col("n")).alias("reliable"), (F.col("consumed") == F.col("bytes")).alias("whole"))
+
+
+add("detect_encoding_documents", _judged, "SELECT w.script, w.encoding, count(*) AS n, TRUE AS nearly_all_right, TRUE AS reliable, TRUE AS whole FROM documents, (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _WRITTEN) + ") w(script, encoding) WHERE text <> '' GROUP BY ALL")
+
+
+def _damaged(s: SparkSession, d: str) -> DataFrame:
+    """Documents in UTF-8, with a stray byte behind every other one, cut within the last character of the rest."""
+    sign, stray = F.encode(F.lit(" à é ü — ñ"), "UTF-8"), F.unhex(F.lit("FF"))
+    whole = F.concat(F.encode("text", "UTF-8"), sign)
+    docs = table(s, d, "documents").filter("text IS NOT NULL")
+    damaged = F.when(F.col("doc_id") % 2 == 0, F.concat(whole, stray)).otherwise(F.substring(whole, F.lit(1), F.length(whole) - 1))
+    return docs.select("doc_id", encoding.detect(damaged).alias("found")).select("doc_id", "found.encoding", "found.reliable", "found.second")
+
+
+add("detect_damaged_utf8", _damaged, "SELECT doc_id, 'utf-8' AS encoding, doc_id % 2 = 1 AS reliable, NULL::VARCHAR AS second FROM documents WHERE text IS NOT NULL")
+
+
+def _priced(s: SparkSession, d: str) -> DataFrame:
+    """Short texts with one sign, and what a hint makes of them: a charset that was declared, or a language."""
+    docs = table(s, d, "documents")
+    sign = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("£"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(" °C")))
+    hint = F.get(F.array(*[F.lit(x) for x in ("windows-1252", "ISO-8859-1", "iso-8859-9", None)]), (F.col("doc_id") % 4).cast("int"))
+    language = F.when(F.col("doc_id") % 4 == 3, F.lit("en"))
+    found = encoding.detect_hinted(encoding.encode_as(sign, F.lit("cp1252")), hint, language, F.lit(None).cast("string"))
+    return docs.select("doc_id", found["encoding"].alias("encoding"))
 
 
-add("detect_encoding_hinted", _hinted)
+add("detect_hinted_signs", _priced, "SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'iso8859_9' ELSE 'cp1252' END AS encoding FROM documents")
 add("encoding_names", lambda s, d: encoding.encoding_names(s).groupBy("family").agg(F.count("*").alias("n")), "SELECT * FROM (VALUES ('unicode', 9::BIGINT), ('multi', 14), ('single', 39), ('ascii', 1), ('binary', 1)) x(family, n)")
 
 
