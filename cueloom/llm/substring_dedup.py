@@ -141,7 +141,8 @@ def repeats(keyed: DataFrame) -> DataFrame:
     seeds = keyed.select("k1", "k2", "text").mapInArrow(_seeds, _longs(SEEDS))
     twice = cut_lineage(seeds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"))
     total = twice.agg(F.sum("n")).first()[0] or 0
-    shared = cut_lineage(join_by_key(seeds, twice, ["anchor"], total).drop("n"))
+    # seeds are dear to make, so they are read once; tasks of a frequent anchor are split by the adaptive join
+    shared = cut_lineage(seeds.join(twice.select("anchor"), "anchor", "left_semi"))
 
     kinds = cut_lineage(shared.groupBy("anchor", "e1", "e2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "packed")).alias("one")))
     copied = kinds.filter("n > 1").select("anchor", "e1", "e2", "n")
