@@ -70,12 +70,29 @@ def drop_folder(spark: SparkSession, path: str) -> None:
 HOT_SHARE = 1000
 
 
-def join_by_key(rows: DataFrame, table: DataFrame, key: list[str], total: int) -> DataFrame:
-    """rows joined with table, which has one row a key and in n how many of the rows, total in all, have it.
+def join_by_key(rows: DataFrame, table: DataFrame, key: list[str], total: int, n: str = "n") -> DataFrame:
+    """rows joined with table, which has one row a key and in column n how many of the rows, total in all, have it.
 
     Keys of more than a HOT_SHARE-th of the rows are fewer than HOT_SHARE, so their rows of table are broadcast,
     and no task of the join by shuffle gets more rows of one key than that share. rows should be cheap to read twice.
     """
-    hot = F.broadcast(table.filter(F.col("n") * HOT_SHARE > total))
-    cold = table.filter(F.col("n") * HOT_SHARE <= total)
+    hot = F.broadcast(table.filter(F.col(n) * HOT_SHARE > total))
+    cold = table.filter(F.col(n) * HOT_SHARE <= total)
     return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))
+
+
+def spread(rows: DataFrame, key: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """rows with __part, and how many parts each key has. A key of more than a HOT_SHARE-th of the rows is cut into parts by the column by.
+
+    The parts of all hot keys are HOT_SHARE and one a key more at most. rows should be cheap to read twice.
+    """
+    counts = cut_lineage(rows.groupBy(key).agg(F.count("*").alias("__n")))
+    total = counts.agg(F.sum("__n")).first()[0] or 1
+    parts = counts.withColumn("__parts", F.ceil(F.col("__n") * HOT_SHARE / F.lit(total)).cast("long"))
+    dealt = join_by_key(rows, parts, [key], total, "__n").withColumn("__part", F.pmod(F.xxhash64(by), F.col("__parts")))
+    return dealt.drop("__n", "__parts"), parts.drop("__n")
+
+
+def copied(table: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """The row of each key, which may be large, once for each of its parts; to be joined on the key and __part."""
+    return table.join(parts, key).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))).drop("__parts")

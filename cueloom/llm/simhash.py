@@ -43,6 +43,8 @@ EQUAL = (SEGMENTS - 1) // DISTANCE
 HOT = 50
 #: Bits beside a key at which it is split no more: at most 2 ** LOOSE fingerprints share it.
 LOOSE = 12
+#: Marks of rows (16 bytes each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_MARKS = 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -158,9 +160,11 @@ def least_rows(docs: DataFrame, rooted: DataFrame, mark: Column) -> DataFrame:
     order = F.struct(F.col("key").isNull().alias("null"), F.col("key").alias("key"), F.col("mark").alias("mark"), F.col("n").alias("n"))
     chosen = cut_lineage(each.groupBy("root").agg(F.min(order).alias("c")).select("c.key", "c.mark", "c.n"))
     with_mark = docs.withColumn("__mark", mark)
-    # a key and a hash of it and the text name a row, so every other row goes before any text is shuffled
-    once = with_mark.join(chosen.filter("n = 1").select(F.col("mark").alias("__mark")), "__mark", "left_semi")
-    more = with_mark.join(chosen.filter("n > 1").select(F.col("mark").alias("__mark")), "__mark", "left_semi")
+    # a key and a hash of it and the text name a row; texts are shuffled only where the marks are too many to go to every task
+    few = chosen.count() <= BROADCAST_MARKS
+    marks = lambda which: (F.broadcast if few else lambda x: x)(chosen.filter(which).select(F.col("mark").alias("__mark")))
+    once = with_mark.join(marks("n = 1"), "__mark", "left_semi")
+    more = with_mark.join(marks("n > 1"), "__mark", "left_semi")
     return once.drop("__mark").unionByName(more.dropDuplicates(["__mark"]).drop("__mark"))
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, join_by_key
+from .common import copied, cut_lineage, join_by_key, spread
 from .components import components
 from .simhash import _LOWER, SEED, least_rows, majority
 from .simhash import links as fingerprint_links
@@ -132,8 +132,10 @@ def _near(a: str, b: str) -> Column:
 def _plausible(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Those of pairs (u, v) whose sizes and sketches allow similar sets; distinct: sig, n and sketch."""
     side = lambda sig, **columns: distinct.select(F.col("sig").alias(sig), *[F.col(c).alias(x) for x, c in columns.items()])
-    sized = pairs.join(side("u", m="n"), "u").join(side("v", n="n"), "v").filter(_near("m", "n"))
-    drawn = sized.join(side("u", a="sketch"), "u").join(side("v", b="sketch"), "v")
+    # many pairs may have one u, the least text of a large group
+    dealt, parts = spread(pairs, "u", "v")
+    sized = dealt.join(side("v", n="n"), "v").join(copied(side("u", m="n"), parts, "u"), ["u", "__part"]).filter(_near("m", "n"))
+    drawn = sized.join(side("v", b="sketch"), "v").join(copied(side("u", a="sketch"), parts, "u"), ["u", "__part"])
     bits = F.aggregate(F.zip_with(_folded(F.col("a"), F.col("b")), _folded(F.col("b"), F.col("a")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     return cut_lineage(drawn.filter((OVER + UNDER) * bits <= (UNDER - OVER) * (F.col("m") + F.col("n"))).select("u", "v"))
 
@@ -143,9 +145,10 @@ def _verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame) -> DataFra
     named = cut_lineage(pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct().join(distinct.select("sig", "mark"), "sig"))
     # texts are shuffled only where the marks wanted are too many to go to every task
     named = F.broadcast(named) if named.count() <= BROADCAST_MARKS else named
-    found = sets(rows.join(named.select("mark"), "mark", "left_semi")).join(named, "mark").select("sig", "shingles").dropDuplicates(["sig"])
+    found = cut_lineage(sets(rows.join(named.select("mark"), "mark", "left_semi").dropDuplicates(["mark"])).join(named, "mark").select("sig", "shingles"))
     a, b = found.select(F.col("sig").alias("u"), F.col("shingles").alias("a")), found.select(F.col("sig").alias("v"), F.col("shingles").alias("b"))
-    both = pairs.join(a, "u").join(b, "v")
+    dealt, parts = spread(pairs, "u", "v")
+    both = dealt.join(b, "v").join(copied(a, parts, "u"), ["u", "__part"])
     # J = i / (a + b - i) >= OVER / UNDER
     alike = (OVER + UNDER) * F.size(F.array_intersect("a", "b")) >= OVER * (F.size("a") + F.size("b"))
     return cut_lineage(both.filter(alike).select("u", "v"))
@@ -170,17 +173,16 @@ def _by_fingerprint(distinct: DataFrame) -> DataFrame:
 
 def links(marked: DataFrame, rows: DataFrame) -> DataFrame:
     """u, v: links between sigs that have the same components as all links."""
-    distinct = cut_lineage(marked.groupBy("sig").agg(F.min(F.struct("mark", "n", "fp", "sketch")).alias("x")).select("sig", "x.*"))
-    each = marked.select(F.explode("prefix").alias("at"), "sig", F.col("n").alias("size"))
-    total = marked.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    met = each.groupBy("at").agg(F.min("sig").alias("least"), F.max("sig").alias("most"), F.count("*").alias("n"))
-    met = cut_lineage(met.filter("least <> most").drop("most"))
-    # rows of equal sets have equal prefixes and count once
-    shared = cut_lineage(join_by_key(each, met, ["at"], total).select("at", "least", "sig", "size").distinct())
+    # of equal sets, whose prefixes and sketches are equal too, one row
+    distinct = cut_lineage(marked.groupBy("sig").agg(F.min("mark").alias("mark"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch"), F.any_value("prefix").alias("prefix")))
+    each = distinct.select(F.explode("prefix").alias("at"), "sig", F.col("n").alias("size"))
+    total = distinct.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    met = cut_lineage(each.groupBy("at").agg(F.min("sig").alias("least"), F.count("*").alias("n")).filter("n > 1"))
+    shared = cut_lineage(join_by_key(each, met, ["at"], total).select("at", "least", "sig", "size"))
     stars = shared.filter("least < sig").select(F.col("least").alias("u"), F.col("sig").alias("v"))
-    some = _plausible(stars.union(_by_fingerprint(distinct)).distinct(), distinct)
+    some = _plausible(cut_lineage(stars.union(_by_fingerprint(distinct)).distinct()), distinct)
     # one pair a set first, which connects most; then those that are still apart
-    first = _verified(some.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), distinct, rows)
+    first = _verified(cut_lineage(some.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")), distinct, rows)
     first = cut_lineage(first.union(_verified(cut_lineage(_apart(some, cut_lineage(components(first)))), distinct, rows)))
 
     joined = shared.select("at", "sig", "size").join(components(first).withColumnRenamed("node", "sig"), "sig", "left").withColumn("of", F.coalesce("component", "sig"))
@@ -190,6 +192,7 @@ def links(marked: DataFrame, rows: DataFrame) -> DataFrame:
     a = joined.select("at", F.col("sig").alias("u"), F.col("size").alias("a"), F.col("of").alias("x"))
     b = joined.select("at", F.col("sig").alias("v"), F.col("size").alias("b"), F.col("of").alias("y"))
     pairs = a.join(b, "at").filter((F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & _near("a", "b")).select("u", "v").distinct()
+    pairs = cut_lineage(pairs)
     return first.union(_verified(_plausible(pairs, distinct), distinct, rows))
 
 
@@ -199,5 +202,7 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     rows = docs.select(F.col(f"`{key}`").alias("key"), mark.alias("mark"), F.col(f"`{text}`").alias("text"))
     marked = cut_lineage(prefixes(rows))
     linked = components(links(marked, rows)).withColumnRenamed("node", "sig")
-    rooted = marked.select("key", "mark", "sig").join(linked, "sig", "left").withColumn("root", F.coalesce("component", "sig"))
+    # one row a set, of which there may be very many copies
+    roots = marked.groupBy("sig").agg(F.count("*").alias("n")).join(linked, "sig", "left").select("sig", F.coalesce("component", "sig").alias("root"), "n")
+    rooted = join_by_key(marked.select("key", "mark", "sig"), cut_lineage(roots), ["sig"], marked.count()).drop("n")
     return least_rows(docs, rooted, mark)
