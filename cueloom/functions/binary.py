@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,8 +178,21 @@ decode_vob = _udf(vob_runs)
 decode_dvb = _udf(dvb_runs)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _rows(color: pd.Series, length: pd.Series, line: pd.Series, palette: pd.Series, missing: pd.Series) -> pd.Series:
+    out = []
+    for colors, lengths, lines, known, other in zip(color, length, line, palette, missing, strict=True):
+        if lines is None or known is None or not len(lines):
+            out.append(None)
+            continue
+        names = [other if k is None else k for k in known]
+        rows: list[list[str]] = [[] for _ in range(max(lines) + 1)]
+        for c, n, i in zip(colors, lengths, lines, strict=True):
+            rows[i].append((names[c] if c < len(names) else other) * n)
+        out.append(["".join(r) for r in rows])
+    return pd.Series(out, dtype=object)
+
+
 def pixel_rows(runs: Column, palette: Column, missing: str = "000000") -> Column:
-    """Hex rows of runs by line, through a palette of strings of one length, as RRGGBB."""
-    painted = F.transform(runs, lambda r: F.struct(r["line"].alias("line"), F.repeat(F.coalesce(F.get(palette, r["color"]), F.lit(missing)), r["length"]).alias("p")))
-    last = F.array_max(F.transform(runs, lambda r: r["line"]))
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.transform(F.filter(painted, lambda x: x["line"] == i), lambda x: x["p"]), ""))
+    """Hex rows of runs by line, through a palette of strings of one length, as RRGGBB; a line without runs is an empty row. One pass over the runs."""
+    return _rows(runs.getField("color"), runs.getField("length"), runs.getField("line"), palette, F.lit(missing))

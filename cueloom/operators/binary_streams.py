@@ -121,6 +121,18 @@ def pgs_colours(segments: DataFrame) -> DataFrame:
     return pgs_palette_entries(segments).withColumn("rgba", F.concat(*[F.lpad(F.hex(c.cast("long")), 2, "0") for c in (*rgb, F.col("alpha"))]))
 
 
+def _as_of(uses: DataFrame, definitions: DataFrame, key: list[str], value: str) -> DataFrame:
+    """uses with the value of the last definition of the same key up to their display set; null without one.
+
+    Both have key, display_set and seg_no. One sort of both together, so each use meets one definition."""
+    carried = F.struct(*[F.col(c) for c in uses.columns if c not in key])
+    ours = uses.select(*key, "display_set", F.lit(1).alias("used"), "seg_no", F.lit(None).cast(definitions.schema[value].dataType).alias(value), carried.alias("use"))
+    theirs = definitions.select(*key, "display_set", F.lit(0).alias("used"), "seg_no", value, F.lit(None).cast(ours.schema["use"].dataType).alias("use"))
+    w = Window.partitionBy(*key).orderBy("display_set", "used", "seg_no").rowsBetween(Window.unboundedPreceding, 0)
+    both = theirs.unionByName(ours).withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("used = 1")
+    return both.select(*[c if c in key else F.col(f"use.{c}").alias(c) for c in uses.columns], value)
+
+
 def pgs_pictures(segments: DataFrame) -> DataFrame:
     """What each composition shows: file_id, seg_no, object_no, pts_ms, x, y, width, height, rows (hex of RRGGBBAA pixels, one a line).
 
@@ -130,20 +142,24 @@ def pgs_pictures(segments: DataFrame) -> DataFrame:
     known = pgs_epochs(segments)
     shown = pgs_composition_objects(known)
     use = ["file_id", "seg_no", "object_no"]
-    where = known.select("file_id", F.col("seg_no").alias("first_seg"), F.col("display_set").alias("since"), "object_epoch")
+    where = known.select("file_id", F.col("seg_no").alias("first_seg"), "display_set", "object_epoch")
     objects = pgs_objects(segments).join(where, ["file_id", "first_seg"])
-    last = F.max_by(F.struct("width", "height", "rle"), F.col("first_seg")).alias("o")
-    pixels = shown.join(objects, ["file_id", "object_epoch", "object_id"]).filter("since <= display_set").groupBy(use).agg(last)
-
-    at = known.select("file_id", "seg_no", F.col("display_set").alias("since"), "palette_epoch")
-    entries = pgs_colours(segments).join(at, ["file_id", "seg_no"]).select("file_id", "palette_epoch", "palette_id", "entry", "rgba", "since", F.col("seg_no").alias("defined"))
-    sets = shown.select("file_id", "seg_no", "display_set", "palette_epoch", "palette_id").distinct()
-    colours = sets.join(entries, ["file_id", "palette_epoch", "palette_id"]).filter("since <= display_set").groupBy("file_id", "seg_no", "entry").agg(F.max_by("rgba", "defined").alias("rgba"))
-    colours = colours.groupBy("file_id", "seg_no").agg(F.map_from_entries(F.collect_list(F.struct("entry", "rgba"))).alias("m"))
+    pixels = _as_of(shown, objects.select("file_id", "object_epoch", "object_id", "display_set", F.col("first_seg").alias("seg_no"), F.struct("width", "height", "rle").alias("o")), ["file_id", "object_epoch", "object_id"], "o")
+
+    # a version of a palette is what its entries are after one of its segments
+    palette = ["file_id", "palette_epoch", "palette_id"]
+    at = known.select("file_id", "seg_no", "display_set", "palette_epoch")
+    entries = pgs_colours(segments).join(at, ["file_id", "seg_no"]).groupBy(*palette, "display_set", "seg_no", "entry").agg(F.last("rgba").alias("rgba"))
+    versions = entries.select(*palette, "display_set", "seg_no").distinct()
+    grid = versions.join(entries.select(*palette, "entry").distinct(), palette).join(entries, [*palette, "display_set", "seg_no", "entry"], "left")
+    so_far = Window.partitionBy(*palette, "entry").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, 0)
+    filled = grid.withColumn("rgba", F.last("rgba", ignorenulls=True).over(so_far)).filter("rgba IS NOT NULL")
+    colours = filled.groupBy(*palette, F.col("seg_no").alias("version")).agg(F.map_from_entries(F.collect_list(F.struct("entry", "rgba"))).alias("m"))
+    pixels = _as_of(pixels.filter("o IS NOT NULL"), versions.withColumn("version", F.col("seg_no")), palette, "version")
 
     clear = F.lit("00000000")
-    palette = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i.cast("long")), clear))
-    whole = shown.join(pixels, use).join(colours, ["file_id", "seg_no"], "left").withColumn("runs", decode_pgs("o.rle")).withColumn("palette", palette)
+    rgba = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i.cast("long")), clear))
+    whole = pixels.join(colours, [*palette, "version"], "left").withColumn("runs", decode_pgs("o.rle")).withColumn("palette", rgba)
     whole = whole.withColumn("rows", pixel_rows(F.col("runs"), F.col("palette"), "00000000"))
     # rows end with what their runs cover; the object's size counts
     rows = F.transform(F.slice("rows", F.lit(1), F.col("o.height").cast("int")), lambda r: F.rpad(r, F.col("o.width").cast("int") * 8, "0"))
