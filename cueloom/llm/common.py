@@ -81,18 +81,16 @@ def join_by_key(rows: DataFrame, table: DataFrame, key: list[str], total: int, n
     return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))
 
 
-def spread(rows: DataFrame, key: str, by: str) -> tuple[DataFrame, DataFrame]:
-    """rows with __part, and how many parts each key has. A key of more than a HOT_SHARE-th of the rows is cut into parts by the column by.
+def spread(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with table, which has one row a key that may be large. A key of more than a HOT_SHARE-th of the rows is cut into
+    parts by the column by, and its row of table is copied to each: HOT_SHARE copies and one a key more at most in all.
 
-    The parts of all hot keys are HOT_SHARE and one a key more at most. rows should be cheap to read twice.
+    What is broadcast is the number of parts of each hot key. rows should be cheap to read twice.
     """
     counts = cut_lineage(rows.groupBy(key).agg(F.count("*").alias("__n")))
     total = counts.agg(F.sum("__n")).first()[0] or 1
-    parts = counts.withColumn("__parts", F.ceil(F.col("__n") * HOT_SHARE / F.lit(total)).cast("long"))
-    dealt = join_by_key(rows, parts, [key], total, "__n").withColumn("__part", F.pmod(F.xxhash64(by), F.col("__parts")))
-    return dealt.drop("__n", "__parts"), parts.drop("__n")
-
-
-def copied(table: DataFrame, parts: DataFrame, key: str) -> DataFrame:
-    """The row of each key, which may be large, once for each of its parts; to be joined on the key and __part."""
-    return table.join(parts, key).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))).drop("__parts")
+    parts = F.broadcast(counts.filter(F.col("__n") * HOT_SHARE > total).select(key, F.ceil(F.col("__n") * HOT_SHARE / F.lit(total)).cast("long").alias("__parts")))
+    of = F.coalesce("__parts", F.lit(1).cast("long"))
+    dealt = rows.join(parts, key, "left").withColumn("__part", F.pmod(F.xxhash64(by), of)).drop("__parts")
+    copies = table.join(parts, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), of - 1))).drop("__parts")
+    return dealt.join(copies, [key, "__part"]).drop("__part")

@@ -13,7 +13,8 @@ candidates there are, not which links.
 
 Equal sets are collapsed first. Of the texts that share a prefix shingle, each is first compared with the least
 of them; only pairs that all these links do not connect are compared after that, so a large group of
-near copies takes linear work.
+near copies takes linear work. Texts that share much without being
+alike stay apart, so every pair of them is a candidate: that is the quadratic part, which sizes and sketches make cheap and not small.
 
 Defined results: ASCII case and the kind of spaces do not count; a text with fewer words than a shingle is one
 shingle, null texts and texts without a word are one empty shingle; a very long text has a set as any other, held by one
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import copied, cut_lineage, join_by_key, spread
+from .common import cut_lineage, join_by_key, spread
 from .components import components
 from .simhash import _LOWER, SEED, least_rows, majority
 from .simhash import links as fingerprint_links
@@ -130,12 +131,9 @@ def _near(a: str, b: str) -> Column:
 
 
 def _plausible(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Those of pairs (u, v) whose sizes and sketches allow similar sets; distinct: sig, n and sketch."""
-    side = lambda sig, **columns: distinct.select(F.col("sig").alias(sig), *[F.col(c).alias(x) for x, c in columns.items()])
-    # many pairs may have one u, the least text of a large group
-    dealt, parts = spread(pairs, "u", "v")
-    sized = dealt.join(side("v", n="n"), "v").join(copied(side("u", m="n"), parts, "u"), ["u", "__part"]).filter(_near("m", "n"))
-    drawn = sized.join(side("v", b="sketch"), "v").join(copied(side("u", a="sketch"), parts, "u"), ["u", "__part"])
+    """Those of pairs (u, v and their sizes m, n) whose sizes and sketches allow similar sets; distinct: sig and sketch."""
+    side = lambda sig, name: distinct.select(F.col("sig").alias(sig), F.col("sketch").alias(name))
+    drawn = pairs.filter(_near("m", "n")).join(side("v", "b"), "v").join(side("u", "a"), "u")
     bits = F.aggregate(F.zip_with(_folded(F.col("a"), F.col("b")), _folded(F.col("b"), F.col("a")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     return cut_lineage(drawn.filter((OVER + UNDER) * bits <= (UNDER - OVER) * (F.col("m") + F.col("n"))).select("u", "v"))
 
@@ -147,8 +145,8 @@ def _verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame) -> DataFra
     named = F.broadcast(named) if named.count() <= BROADCAST_MARKS else named
     found = cut_lineage(sets(rows.join(named.select("mark"), "mark", "left_semi").dropDuplicates(["mark"])).join(named, "mark").select("sig", "shingles"))
     a, b = found.select(F.col("sig").alias("u"), F.col("shingles").alias("a")), found.select(F.col("sig").alias("v"), F.col("shingles").alias("b"))
-    dealt, parts = spread(pairs, "u", "v")
-    both = dealt.join(b, "v").join(copied(a, parts, "u"), ["u", "__part"])
+    # many pairs may have one u, the least text of a large group
+    both = spread(pairs, a, "u", "v").join(b, "v")
     # J = i / (a + b - i) >= OVER / UNDER
     alike = (OVER + UNDER) * F.size(F.array_intersect("a", "b")) >= OVER * (F.size("a") + F.size("b"))
     return cut_lineage(both.filter(alike).select("u", "v"))
@@ -171,6 +169,15 @@ def _by_fingerprint(distinct: DataFrame) -> DataFrame:
     return own.filter("u <> v").union(linked)
 
 
+def _still_apart(joined: DataFrame) -> DataFrame:
+    """u, v, m, n: pairs of sets of different components (of) that share a shingle (at). joined: at, sig, size, of."""
+    apart = joined.groupBy("at").agg(F.min("of").alias("x"), F.max("of").alias("y")).filter("x < y").select("at")
+    some = joined.join(apart, "at", "left_semi")
+    a = some.select("at", F.col("sig").alias("u"), F.col("size").alias("m"), F.col("of").alias("x"))
+    b = some.select("at", F.col("sig").alias("v"), F.col("size").alias("n"), F.col("of").alias("y"))
+    return a.join(b, "at").filter((F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & _near("m", "n")).select("u", "v", "m", "n").distinct()
+
+
 def links(marked: DataFrame, rows: DataFrame) -> DataFrame:
     """u, v: links between sigs that have the same components as all links."""
     # of equal sets, whose prefixes and sketches are equal too, one row
@@ -180,19 +187,14 @@ def links(marked: DataFrame, rows: DataFrame) -> DataFrame:
     met = cut_lineage(each.groupBy("at").agg(F.min("sig").alias("least"), F.count("*").alias("n")).filter("n > 1"))
     shared = cut_lineage(join_by_key(each, met, ["at"], total).select("at", "least", "sig", "size"))
     stars = shared.filter("least < sig").select(F.col("least").alias("u"), F.col("sig").alias("v"))
-    some = _plausible(cut_lineage(stars.union(_by_fingerprint(distinct)).distinct()), distinct)
+    size = lambda sig, n: distinct.select(F.col("sig").alias(sig), F.col("n").alias(n))
+    some = _plausible(stars.union(_by_fingerprint(distinct)).distinct().join(size("v", "n"), "v").join(size("u", "m"), "u"), distinct)
     # one pair a set first, which connects most; then those that are still apart
     first = _verified(cut_lineage(some.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")), distinct, rows)
     first = cut_lineage(first.union(_verified(cut_lineage(_apart(some, cut_lineage(components(first)))), distinct, rows)))
 
     joined = shared.select("at", "sig", "size").join(components(first).withColumnRenamed("node", "sig"), "sig", "left").withColumn("of", F.coalesce("component", "sig"))
-    joined = cut_lineage(joined.select("at", "sig", "size", "of"))
-    apart = joined.groupBy("at").agg(F.min("of").alias("x"), F.max("of").alias("y")).filter("x < y").select("at")
-    joined = joined.join(apart, "at", "left_semi")
-    a = joined.select("at", F.col("sig").alias("u"), F.col("size").alias("a"), F.col("of").alias("x"))
-    b = joined.select("at", F.col("sig").alias("v"), F.col("size").alias("b"), F.col("of").alias("y"))
-    pairs = a.join(b, "at").filter((F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & _near("a", "b")).select("u", "v").distinct()
-    pairs = cut_lineage(pairs)
+    pairs = _still_apart(cut_lineage(joined.select("at", "sig", "size", "of")))
     return first.union(_verified(_plausible(pairs, distinct), distinct, rows))
 
 
