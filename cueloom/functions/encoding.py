@@ -292,15 +292,20 @@ DETECTED = T.StructType(
 )
 
 
-def detect(content: Column | str, model: Model | None = None) -> Column:
-    """encoding, consumed, reliable and second of a binary column; without a model the default one."""
+def detect_udf(model: Model | None = None):
+    """The function that detect() applies, for registration under a name."""
     model = model or default_model()
 
     @F.pandas_udf(DETECTED)
     def run(content: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([detect_bytes(bytes(c) if c is not None else b"", None, model) for c in content], columns=["encoding", "consumed", "reliable", "second"])
 
-    return run(content)
+    return run
+
+
+def detect(content: Column | str, model: Model | None = None) -> Column:
+    """encoding, consumed, reliable and second of a binary column; without a model the default one."""
+    return detect_udf(model)(content)
 
 
 def detect_hinted(content: Column | str, charset: Column | str, language: Column | str, domain: Column | str, guess: Column | str | None = None, corpus: str | None = None, model: Model | None = None) -> Column:

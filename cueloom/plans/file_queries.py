@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.functions import binary, bytepairs, encoding, markup, timecode
+from cueloom.functions import binary, bytepairs, encoding, markup, sql_names, timecode
 from cueloom.operators import binary_streams as bs
 from cueloom.operators import cues as ops
 from cueloom.operators import dictionaries, pictures
@@ -511,3 +511,33 @@ def _marked(s: SparkSession, d: str) -> DataFrame:
 
 
 add("check_bom", _marked, "SELECT doc_id AS file_id, 0 AS cue_no, 'bom' AS code, 'INFO' AS severity, 'UTF-8' AS mark FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL")
+
+
+# the same functions by their names in SQL
+
+
+def _in_sql(sql: str, **frames: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        sql_names.register(s)
+        return s.sql(sql, **{name: make(s, d) for name, make in frames.items()})
+
+    return run
+
+
+add("sql_pgs_segments", _in_sql("SELECT file_id, s.type, count(*) AS n, min(s.pts) AS first_pts, sum(length(s.body)) AS size FROM {files} f, LATERAL pgs_segments(f.content) s GROUP BY file_id, s.type", files=_pgs_files), ORACLES["pgs_segments"])
+add("sql_vob_packets", _in_sql("SELECT file_id, p.kind, count(*) AS n, min(p.pos) AS first_pos FROM {files} f, LATERAL vob_packets(f.content) p GROUP BY file_id, p.kind", files=_vob_files), ORACLES["vob_packets"])
+add(
+    "sql_ts_packets",
+    _in_sql("SELECT file_id, p.pid, count(*) AS n, sum(p.pusi) AS starts, sum(CASE WHEN p.payload IS NULL THEN 0 ELSE 184 - length(p.payload) END) AS adaptation FROM {files} f, LATERAL ts_packets(f.content) p GROUP BY file_id, p.pid", files=_ts_files),
+    "SELECT s_suppkey AS file_id, x.p AS pid, x.n::BIGINT AS n, x.s::BIGINT AS starts, 0::BIGINT AS adaptation FROM supplier, (VALUES (0, 1, 1), (17, 1, 1), (256, 1, 1), (257, 2, 2), (8191, 1, 0)) x(p, n, s)",
+)
+add(
+    "sql_dvb_segments",
+    _in_sql("SELECT s.type, count(*) AS n, sum(length(s.body)) AS size FROM {units} u, LATERAL dvb_segments(u.payload) s GROUP BY s.type", units=lambda s, d: bs.pes_units(bs.ts_packets(_ts_files(s, d)).filter("pid = 257"))),
+    "SELECT x.t AS type, 2 * count(*) AS n, x.z * count(*) AS size FROM supplier, (VALUES (16, 10), (128, 0)) x(t, z) GROUP BY x.t, x.z",
+)
+add(
+    "sql_scalars",
+    _in_sql("SELECT l_orderkey, l_linenumber, ms_clock(l_partkey * 1717 - 90000) AS clock, clock_ms(ms_clock(l_partkey * 1717 - 90000)) AS ms, ticks_ms(l_suppkey * 77) AS ticks, strip_tags(concat('<i>', l_linestatus, '</i> <font color=\"x\">', l_returnflag, '</font> 1 < 2')) AS text, detect_encoding(encode(concat(l_linestatus, 'é è'), 'UTF-8')).encoding AS encoding FROM {lines}", lines=lambda s, d: table(s, d, "lineitem")),
+    "SELECT l_orderkey, l_linenumber, CASE WHEN v < 0 THEN '-' ELSE '' END || printf('%02d:%02d:%02d,%03d', abs(v) // 3600000, abs(v) // 60000 % 60, abs(v) // 1000 % 60, abs(v) % 1000) AS clock, v AS ms, (l_suppkey * 77 + 45) // 90 AS ticks, l_linestatus || ' ' || l_returnflag || ' 1 < 2' AS text, 'utf-8' AS encoding FROM (SELECT *, l_partkey * 1717 - 90000 AS v FROM lineitem)",
+)
