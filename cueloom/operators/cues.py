@@ -1,6 +1,7 @@
 """Operators over cues: file_id, cue_no (from 1 in each file), start_ms, end_ms, text.
 
-Every file is a group of windows; rows of one file are as many as one subtitle file has.
+Every file is a group of windows; rows of one file are as many as one subtitle file has. Where a file may be larger than a
+task, combine(), reorder() and check_cues() take ``size``, the cues of a range, and work by ranges (``ranges``).
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cueloom.functions import bom, markup, timecode
+from cueloom.operators import ranges
 
 CUE = ["file_id", "cue_no", "start_ms", "end_ms", "text"]
 
@@ -22,12 +24,21 @@ def renumber(cues: DataFrame, *order: Column | str) -> DataFrame:
     return cues.withColumn("cue_no", F.row_number().over(w))
 
 
-def combine(cues: DataFrame) -> DataFrame:
+def _with_previous(cues: DataFrame, previous: dict[str, Column | str], size: int | None) -> DataFrame:
+    if size:
+        return ranges.with_previous(cues, previous, ranges.by_number("cue_no", size))
+    return cues.withColumns({name: F.lag(c).over(by_file()) for name, c in previous.items()})
+
+
+def combine(cues: DataFrame, size: int | None = None) -> DataFrame:
     """Adjacent cues of the same text, each starting where the one before ends, become one."""
-    same = (F.col("start_ms") == F.lag("end_ms").over(by_file())) & (F.col("text") == F.lag("text").over(by_file()))
+    known = _with_previous(cues, {"__pe": "end_ms", "__pt": "text"}, size)
+    same = (F.col("start_ms") == F.col("__pe")) & (F.col("text") == F.col("__pt"))
     begins = F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)
-    grouped = cues.withColumn("__b", begins)
-    grouped = grouped.withColumn("__g", F.sum("__b").over(by_file().rowsBetween(Window.unboundedPreceding, 0)))
+    if size:
+        grouped = ranges.running_sum(known, begins, "__g", ranges.by_number("cue_no", size), ["cue_no"])
+    else:
+        grouped = known.withColumn("__b", begins).withColumn("__g", F.sum("__b").over(by_file().rowsBetween(Window.unboundedPreceding, 0)))
     out = grouped.groupBy("file_id", F.col("__g").cast("int").alias("cue_no")).agg(
         F.min_by("start_ms", "cue_no").alias("start_ms"), F.max_by("end_ms", "cue_no").alias("end_ms"), F.min_by("text", "cue_no").alias("text")
     )
@@ -62,8 +73,11 @@ def sync(cues: DataFrame, old_first: int, old_last: int, new_first: int, new_las
     return cues.select("file_id", "cue_no", start.alias("start_ms"), (start + F.col("end_ms") - F.col("start_ms")).alias("end_ms"), "text")
 
 
-def reorder(cues: DataFrame) -> DataFrame:
-    """By start; of equal starts the earlier number first."""
+def reorder(cues: DataFrame, span: int | None = None) -> DataFrame:
+    """By start; of equal starts the earlier number first. span: milliseconds of a range, for files too large for one task."""
+    if span:
+        placed = ranges.running_sum(cues, F.lit(1), "__no", ranges.by_number("start_ms", span), ["start_ms", "cue_no"])
+        return placed.withColumn("cue_no", F.col("__no").cast("int")).select(*CUE)
     return renumber(cues, "start_ms", "cue_no").select(*CUE)
 
 
@@ -117,12 +131,10 @@ RULES = {
 }
 
 
-def check_cues(cues: DataFrame) -> DataFrame:
+def check_cues(cues: DataFrame, size: int | None = None) -> DataFrame:
     """file_id, cue_no, code, severity of every rule that parsed cues break; cues may have src_number."""
     number = F.col("src_number") if "src_number" in cues.columns else F.col("cue_no")
-    df = cues.withColumns(
-        {"__n": number, "__pn": F.lag(number).over(by_file()), "__pe": F.lag("end_ms").over(by_file())}
-    )
+    df = _with_previous(cues, {"__pn": number, "__pe": "end_ms"}, size).withColumn("__n", number)
     lines = F.size(F.split("text", "\n"))
     tests = {
         "no_text": F.col("text").isNull() | (F.col("text") == ""),
