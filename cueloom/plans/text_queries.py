@@ -350,3 +350,12 @@ add(
     + _COMBINE.format("el")
     + ") SELECT file_id, cue_no AS line_no, text AS line FROM co",
 )
+
+# the same by ranges of a file, small ones so that files have several
+for _name, _same, _query in (
+    ("combine_by_ranges", "combine_adjacent", lambda s, d: ops.combine(cues_events(s, d), 20)),
+    ("reorder_by_ranges", "reorder_by_start", lambda s, d: ops.reorder(_shuffled(s, d), 5_000)),
+    ("check_by_ranges", "check_overlap", lambda s, d: ops.check_cues(_perturbed(s, d), 5).filter("code = 'overlap'")),
+):
+    add(_name, _query)
+    ORACLES[_name] = ORACLES[_same]
