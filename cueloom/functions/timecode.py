@@ -83,11 +83,22 @@ def spu_delay_to_ms(delay: Column) -> Column:
     return div(delay.cast("long") * 1_024_000, 90_000)
 
 
+def whole_hours(ms: Column) -> Column:
+    """ms down to the hour, as a coarse clock tells it."""
+    return div(ms, 3_600_000) * 3_600_000
+
+
 def ms_to_u32(ms: Column) -> Column:
-    """A 32-bit 90 kHz stamp as eight hex digits."""
+    """A 90 kHz stamp as eight hex digits."""
     return F.lpad(F.hex(ms.cast("long") * 90), 8, "0")
 
 
+def unwrapped(ticks: Column, near: Column, bits: int) -> Column:
+    """The time, not below zero, that is closest to near of all that a stamp of so many bits stands for."""
+    turns = F.greatest(F.shiftright(near + (1 << bits - 1) - ticks, bits), F.lit(0).cast("long"))
+    return ticks + turns * (1 << bits)
+
+
 def ms_to_pes_stamp(ms: Column, prefix: int = 2) -> Column:
     """A 33-bit 90 kHz stamp as the ten hex digits of its five bytes with marker bits."""
     t = ms.cast("long") * 90
@@ -101,11 +112,13 @@ def ms_to_pes_stamp(ms: Column, prefix: int = 2) -> Column:
     return F.concat(*[F.lpad(F.hex(b), 2, "0") for b in (b0, bits(22, 255), b2, bits(7, 255), b4)])
 
 
-def pes_stamp_ticks(hex_digits: Column) -> Column:
-    """Ticks of five stamp bytes given as hex."""
+def pes_stamp_ticks(hex_digits: Column, near_ms: Column | None = None) -> Column:
+    """Ticks of five stamp bytes given as hex. Their 33 bits begin anew every 26.5 hours; near_ms, a time within 13 hours of the
+    stamp's such as that of a clock beside it, says which of the times is meant."""
     b = [F.conv(F.substring(hex_digits, 2 * i + 1, 2), 16, 10).cast("long") for i in range(5)]
     top = F.shiftleft(F.shiftright(b[0], 1).bitwiseAND(F.lit(7).cast("long")), 30)
-    return top + b[1] * (1 << 22) + F.shiftright(b[2], 1) * (1 << 15) + b[3] * 128 + F.shiftright(b[4], 1)
+    ticks = top + b[1] * (1 << 22) + F.shiftright(b[2], 1) * (1 << 15) + b[3] * 128 + F.shiftright(b[4], 1)
+    return ticks if near_ms is None else unwrapped(ticks, near_ms.cast("long") * 90, 33)
 
 
 #: Frames a second of each rate code.
