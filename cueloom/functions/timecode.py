@@ -89,8 +89,8 @@ def whole_hours(ms: Column) -> Column:
 
 
 def ms_to_u32(ms: Column) -> Column:
-    """A 90 kHz stamp as eight hex digits."""
-    return F.lpad(F.hex(ms.cast("long") * 90), 8, "0")
+    """A 90 kHz stamp as eight hex digits; one beyond 32 bits (from 13 h 15 min on) has more, nothing is cut. A field takes the last eight."""
+    return F.format_string("%08X", ms.cast("long") * 90)
 
 
 def unwrapped(ticks: Column, near: Column, bits: int) -> Column:

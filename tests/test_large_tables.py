@@ -29,13 +29,15 @@ def large_dir(tmp_path_factory, sf_dir):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["ms_to_pes_bytes"])
+@pytest.mark.parametrize("name", ["ms_to_pes_bytes", "ms_to_u32_bytes"])
 def test_large_keys(spark, large_dir, name):
     same_rows(QUERIES[name](spark, large_dir), ORACLES[name], large_dir)
 
 
 def test_stamps_begin_anew(spark):
     row = spark.range(1).select(
+        timecode.ms_to_u32(F.lit(50_000_000)).alias("u32"),
         *[timecode.unwrapped(F.lit(t), F.lit(n), 32).alias(f"t{i}") for i, (t, n) in enumerate(((5, 1 << 32), (0xFFFFFFFF, 1 << 32), (0xFFFFFFFF, 0), (7, 3 << 32)))],
     ).first()
+    assert row.u32 == "10C388D00"
     assert [row[f"t{i}"] for i in range(4)] == [(1 << 32) + 5, 0xFFFFFFFF, 0xFFFFFFFF, (3 << 32) + 7]
