@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from cueloom.functions import encoding
+from cueloom.operators.binary_streams import pgs_time
 from cueloom.sources.stream_files import KINDS, records
 
 
@@ -23,11 +24,16 @@ def _records(content: bytes | None, kind: str) -> Iterator[tuple[int, int, bytes
 
 
 class PgsSegments:
-    """Segments of presentation graphics, as pgs_segments() has them."""
+    """Segments of presentation graphics, as pgs_segments() has them; about_ms may be given as there."""
 
-    def eval(self, content: bytes):
+    def eval(self, content: bytes, about_ms: int | None = None):
+        near = None if about_ms is None else about_ms * 90
         for no, at, d in _records(content, "pgs"):
-            yield no, at, *KINDS["pgs"].fields(d)
+            pts, dts, *rest = KINDS["pgs"].fields(d)
+            if near is not None:
+                near = pts = pgs_time(pts, near)
+                dts = pgs_time(dts, near) if dts else 0
+            yield no, at, pts, dts, *rest
 
 
 class VobPackets:

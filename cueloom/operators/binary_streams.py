@@ -22,28 +22,54 @@ def _list(**fields: T.DataType) -> T.ArrayType:
     return T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields.items()]))
 
 
+def matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right) by sorting both. What the bytes of a stream become is far more than Spark estimates from the size of its table,
+    so that without a hint whole relations would go through the driver to every executor."""
+    return left.join(right.hint("merge"), on, how)
+
+
 # presentation graphics
 
 
+def pgs_time(ticks: int, near: int | None) -> int:
+    """The time, not below zero, that is closest to near of all that a 32-bit stamp stands for."""
+    return ticks if near is None else ticks + (max(near + (1 << 31) - ticks >> 32, 0) << 32)
+
+
+def _walk(data: bytes, about_ms: int | None) -> Iterator[tuple[int, int, int]]:
+    """pos, pts and dts of the segments of a file."""
+    pos, near = 0, None if about_ms is None else about_ms * 90
+    while pos + 13 <= len(data) and data[pos : pos + 2] == b"PG":
+        pts, dts = int.from_bytes(data[pos + 2 : pos + 6], "big"), int.from_bytes(data[pos + 6 : pos + 10], "big")
+        if near is not None:
+            near = pts = pgs_time(pts, near)
+            dts = pgs_time(dts, near) if dts else 0
+        yield pos, pts, dts
+        pos += 13 + int.from_bytes(data[pos + 11 : pos + 13], "big")
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for file_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            data, pos, no = content or b"", 0, 0
-            while pos + 13 <= len(data) and data[pos : pos + 2] == b"PG":
+        for file_id, content, about_ms in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            data = content or b""
+            for no, (pos, pts, dts) in enumerate(_walk(data, about_ms), 1):
                 size = int.from_bytes(data[pos + 11 : pos + 13], "big")
-                no += 1
-                rows.append((file_id, no, pos, int.from_bytes(data[pos + 2 : pos + 6], "big"), int.from_bytes(data[pos + 6 : pos + 10], "big"), data[pos + 10], data[pos + 13 : pos + 13 + size]))
-                pos += 13 + size
+                rows.append((file_id, no, pos, pts, dts, data[pos + 10], data[pos + 13 : pos + 13 + size]))
         names = ["file_id", "seg_no", "pos", "pts", "dts", "type", "body"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
 def pgs_segments(files: DataFrame) -> DataFrame:
-    """file_id, seg_no, pos, pts, dts (90 kHz), type, body of files (file_id, content)."""
+    """file_id, seg_no, pos, pts, dts (90 kHz), type, body of files (file_id, content).
+
+    Stamps have 32 bits, which begin anew every 13 hours. Files may have about_ms, when they begin, to within six hours, as a
+    playlist tells it: then each stamp is the time closest to the one before, the first that closest to about_ms. A decoding
+    stamp of 0 stands for none. Without about_ms, or where it is null, stamps are as they stand in the file."""
     out = "file_id long, seg_no int, pos long, pts long, dts long, type int, body binary"
-    return files.select(F.col("file_id").cast("long"), "content").mapInArrow(_segments, out)
+    about = F.col("about_ms") if "about_ms" in files.columns else F.lit(None)
+    return files.select(F.col("file_id").cast("long"), "content", about.cast("long").alias("about_ms")).mapInArrow(_segments, out)
 
 
 def pgs_compositions(segments: DataFrame) -> DataFrame:
@@ -143,15 +169,15 @@ def pgs_pictures(segments: DataFrame) -> DataFrame:
     shown = pgs_composition_objects(known)
     use = ["file_id", "seg_no", "object_no"]
     where = known.select("file_id", F.col("seg_no").alias("first_seg"), "display_set", "object_epoch")
-    objects = pgs_objects(segments).join(where, ["file_id", "first_seg"])
+    objects = matched(pgs_objects(segments), where, ["file_id", "first_seg"])
     pixels = _as_of(shown, objects.select("file_id", "object_epoch", "object_id", "display_set", F.col("first_seg").alias("seg_no"), F.struct("width", "height", "rle").alias("o")), ["file_id", "object_epoch", "object_id"], "o")
 
     # a version of a palette is what its entries are after one of its segments
     palette = ["file_id", "palette_epoch", "palette_id"]
     at = known.select("file_id", "seg_no", "display_set", "palette_epoch")
-    entries = pgs_colours(segments).join(at, ["file_id", "seg_no"]).groupBy(*palette, "display_set", "seg_no", "entry").agg(F.last("rgba").alias("rgba"))
+    entries = matched(pgs_colours(segments), at, ["file_id", "seg_no"]).groupBy(*palette, "display_set", "seg_no", "entry").agg(F.last("rgba").alias("rgba"))
     versions = entries.select(*palette, "display_set", "seg_no").distinct()
-    grid = versions.join(entries.select(*palette, "entry").distinct(), palette).join(entries, [*palette, "display_set", "seg_no", "entry"], "left")
+    grid = matched(matched(versions, entries.select(*palette, "entry").distinct(), palette), entries, [*palette, "display_set", "seg_no", "entry"], "left")
     so_far = Window.partitionBy(*palette, "entry").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, 0)
     filled = grid.withColumn("rgba", F.last("rgba", ignorenulls=True).over(so_far)).filter("rgba IS NOT NULL")
     colours = filled.groupBy(*palette, F.col("seg_no").alias("version")).agg(F.map_from_entries(F.collect_list(F.struct("entry", "rgba"))).alias("m"))
@@ -159,7 +185,7 @@ def pgs_pictures(segments: DataFrame) -> DataFrame:
 
     clear = F.lit("00000000")
     rgba = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i.cast("long")), clear))
-    whole = pixels.join(colours, [*palette, "version"], "left").withColumn("runs", decode_pgs("o.rle")).withColumn("palette", rgba)
+    whole = matched(pixels, colours, [*palette, "version"], "left").withColumn("runs", decode_pgs("o.rle")).withColumn("palette", rgba)
     whole = whole.withColumn("rows", pixel_rows(F.col("runs"), F.col("palette"), "00000000"))
     # rows end with what their runs cover; the object's size counts
     rows = F.transform(F.slice("rows", F.lit(1), F.col("o.height").cast("int")), lambda r: F.rpad(r, F.col("o.width").cast("int") * 8, "0"))
@@ -175,11 +201,9 @@ def pgs_subtitles(compositions: DataFrame) -> DataFrame:
     w = Window.partitionBy("file_id").orderBy("seg_no")
     shows = F.col("n_objects") > 0
     anew = F.col("state").isin(0x40, 0x80) | (F.col("object_id") != F.lag("object_id").over(w)) | ~F.coalesce(F.lag("n_objects").over(w) > 0, F.lit(False))
-    df = compositions.withColumn("begins", shows & F.coalesce(anew, F.lit(True)))
+    df = compositions.withColumns({"begins": shows & F.coalesce(anew, F.lit(True)), "last_ms": F.max("pts_ms").over(Window.partitionBy("file_id"))})
     borders = df.filter(F.col("begins") | ~shows).withColumn("end_ms", F.lead("pts_ms").over(w)).filter("begins")
-    last = compositions.groupBy("file_id").agg(F.max("pts_ms").alias("last_ms"))
-    out = borders.join(last, "file_id")
-    return out.select("file_id", F.row_number().over(w).alias("sub_no"), F.col("pts_ms").alias("start_ms"), F.coalesce("end_ms", "last_ms").alias("end_ms"))
+    return borders.select("file_id", F.row_number().over(w).alias("sub_no"), F.col("pts_ms").alias("start_ms"), F.coalesce("end_ms", "last_ms").alias("end_ms"))
 
 
 def on_line(old_first: int, old_last: int, new_first: int, new_last: int):
@@ -190,31 +214,53 @@ def on_line(old_first: int, old_last: int, new_first: int, new_last: int):
     return lambda ms: (F.lit(float(new_first)) + (ms - old_first) * F.lit(ratio)).cast("long")
 
 
+def _moved_stamps(segment, change) -> Column:
+    """Patches (offset, bytes) of both stamps of a segment with pos, pts and dts; the field has the last 32 bits."""
+    new = (lambda c: c + change * 90) if isinstance(change, int) else (lambda c: change(ticks_to_ms(c)) * 90)
+    moved = lambda c: F.unhex(F.substring(F.lpad(F.hex(F.greatest(new(c), F.lit(0))), 16, "0"), 9, 8))
+    return F.array(*[F.struct((segment["pos"] + at).alias("offset"), moved(segment[c]).alias("bytes")) for c, at in (("pts", 2), ("dts", 6))])
+
+
 def pgs_changes(segments: DataFrame, change) -> DataFrame:
     """file_id, offset, bytes: patches that change both stamps of every segment, not below zero. change: ms to add, or
     a function of the old time in ms such as on_line()."""
-    new = (lambda c: F.col(c) + change * 90) if isinstance(change, int) else (lambda c: change(ticks_to_ms(F.col(c))) * 90)
-    moved = lambda c: F.unhex(F.lpad(F.hex(F.greatest(new(c), F.lit(0))), 8, "0"))
-    each = F.explode(F.array(F.struct((F.col("pos") + 2).alias("offset"), moved("pts").alias("bytes")), F.struct((F.col("pos") + 6).alias("offset"), moved("dts").alias("bytes"))))
-    return segments.select("file_id", each.alias("c")).select("file_id", "c.offset", "c.bytes")
+    return segments.select("file_id", F.explode(_moved_stamps(segments, change)).alias("c")).select("file_id", "c.offset", "c.bytes")
+
+
+@F.udf(_list(pos=T.LongType(), pts=T.LongType(), dts=T.LongType()), useArrow=True)
+def _stamps_of(content, about_ms):
+    """The stamps of a file's segments, as pgs_segments() has them."""
+    return list(_walk(bytes(content or b""), about_ms))
+
+
+def pgs_retimed(files: DataFrame, change) -> DataFrame:
+    """file_id, content, about_ms of files (as for pgs_segments) with all stamps changed, as pgs_changes() and apply_changes() would; change as
+    in pgs_changes. A file's patches are made from its own row, so nothing is shuffled."""
+    about = (F.col("about_ms") if "about_ms" in files.columns else F.lit(None)).cast("long")
+    stamps = files.select(F.col("file_id").cast("long"), "content", about.alias("about_ms")).withColumn("s", _stamps_of("content", "about_ms"))
+    each = stamps.select("file_id", "content", F.flatten(F.transform("s", lambda x: _moved_stamps(x, change))).alias("c"), "about_ms")
+    later = F.greatest(F.col("about_ms") + change if isinstance(change, int) else change(F.col("about_ms")), F.lit(0)).cast("long")
+    moved = each.withColumn("about_ms", F.when(F.col("about_ms").isNotNull(), later))
+    return moved.mapInArrow(_patched, "file_id long, content binary, about_ms long")
+
+
+def _patched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """file_id, content and c, its patches, and further columns: without c, the content with the patches."""
+    for batch in batches:
+        out = []
+        for content, changed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            data = bytearray(content or b"")
+            for c in changed or []:
+                data[c["offset"] : c["offset"] + len(c["bytes"])] = c["bytes"]
+            out.append(bytes(data))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), *batch.columns[3:]], names=["file_id", "content", *batch.schema.names[3:]])
 
 
 def apply_changes(files: DataFrame, changes: DataFrame) -> DataFrame:
     """file_id, content with its patches; bytes between patches are cut once, so time is linear."""
     ends = changes.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("offset", "bytes"))).alias("c"))
-
-    def patch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for content, changed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data = bytearray(content or b"")
-                for c in changed or []:
-                    data[c["offset"] : c["offset"] + len(c["bytes"])] = c["bytes"]
-                out.append(bytes(data))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["file_id", "content"])
-
-    both = files.select(F.col("file_id").cast("long"), "content").join(ends, "file_id", "left")
-    return both.mapInArrow(patch, "file_id long, content binary")
+    both = matched(files.select(F.col("file_id").cast("long"), "content"), ends, ["file_id"], "left")
+    return both.mapInArrow(_patched, "file_id long, content binary")
 
 
 # program streams
@@ -499,7 +545,7 @@ def _listed(tables: DataFrame, key: list[str], entries: DataFrame) -> DataFrame:
     known = tables.distinct().withColumn("run", F.sum(F.when(anew, 1).otherwise(0)).over(w))
     starts = known.groupBy(*key, "run").agg(F.min("pkt_no").alias("start"))
     starts = starts.withColumn("end", F.lead("start").over(Window.partitionBy(*key).orderBy("run")))
-    mine = entries.join(known, [*key, "pkt_no"]).groupBy(*key, "run", "pid").agg(F.min("pkt_no").alias("pkt_no")).join(starts, [*key, "run"])
+    mine = matched(matched(entries, known, [*key, "pkt_no"]).groupBy(*key, "run", "pid").agg(F.min("pkt_no").alias("pkt_no")), starts, [*key, "run"])
     changes = F.array(F.struct("pkt_no", F.lit(1).alias("change")), F.struct(F.col("end").alias("pkt_no"), F.lit(-1).alias("change")))
     return mine.select("file_id", "pid", F.inline(changes)).filter("pkt_no IS NOT NULL")
 

@@ -117,7 +117,8 @@ add(
 
 
 def _hex(v: Column, n: int) -> Column:
-    return F.lpad(F.hex(v.cast("long")), n, "0")
+    """The last n digits, as a field of that size holds them."""
+    return F.substring(F.lpad(F.hex(v.cast("long")), 16, "0"), 17 - n, n)
 
 
 def _pgs_files(s: SparkSession, d: str) -> DataFrame:
@@ -131,7 +132,7 @@ def _pgs_files(s: SparkSession, d: str) -> DataFrame:
         seg("16", t, pcs("80", 0)), seg("17", t, "010000100020000400" + "02"), seg("14", t, "0000" + "01108080FF" + "03EB8080FF"), seg("15", t, ods), seg("80", t, ""), seg("16", t + 1000, pcs("00", None)), seg("80", t + 1000, ""),
         seg("16", t + 1500, pcs("00", 1)), seg("80", t + 1500, ""), seg("16", t + 1800, pcs("00", 2)), seg("16", t + 1900, pcs("00", 2)), seg("16", t + 2500, pcs("40", None)),
     ]
-    return table(s, d, "customer").select(F.col("c_custkey").alias("file_id"), F.unhex(F.concat(*parts)).alias("content"))
+    return table(s, d, "customer").select(F.col("c_custkey").alias("file_id"), F.unhex(F.concat(*parts)).alias("content"), timecode.whole_hours(t).alias("about_ms"))
 
 
 add(
@@ -158,7 +159,7 @@ add("pgs_images", _pgs_images, f"SELECT c_custkey AS file_id, 1::BIGINT AS objec
 
 def _pgs_retimed(s: SparkSession, d: str) -> DataFrame:
     files = _pgs_files(s, d)
-    moved = bs.apply_changes(files, bs.pgs_changes(bs.pgs_segments(files), -300))
+    moved = bs.pgs_retimed(files, -300)
     return bs.pgs_subtitles(bs.pgs_compositions(bs.pgs_segments(moved)))
 
 
@@ -181,7 +182,7 @@ def _pgs_two_epochs(s: SparkSession, d: str) -> DataFrame:
         seg("16", 900, pcs("80", two[0])), seg("15", 900, ods(1, 1, "020000")), seg("80", 900, ""),
         seg("16", 1200, pcs("00", two[1])), seg("80", 1200, ""),
     ]
-    files = table(s, d, "customer").select(F.col("c_custkey").alias("file_id"), F.unhex(F.concat(*parts)).alias("content"))
+    files = table(s, d, "customer").select(F.col("c_custkey").alias("file_id"), F.unhex(F.concat(*parts)).alias("content"), timecode.whole_hours(F.col("c_custkey") * 100).alias("about_ms"))
     out = bs.pgs_pictures(bs.pgs_segments(files))
     return out.select("file_id", "seg_no", "object_no", "pts_ms", "x", "y", "width", "height", F.array_join("rows", "/").alias("rows"), F.array_join(sinks.premultiplied(F.col("rows")), "/").alias("premultiplied"))
 
@@ -196,7 +197,7 @@ add(
 
 def _pgs_synced(s: SparkSession, d: str) -> DataFrame:
     files = _pgs_files(s, d)
-    moved = bs.apply_changes(files, bs.pgs_changes(bs.pgs_segments(files), bs.on_line(0, 1000, 500, 2500)))
+    moved = bs.pgs_retimed(files, bs.on_line(0, 1000, 500, 2500))
     return bs.pgs_subtitles(bs.pgs_compositions(bs.pgs_segments(moved)))
 
 
@@ -274,7 +275,7 @@ def _dvb(s: SparkSession, d: str) -> DataFrame:
     packets = bs.ts_packets(_ts_files(s, d))
     sections = bs.psi_sections(packets.filter("pid <= 256"))
     streams = bs.pmt_streams(sections)
-    mine = packets.join(streams.select("file_id", "pid").distinct(), ["file_id", "pid"], "left_semi")
+    mine = bs.matched(packets, streams.select("file_id", "pid").distinct(), ["file_id", "pid"], "left_semi")
     return bs.dvb_segments(bs.pes_units(mine))
 
 
@@ -524,7 +525,7 @@ def _in_sql(sql: str, **frames: Callable[[SparkSession, str], DataFrame]) -> Cal
     return run
 
 
-add("sql_pgs_segments", _in_sql("SELECT file_id, s.type, count(*) AS n, min(s.pts) AS first_pts, sum(length(s.body)) AS size FROM {files} f, LATERAL pgs_segments(f.content) s GROUP BY file_id, s.type", files=_pgs_files), ORACLES["pgs_segments"])
+add("sql_pgs_segments", _in_sql("SELECT file_id, s.type, count(*) AS n, min(s.pts) AS first_pts, sum(length(s.body)) AS size FROM {files} f, LATERAL pgs_segments(f.content, f.about_ms) s GROUP BY file_id, s.type", files=_pgs_files), ORACLES["pgs_segments"])
 add("sql_vob_packets", _in_sql("SELECT file_id, p.kind, count(*) AS n, min(p.pos) AS first_pos FROM {files} f, LATERAL vob_packets(f.content) p GROUP BY file_id, p.kind", files=_vob_files), ORACLES["vob_packets"])
 add(
     "sql_ts_packets",

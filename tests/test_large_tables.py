@@ -1,6 +1,7 @@
 """Queries on keys as large tables have them, and what their plans send through the driver."""
 
 import os
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cueloom.functions import timecode
+from cueloom.operators import binary_streams as bs
 from cueloom.plans import file_queries, text_queries
 from tests.comparing import TABLES, same_rows
 
@@ -29,7 +31,7 @@ def large_dir(tmp_path_factory, sf_dir):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["ms_to_pes_bytes", "ms_to_u32_bytes"])
+@pytest.mark.parametrize("name", ["byte_patch", "ms_to_pes_bytes", "ms_to_u32_bytes"])
 def test_large_keys(spark, large_dir, name):
     same_rows(QUERIES[name](spark, large_dir), ORACLES[name], large_dir)
 
@@ -41,3 +43,15 @@ def test_stamps_begin_anew(spark):
     ).first()
     assert row.u32 == "10C388D00"
     assert [row[f"t{i}"] for i in range(4)] == [(1 << 32) + 5, 0xFFFFFFFF, 0xFFFFFFFF, (3 << 32) + 7]
+    stamp = lambda t: b"PG" + (t & 0xFFFFFFFF).to_bytes(4, "big") + bytes(4) + b"\x80\0\0"
+    times = [(1 << 32) - 90, (1 << 32) + 90, 5 << 30, 7 << 30, (1 << 33) + 1]
+    files = spark.createDataFrame([(1, b"".join(map(stamp, times)), 40_000_000), (2, stamp(9), None)], "file_id long, content binary, about_ms long")
+    assert [r.pts for r in bs.pgs_segments(files).orderBy("file_id", "seg_no").collect()] == [*times, 9]
+    assert [r.pts for r in bs.pgs_segments(bs.pgs_retimed(files, 1)).orderBy("file_id", "seg_no").collect()] == [*[t + 90 for t in times], 99]
+
+
+@pytest.mark.parametrize("name,broadcasts", [("byte_patch", 0), ("vob_retime", 0), ("dvb_display_sets", 0), ("pid_classify", 0)])
+def test_no_relation_of_a_stream_goes_through_the_driver(spark, sf_dir, name, broadcasts):
+    """Default colours of DVB alone do, a fixed table."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"BroadcastExchange", plan)) == broadcasts
