@@ -31,7 +31,7 @@ def large_dir(tmp_path_factory, sf_dir):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["byte_patch", "ms_to_pes_bytes", "ms_to_u32_bytes", "pgs_boundaries", "pgs_pictures", "pgs_segments", "pgs_sync"])
+@pytest.mark.parametrize("name", ["byte_patch", "ms_to_pes_bytes", "ms_to_u32_bytes", "pgs_boundaries", "pgs_pictures", "pgs_segments", "pgs_sync", "sql_pgs_segments"])
 def test_large_keys(spark, large_dir, name):
     same_rows(QUERIES[name](spark, large_dir), ORACLES[name], large_dir)
 
