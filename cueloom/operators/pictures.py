@@ -64,7 +64,8 @@ def placed_objects(segments: DataFrame, spans: DataFrame) -> DataFrame:
     places = bs.dvb_region_places(segments).withColumnsRenamed({"x": "region_x", "y": "region_y", "i": "region_order"}).drop("seg_no")
     regions = _latest(bs.dvb_regions(segments), [*bs.KEY, "region_id"]).select(*bs.KEY, "region_id", "depth", "clut_id")
     objects = bs.dvb_object_places(segments).withColumnsRenamed({"x": "object_x", "y": "object_y", "seg_no": "region_seg", "i": "object_order"})
-    shown = places.join(regions, [*bs.KEY, "region_id"]).join(objects, [*bs.KEY, "region_id"]).join(object_sizes(spans), [*bs.KEY, "object_id"])
+    shown = bs.matched(bs.matched(places, regions, [*bs.KEY, "region_id"]), objects, [*bs.KEY, "region_id"])
+    shown = bs.matched(shown, object_sizes(spans), [*bs.KEY, "object_id"])
     return shown.select(
         *bs.KEY, "object_id", "depth", "clut_id", (F.col("region_x") + F.col("object_x")).alias("left"), (F.col("region_y") + F.col("object_y")).alias("top"), "width", "height",
         F.struct("region_order", "region_seg", "object_order").alias("paint"),
@@ -118,14 +119,13 @@ def page_spans(segments: DataFrame) -> DataFrame:
     for own, order in ORDER.items():
         first = F.coalesce(*[F.when(F.array_contains(known, n), F.lit(n)) for n in order], F.lit(own))
         table = F.when(F.col("own_bits") == own, first).otherwise(table)
-    # A short table: the places of objects, not their pixels.
-    placed = placed.join(have, [*bs.KEY, "clut_id"], "left").withColumn("own_bits", depth.cast("int")).withColumn("bits", table).drop("have")
+    placed = bs.matched(placed, have, [*bs.KEY, "clut_id"], "left").withColumn("own_bits", depth.cast("int")).withColumn("bits", table).drop("have")
     boxes = bounding_boxes(placed).select(*bs.KEY, F.struct("left", "top", "width", "height").alias("box"))
-    placed = placed.join(boxes, bs.KEY).withColumn("dx", F.col("left") - F.col("box.left")).withColumn("dy", F.col("top") - F.col("box.top"))
+    placed = bs.matched(placed, boxes, bs.KEY).withColumn("dx", F.col("left") - F.col("box.left")).withColumn("dy", F.col("top") - F.col("box.top"))
     # An object covers its whole rectangle, so what its lines leave open is transparent.
     blank = placed.select(*bs.KEY, "paint", F.lit(0).alias("layer"), F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y0"), "dx", "dy", "width", "box")
     blank = blank.select(*bs.KEY, "box", "paint", "layer", (F.col("y0") + F.col("dy")).alias("y"), F.col("dx").alias("x"), F.col("width").alias("length"), F.lit(0).cast("long").alias("rgba"))
-    runs = spans.join(placed.drop("width", "height"), [*bs.KEY, "object_id"])
+    runs = bs.matched(spans, placed.drop("width", "height"), [*bs.KEY, "object_id"])
     own = F.col("color").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("own_bits")) - 1)
     entry = own
     for a in (2, 4, 8):
@@ -133,7 +133,7 @@ def page_spans(segments: DataFrame) -> DataFrame:
             if a != b:
                 entry = F.when((F.col("own_bits") == a) & (F.col("bits") == b), color.map_depth(own, a, b)).otherwise(entry)
     runs = runs.withColumn("entry", entry.cast("int")).withColumn("open", (F.col("non_modifying") == 1) & (own == 1))
-    runs = runs.join(customs, [*bs.KEY, "clut_id", "bits", "entry"], "left").join(F.broadcast(_default_colors(segments.sparkSession)), ["bits", "entry"], "left")
+    runs = bs.matched(runs, customs, [*bs.KEY, "clut_id", "bits", "entry"], "left").join(F.broadcast(_default_colors(segments.sparkSession)), ["bits", "entry"], "left")
     value = F.when(F.col("open"), F.lit(0)).otherwise(F.coalesce("rgba", "default_rgba")).cast("long")
     runs = runs.select(*bs.KEY, "box", "paint", F.lit(1).alias("layer"), (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "length", value.alias("rgba"))
     return blank.unionByName(runs)
