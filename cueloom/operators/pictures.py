@@ -189,7 +189,7 @@ def sub_picture_spans(pictures: DataFrame) -> DataFrame:
 def sub_picture_images(spans: DataFrame, palette: DataFrame) -> DataFrame:
     """pixels (RGBA) of every unit; palette: file_id, color, rgb (long) of the index file, 16 rows a file."""
     key = ["file_id", "substream", "spu_no", "x0", "y0", "width", "height"]
-    colored = spans.join(palette, ["file_id", "color"], "left").withColumn("rgba", F.coalesce("rgb", F.lit(0)).cast("long") * 256 + F.col("alpha"))
+    colored = bs.matched(spans, palette, ["file_id", "color"], "left").withColumn("rgba", F.coalesce("rgb", F.lit(0)).cast("long") * 256 + F.col("alpha"))
     whole = colored.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("y", "x", "length", "rgba"))).alias("spans"))
     return whole.select(*key, painted("width", "height", "spans").alias("pixels"))
 

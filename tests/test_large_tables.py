@@ -50,7 +50,7 @@ def test_stamps_begin_anew(spark):
     assert [r.pts for r in bs.pgs_segments(bs.pgs_retimed(files, 1)).orderBy("file_id", "seg_no").collect()] == [*[t + 90 for t in times], 99]
 
 
-@pytest.mark.parametrize("name,broadcasts", [("byte_patch", 0), ("dvb_compositions", 1), ("pgs_pictures", 0), ("pgs_sync", 0), ("vob_retime", 0), ("dvb_display_sets", 0), ("pid_classify", 0)])
+@pytest.mark.parametrize("name,broadcasts", [("byte_patch", 0), ("dvb_compositions", 1), ("pgs_pictures", 0), ("pgs_sync", 0), ("vob_images", 0), ("vob_retime", 0), ("dvb_display_sets", 0), ("pid_classify", 0)])
 def test_no_relation_of_a_stream_goes_through_the_driver(spark, sf_dir, name, broadcasts):
     """Default colours of DVB alone do, a fixed table."""
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
