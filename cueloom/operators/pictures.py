@@ -164,22 +164,34 @@ def compositions(segments: DataFrame) -> DataFrame:
 # sub-pictures of program streams
 
 
-def sub_picture_spans(pictures: DataFrame) -> DataFrame:
-    """Pictures of units (file_id, substream, spu_no, control_at, data): their key, x0, y0, width, height and spans.
+def with_commands(pictures: DataFrame) -> DataFrame:
+    """pictures with the commands of their units; those that have them stay as they are."""
+    return pictures if "commands" in pictures.columns else pictures.withColumn("commands", bs.control_commands("data", F.col("control_at").cast("int")))
+
+
+def sub_picture_fields(pictures: DataFrame) -> DataFrame:
+    """with_commands() of units that show something, one row a unit, with x0, y0, width, height, map, contrast, and even and odd, the spans of the two fields.
 
-    Lines of the first field are the even ones. A span's color is one of the index file's palette, alpha is 0 to 255.
     The last command of a kind counts.
     """
-    key = ["file_id", "substream", "spu_no"]
-    with_commands = pictures.withColumn("commands", bs.control_commands("data", F.col("control_at").cast("int")))
     args = lambda kind: F.element_at(F.filter("commands", lambda c: c["command"] == kind), -1)["args"]
-    df = with_commands.select(*key, "data", "control_at", args(3).alias("map"), args(4).alias("contrast"), args(5).alias("area"), args(6).alias("fields")).filter("area IS NOT NULL AND fields IS NOT NULL")
+    df = with_commands(pictures).withColumns({"map": args(3), "contrast": args(4), "area": args(5), "fields": args(6)}).filter("area IS NOT NULL AND fields IS NOT NULL")
     a = u(F.col("area"), 0, 6)
     x0, x1, y0, y1 = (bits(a, s, 12) for s in (36, 24, 12, 0))
     df = df.withColumns({"x0": x0, "y0": y0, "width": (x1 - x0 + 1).cast("int"), "height": (y1 - y0 + 1).cast("int")}).filter("width > 0 AND height > 0")
     at = lambda n: u(F.col("fields"), n, 2).cast("int")
     field = lambda n: vob_spans(F.substring("data", at(n) + 1, F.length("data")), F.col("width"))
-    both = F.explode(F.array(F.struct(F.lit(0).alias("odd"), field(0).alias("s")), F.struct(F.lit(1).alias("odd"), field(2).alias("s"))))
+    return df.withColumns({"even": field(0), "odd": field(2)}).drop("area", "fields")
+
+
+def sub_picture_spans(pictures: DataFrame) -> DataFrame:
+    """Pictures of units (file_id, substream, spu_no, control_at, data): their key, x0, y0, width, height and spans.
+
+    Lines of the first field are the even ones. A span's color is one of the index file's palette, alpha is 0 to 255.
+    """
+    key = ["file_id", "substream", "spu_no"]
+    df = sub_picture_fields(pictures)
+    both = F.explode(F.array(F.struct(F.lit(0).alias("odd"), F.col("even").alias("s")), F.struct(F.lit(1).alias("odd"), F.col("odd").alias("s"))))
     each = df.select(*key, "x0", "y0", "width", "height", "map", "contrast", both.alias("f")).select("*", F.explode("f.s").alias("s"))
     each = each.withColumn("y", F.col("s.line") * 2 + F.col("f.odd")).filter("y < height")
     nibble = lambda c: F.call_function("shiftright", F.conv(F.hex(c), 16, 10).cast("int"), F.col("s.color") * 4).bitwiseAND(15)
@@ -194,17 +206,22 @@ def sub_picture_images(spans: DataFrame, palette: DataFrame) -> DataFrame:
     return whole.select(*key, painted("width", "height", "spans").alias("pixels"))
 
 
-def sub_picture_times(pictures: DataFrame) -> DataFrame:
-    """start_ms, end_ms of units: delays of the commands that start and stop the display, in steps of 1024 ticks.
+def with_times(pictures: DataFrame) -> DataFrame:
+    """with_commands() with start_ms and end_ms: delays of the commands that start and stop the display, in steps of 1024 ticks.
 
     Without an end after the start a picture stays for five seconds.
     """
-    df = pictures.withColumn("commands", bs.control_commands("data", F.col("control_at").cast("int")))
+    df = with_commands(pictures)
     delay = lambda *kinds: F.array_min(F.transform(F.filter("commands", lambda c: c["command"].isin(*kinds)), lambda c: c["delay"]))
     ms = lambda d: F.floor((d * 1024 + 45) / 90).cast("long")
     out = df.withColumn("start_ms", F.col("pts_ms") + F.coalesce(ms(delay(0, 1)), F.lit(0))).withColumn("e", F.col("pts_ms") + ms(delay(2)))
     end = F.when(F.col("e") > F.col("start_ms"), F.col("e")).otherwise(F.col("start_ms") + 5000)
-    return out.select("file_id", "substream", "spu_no", "start_ms", end.alias("end_ms"))
+    return out.withColumn("end_ms", end).drop("e")
+
+
+def sub_picture_times(pictures: DataFrame) -> DataFrame:
+    """file_id, substream, spu_no, start_ms, end_ms of units, as with_times() has them."""
+    return with_times(pictures).select("file_id", "substream", "spu_no", "start_ms", "end_ms")
 
 
 def numbered(df: DataFrame) -> DataFrame:

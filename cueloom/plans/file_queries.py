@@ -384,10 +384,9 @@ _CHANGED = "0034 0008 11 600030 0000 0027 033210 04FFF0 07 0004 0FFFFFFF 0501001
 
 
 def _colour_changes(s: SparkSession, d: str) -> DataFrame:
-    units = _sub_pictures(s, d, _CHANGED)
-    commands = units.select("file_id", F.array_join(F.transform(bs.control_commands("data", F.col("control_at").cast("int")), lambda c: F.concat(c["command"].cast("string"), F.lit(":"), F.hex(c["args"]))), " ").alias("commands"))
-    area = pictures.sub_picture_spans(units).groupBy("file_id").agg(F.max("width").alias("width"), F.max("height").alias("height"))
-    return pictures.sub_picture_times(units).select("file_id", "start_ms", "end_ms").join(commands, "file_id").join(area, "file_id")
+    units = pictures.sub_picture_fields(pictures.with_times(_sub_pictures(s, d, _CHANGED))).filter(F.size("even") + F.size("odd") > 0)
+    commands = F.array_join(F.transform("commands", lambda c: F.concat(c["command"].cast("string"), F.lit(":"), F.hex(c["args"]))), " ")
+    return units.select("file_id", "start_ms", "end_ms", commands.alias("commands"), "width", "height")
 
 
 add("vob_colour_changes", _colour_changes, "SELECT p_partkey AS file_id, p_partkey * 40 AS start_ms, p_partkey * 40 + 1001 AS end_ms, '3:3210 4:FFF0 7:00040FFFFFFF 5:010013020021 6:00040005 1: 7:0002FFFF 2:' AS commands, 4 AS width, 2 AS height FROM part")

@@ -31,7 +31,7 @@ def large_dir(tmp_path_factory, sf_dir):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["byte_patch", "ms_to_pes_bytes", "ms_to_u32_bytes", "pgs_boundaries", "pgs_pictures", "pgs_segments", "pgs_sync", "sql_pgs_segments"])
+@pytest.mark.parametrize("name", ["byte_patch", "pgs_pictures", "pgs_sync", "ms_to_pes_bytes", "ms_to_u32_bytes", "pgs_boundaries", "pgs_segments", "sql_pgs_segments"])
 def test_large_keys(spark, large_dir, name):
     same_rows(QUERIES[name](spark, large_dir), ORACLES[name], large_dir)
 
@@ -50,8 +50,13 @@ def test_stamps_begin_anew(spark):
     assert [r.pts for r in bs.pgs_segments(bs.pgs_retimed(files, 1)).orderBy("file_id", "seg_no").collect()] == [*[t + 90 for t in times], 99]
 
 
-@pytest.mark.parametrize("name,broadcasts", [("byte_patch", 0), ("dvb_compositions", 1), ("pgs_pictures", 0), ("pgs_sync", 0), ("vob_images", 0), ("vob_retime", 0), ("dvb_display_sets", 0), ("pid_classify", 0)])
+@pytest.mark.parametrize("name,broadcasts", [("byte_patch", 0), ("dvb_compositions", 1), ("pgs_pictures", 0), ("pgs_sync", 0), ("vob_images", 0), ("vob_retime", 0), ("vob_colour_changes", 0), ("dvb_display_sets", 0), ("pid_classify", 0)])
 def test_no_relation_of_a_stream_goes_through_the_driver(spark, sf_dir, name, broadcasts):
     """Default colours of DVB alone do, a fixed table."""
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"BroadcastExchange", plan)) == broadcasts
+
+
+def test_colour_changes_decode_each_unit_once(spark, sf_dir):
+    plan = QUERIES["vob_colour_changes"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
