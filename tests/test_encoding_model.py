@@ -160,3 +160,10 @@ def test_bytes_a_second():
         began = time.process_time()
         encoding.detect_bytes(data)
         assert len(data) / 1e6 / (time.process_time() - began) > 10
+
+
+def test_letters_that_stand_alone_are_latin():
+    # the last words of a document that repeats each of its words
+    data = ("Le Le Le Le eux eux eux eux aiquement aiquement du. du. " + "Ê " * 8 + "Ê").encode("cp1252")
+    assert encoding.detect_bytes(data)[0] == "cp1252" and encoding.detect_bytes(data, encoding.hinted(None, "de"))[0] == "cp1252"
+    assert encoding.detect_bytes(("plain text " * 50 + "Съешь ещё").encode("cp1251"))[0] == "cp1251"
