@@ -1,6 +1,7 @@
 import collections
 import pickle
 import random
+import re
 import time
 import zlib
 
@@ -167,3 +168,17 @@ def test_letters_that_stand_alone_are_latin():
     data = ("Le Le Le Le eux eux eux eux aiquement aiquement du. du. " + "Ê " * 8 + "Ê").encode("cp1252")
     assert encoding.detect_bytes(data)[0] == "cp1252" and encoding.detect_bytes(data, encoding.hinted(None, "de"))[0] == "cp1252"
     assert encoding.detect_bytes(("plain text " * 50 + "Съешь ещё").encode("cp1251"))[0] == "cp1251"
+
+
+def test_runs_of_seven_bits_are_counted_in_one_pass_as_one_by_one():
+    rng = random.Random(7)
+    parts = [b"\x1b$B", b"\x1b(B", b"\x1b$(D", b"3$", b"3", b"\n", b" ", b"\x0e", b"\x0f", b"\x1b$)C", b"~{", b"~}", b"~", b"VP"]
+    good = [re.compile(rb"(?!)")] * 3
+    for _ in range(3000):
+        data = b"".join(rng.choice(parts) for _ in range(rng.randrange(1, 9)))
+        fast = sequences.iso2022_jp(data), sequences.iso2022_kr(data), sequences.hz(data)
+        kept = sequences._JP_GOOD, sequences._KR_GOOD, sequences._HZ_GOOD
+        sequences._JP_GOOD, sequences._KR_GOOD, sequences._HZ_GOOD = good
+        slow = sequences.iso2022_jp(data), sequences.iso2022_kr(data), sequences.hz(data)
+        sequences._JP_GOOD, sequences._KR_GOOD, sequences._HZ_GOOD = kept
+        assert fast == slow, data
