@@ -60,3 +60,8 @@ def test_no_relation_of_a_stream_goes_through_the_driver(spark, sf_dir, name, br
 def test_colour_changes_decode_each_unit_once(spark, sf_dir):
     plan = QUERIES["vob_colour_changes"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_documents_in_all_encodings_are_dealt_out(spark, sf_dir):
+    written = file_queries._written(spark, sf_dir)
+    assert written.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
