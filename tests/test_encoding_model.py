@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cueloom.functions import bytepairs, encoding, sequences
 
@@ -182,3 +183,9 @@ def test_runs_of_seven_bits_are_counted_in_one_pass_as_one_by_one():
         slow = sequences.iso2022_jp(data), sequences.iso2022_kr(data), sequences.hz(data)
         sequences._JP_GOOD, sequences._KR_GOOD, sequences._HZ_GOOD = kept
         assert fast == slow, data
+
+
+def test_a_letter_that_stands_alone_is_transcoded(spark):
+    text = "eux eux eux eux du. du. du. du. Ê Ê Ê Ê Ê Ê Ê Ê Ê"
+    frame = spark.createDataFrame([(text.encode("iso8859-1"),)], "content binary")
+    assert bytes(frame.select(encoding.to_utf8(F.col("content")).alias("t")).first().t).decode() == text
