@@ -58,7 +58,9 @@ WORD_GRAM = 3
 WORD_WINDOW = 27
 WORD_TAIL = 25
 #: Region bytes sorted at once.
-BLOCK = 1_000_000
+BLOCK = 400_000
+#: Rows that a task makes before it hands them on, and regions cut at once.
+ROWS, CUT = 60_000, 700
 
 _rng = np.random.default_rng(20_24)
 _TABLES = [_rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
@@ -149,7 +151,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(anchor)
             parts.append([np.full(n, k1.as_py()), np.full(n, k2.as_py()), _pack(anchor, first, last), bucket.view(np.int64), e1.view(np.int64), e2.view(np.int64)])
             size += n
-            if size > 200_000:
+            if size > ROWS:
                 yield _batch(parts, ANCHORS)
                 parts, size = [], 0
         if parts:
@@ -178,7 +180,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(at)
             parts.append([np.full(n, k1.as_py()), np.full(n, k2.as_py()), words.of(at, at + WORD_TAIL).view(np.int64), at])
             size += n
-            if size > 200_000:
+            if size > ROWS:
                 yield _batch(parts, PASSAGES)
                 parts, size = [], 0
         if parts:
@@ -315,9 +317,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     share, with their distance to the anchor, and the bytes on the left and right that they do not."""
     for batch in batches:
         columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-        for a in range(0, batch.num_rows, 2000):
-            packed = columns["packed"].slice(a, 2000).to_numpy()
-            data, region, place, distance = _suffixes(columns["content"].slice(a, 2000).to_pylist(), packed)
+        for a in range(0, batch.num_rows, CUT):
+            packed = columns["packed"].slice(a, CUT).to_numpy()
+            data, region, place, distance = _suffixes(columns["content"].slice(a, CUT).to_pylist(), packed)
             # a piece ends where the distance to the anchor is a multiple of PIECE, or with its region
             begin = np.flatnonzero(np.append(True, (region[1:] != region[:-1]) | (distance[1:] % PIECE == PIECE - 1)))
             end = np.append(begin[1:], len(region)) - 1
@@ -327,7 +329,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             outer = inner - (PIECE - 1) + LENGTH
             shape = aligned.astype(np.uint64) * np.uint64(9)
             names = [_mix(Hashes(data, k).of(inner, outer) + shape).view(np.int64) for k in range(2)]
-            of = lambda name: columns[name].slice(a, 2000).to_numpy()[r]  # noqa: B023, E731
+            of = lambda name: columns[name].slice(a, CUT).to_numpy()[r]  # noqa: B023, E731
             longs = [*names, of("k1"), of("k2"), (packed >> 20)[r] - distance[begin], of("n")]
             raw = data.tobytes()
             left = [raw[x:y] for x, y in zip(first.tolist(), inner.tolist(), strict=True)]
