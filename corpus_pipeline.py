@@ -40,8 +40,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keep = [c for c in ("doc_id", "lang", "source", "text") if c in docs.columns]
-    # executors have run four stages before, so a smaller block
-    return pieces.encode(docs.select(*keep), block=600_000)
+    # executors have run four stages before, so a smaller block and memory
+    return pieces.encode(docs.select(*keep), block=300_000, memory=60_000)
 
 
 STAGES = [

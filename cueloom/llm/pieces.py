@@ -52,8 +52,8 @@ def _mixed(codes: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, table: PieceTable):
-        self.table = table
+    def __init__(self, table: PieceTable, most: int = MEMORY):
+        self.table, self.most = table, most
         ok = [i for i, r in enumerate(table.ranks) if r]
         assert all(SPACE_MARK not in table.pieces[i][1:] or not table.pieces[i].strip(SPACE_MARK) for i in ok)
         self.longest = max(len(table.pieces[i]) for i in ok)
@@ -202,7 +202,7 @@ class Encoder:
     def learn(self, parts: set[str]) -> None:
         """Encodes parts that the memory lacks."""
         new = [p for p in parts if p not in self.memory]
-        if len(self.memory) + len(new) > MEMORY:
+        if len(self.memory) + len(new) > self.most:
             self.memory = {}
             new = list(parts)
         new.sort(key=len)
@@ -244,15 +244,15 @@ class Encoder:
         return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
-_built: dict[int, Encoder] = {}
+_built: dict[tuple[int, int], Encoder] = {}
 
 
-def _encoder(shared) -> Encoder:
+def _encoder(shared, most: int = MEMORY) -> Encoder:
     key, table = shared.value
-    if key not in _built:
+    if (key, most) not in _built:
         _built.clear()
-        _built[key] = Encoder(table)
-    return _built[key]
+        _built[key, most] = Encoder(table, most)
+    return _built[key, most]
 
 
 def _share(df: DataFrame, path: str, table: PieceTable | None):
@@ -275,9 +275,9 @@ def _blocks(column: pa.Array, most: int) -> Iterator[tuple[int, list[str | None]
         yield start, block
 
 
-def encode(docs: DataFrame, text: str = "text", path: str = PIECES, table: PieceTable | None = None, verify: bool = False, block: int = BLOCK) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", path: str = PIECES, table: PieceTable | None = None, verify: bool = False, block: int = BLOCK, memory: int = MEMORY) -> DataFrame:
     """docs without the text, with ids (array<int>) and n_pieces; verify adds round_trip, whether
-    decoding the ids gives the text. block: characters encoded at once; fewer take less memory and more time."""
+    decoding the ids gives the text. block: characters encoded at once, memory: parts that a task keeps; fewer take less memory and more time."""
     shared = _share(docs, path, table)
     new = [("ids", T.ArrayType(T.IntegerType(), False)), ("n_pieces", T.LongType())] + [("round_trip", T.BooleanType())] * verify
     names = [n for n, _ in new]
@@ -285,7 +285,7 @@ def encode(docs: DataFrame, text: str = "text", path: str = PIECES, table: Piece
     fields = [docs.schema[c] for c in rest] + [T.StructField(n, t) for n, t in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = _encoder(shared, memory)
         for batch in batches:
             for start, texts in _blocks(batch.column(len(rest)), block):
                 ids, counts = encoder.encode(texts)
