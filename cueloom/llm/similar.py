@@ -6,15 +6,18 @@ linked by pigeonring chains as in ``simhash``, and texts of one fingerprint with
 compared. Fingerprints of similar sets may differ in more bits than a chain can search, so SimHash alone
 loses links. The rest come from a prefix filter, which loses none: of sets in one total order, two that
 are so similar share one of the first n - ceil(n * OVER / UNDER) + 1 shingles of each, so texts
-with a shared prefix shingle are candidates. A shingle of one set alone changes one bit at most of the
+with a shared prefix shingle are candidates, unless it stands too far back: what comes before the first shared shingle of two sets
+is in one of them only, and all shared ones come after it, so its two places and the difference of what follows tell how
+many shingles differ at least. A shingle of one set alone changes one bit at most of the
 sets' parity sketches, so candidates whose sketches differ in more bits than their sets may go, and the sets
 of all others are compared. The order has shingles that are frequent in a sample last; it decides how many
 candidates there are, not which links.
 
-Equal sets are collapsed first. Of the texts that share a prefix shingle, each is first compared with the least
-of them; only pairs that all these links do not connect are compared after that, so a large group of
-near copies takes linear work. Texts that share much without being
-alike stay apart, so every pair of them is a candidate: that is the quadratic part, which sizes and sketches make cheap and not small.
+Equal sets are collapsed first. Of the texts that share a prefix shingle, each is first compared with the one that has it
+foremost: rare shingles come first, so that text has the fewest of its own, and whatever is like another copy of one text
+is like the least changed copy. Only pairs that all these links do not connect are compared after that, so a large group of
+near copies leaves few candidates. Looking for them still meets every pair of texts that share a frequent prefix shingle and are of
+more than one component, by sizes and places alone: that part is quadratic in time, not in rows.
 
 Defined results: ASCII case and the kind of spaces do not count; a text with fewer words than a shingle is one
 shingle, null texts and texts without a word are one empty shingle; a very long text has a set as any other, held by one
@@ -41,6 +44,8 @@ SHINGLE = 5
 OVER, UNDER = 4, 5
 #: Texts, about, in the sample that counts shingles, and the least count of a frequent one there.
 SAMPLE, FREQUENT = 5000, 3
+#: The sample is one in so many texts at least, since the order of rarer shingles decides how far back a shared one stands.
+ONE_IN = 8
 #: Frequent shingles in the order's table at most; any other is ordered by its hash alone.
 TABLE = 200_000
 #: Rows whose texts are compared again: their marks are broadcast up to so many (16 MB), and joined by a shuffle beyond.
@@ -92,7 +97,7 @@ def sets(rows: DataFrame) -> DataFrame:
 
 def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Ascending hashes of frequent shingles of rows (mark, text), and their counts in the sample."""
-    every = max(1, rows.count() // SAMPLE)
+    every = max(1, min(rows.count() // SAMPLE, ONE_IN))
     each = sets(rows.filter(F.pmod("mark", F.lit(every)) == 0)).select(F.explode("shingles").alias("x"))
     found = each.groupBy("x").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "x").limit(TABLE).collect()
     found = np.array(sorted((r.x, r.n) for r in found), np.int64).reshape(-1, 2)
@@ -130,12 +135,17 @@ def _near(a: str, b: str) -> Column:
     return F.lit(UNDER) * F.least(a, b) >= F.lit(OVER) * F.greatest(a, b)
 
 
+def _possible(i: Column, m: Column, j: Column, n: Column) -> Column:
+    """Whether sets of m and n shingles can be similar if their first shared one is at places i and j, from 0."""
+    return F.lit(OVER + UNDER) * (i + j + F.abs((m - i) - (n - j))) <= F.lit(UNDER - OVER) * (m + n)
+
+
 def _plausible(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Those of pairs (u, v and their sizes m, n) whose sizes and sketches allow similar sets; distinct: sig and sketch."""
+    """Those of pairs (u, v and their sizes m, n) whose sizes and sketches allow similar sets, and the bits in which their sketches differ; distinct: sig and sketch."""
     side = lambda sig, name: distinct.select(F.col("sig").alias(sig), F.col("sketch").alias(name))
     drawn = pairs.filter(_near("m", "n")).join(side("v", "b"), "v").join(side("u", "a"), "u")
     bits = F.aggregate(F.zip_with(_folded(F.col("a"), F.col("b")), _folded(F.col("b"), F.col("a")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return cut_lineage(drawn.filter((OVER + UNDER) * bits <= (UNDER - OVER) * (F.col("m") + F.col("n"))).select("u", "v"))
+    return cut_lineage(drawn.select("u", "v", "m", "n", bits.alias("bits")).filter((OVER + UNDER) * F.col("bits") <= (UNDER - OVER) * (F.col("m") + F.col("n"))).select("u", "v", "bits"))
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame) -> DataFrame:
@@ -170,32 +180,34 @@ def _by_fingerprint(distinct: DataFrame) -> DataFrame:
 
 
 def _still_apart(joined: DataFrame) -> DataFrame:
-    """u, v, m, n: pairs of sets of different components (of) that share a shingle (at). joined: at, sig, size, of."""
+    """u, v, m, n: pairs of sets of different components (of) that share a shingle (at) and can be similar by its places (pos). joined: at, sig, size, pos, of."""
     apart = joined.groupBy("at").agg(F.min("of").alias("x"), F.max("of").alias("y")).filter("x < y").select("at")
     some = joined.join(apart, "at", "left_semi")
-    a = some.select("at", F.col("sig").alias("u"), F.col("size").alias("m"), F.col("of").alias("x"))
-    b = some.select("at", F.col("sig").alias("v"), F.col("size").alias("n"), F.col("of").alias("y"))
-    return a.join(b, "at").filter((F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & _near("m", "n")).select("u", "v", "m", "n").distinct()
+    side = lambda sig, size, pos, of: some.select("at", F.col("sig").alias(sig), F.col("size").alias(size), F.col("pos").alias(pos), F.col("of").alias(of))
+    both = side("u", "m", "i", "x").join(side("v", "n", "j", "y"), "at")
+    return both.filter((F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & _possible(*map(F.col, "imjn"))).select("u", "v", "m", "n").distinct()
 
 
 def links(marked: DataFrame, rows: DataFrame) -> DataFrame:
     """u, v: links between sigs that have the same components as all links."""
     # of equal sets, whose prefixes and sketches are equal too, one row
     distinct = cut_lineage(marked.groupBy("sig").agg(F.min("mark").alias("mark"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch"), F.any_value("prefix").alias("prefix")))
-    each = distinct.select(F.explode("prefix").alias("at"), "sig", F.col("n").alias("size"))
+    each = distinct.select(F.posexplode("prefix").alias("pos", "at"), "sig", F.col("n").alias("size"))
     total = distinct.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    met = cut_lineage(each.groupBy("at").agg(F.min("sig").alias("least"), F.count("*").alias("n")).filter("n > 1"))
-    shared = cut_lineage(join_by_key(each, met, ["at"], total).select("at", "least", "sig", "size"))
-    stars = shared.filter("least < sig").select(F.col("least").alias("u"), F.col("sig").alias("v"))
+    met = cut_lineage(each.groupBy("at").agg(F.count("*").alias("n")).filter("n > 1"))
+    shared = cut_lineage(join_by_key(each, met, ["at"], total).select("at", "sig", "size", "pos"))
+    foremost = cut_lineage(shared.groupBy("at").agg(F.min(F.struct("pos", "sig", "size")).alias("c"), F.count("*").alias("n")))
+    around = join_by_key(shared, foremost, ["at"], shared.count()).filter((F.col("c.sig") != F.col("sig")) & _possible(F.col("c.pos"), F.col("c.size"), F.col("pos"), F.col("size")))
+    stars = around.select(F.col("c.sig").alias("u"), F.col("sig").alias("v"))
     size = lambda sig, n: distinct.select(F.col("sig").alias(sig), F.col("n").alias(n))
     some = _plausible(stars.union(_by_fingerprint(distinct)).distinct().join(size("v", "n"), "v").join(size("u", "m"), "u"), distinct)
-    # one pair a set first, which connects most; then those that are still apart
-    first = _verified(cut_lineage(some.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")), distinct, rows)
+    # the likeliest pair of each set first, which connects most; then those that are still apart
+    first = _verified(cut_lineage(some.groupBy("v").agg(F.min(F.struct("bits", "u")).alias("c")).select("c.u", "v")), distinct, rows)
     first = cut_lineage(first.union(_verified(cut_lineage(_apart(some, cut_lineage(components(first)))), distinct, rows)))
 
-    joined = shared.select("at", "sig", "size").join(components(first).withColumnRenamed("node", "sig"), "sig", "left").withColumn("of", F.coalesce("component", "sig"))
-    pairs = _still_apart(cut_lineage(joined.select("at", "sig", "size", "of")))
-    return first.union(_verified(_plausible(pairs, distinct), distinct, rows))
+    joined = shared.join(components(first).withColumnRenamed("node", "sig"), "sig", "left").withColumn("of", F.coalesce("component", "sig"))
+    pairs = _still_apart(cut_lineage(joined.select("at", "sig", "size", "pos", "of")))
+    return first.union(_verified(_plausible(pairs, distinct).select("u", "v"), distinct, rows))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
