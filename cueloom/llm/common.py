@@ -56,6 +56,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a few numbers, and rows with a text's hashes, in one part of a relation whose rows are few.
+NARROW, WIDE = 50_000, 500
+
+
+def packed(df: DataFrame, rows: int, each: int = NARROW) -> DataFrame:
+    """df, of so many rows about, in a part for `each` of them, but no fewer parts than cores and no more than it has.
+
+    Every shuffle deals to spark.sql.shuffle.partitions, and a task costs some kB of files and log even if it has no row. Parts are
+    put together as they are, without a shuffle; where rows are many, nothing changes.
+    """
+    return df.coalesce(max(2, df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder's path below the shared folder."""
     return f"{_shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -81,14 +94,13 @@ def join_by_key(rows: DataFrame, table: DataFrame, key: list[str], total: int, n
     return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))
 
 
-def spread(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
-    """rows joined with table, which has one row a key that may be large. A key of more than a HOT_SHARE-th of the rows is cut into
+def spread(rows: DataFrame, table: DataFrame, key: str, by: str, total: int) -> DataFrame:
+    """rows, total in all, joined with table, which has one row a key that may be large. A key of more than a HOT_SHARE-th of the rows is cut into
     parts by the column by, and its row of table is copied to each: HOT_SHARE copies and one a key more at most in all.
 
     What is broadcast is the number of parts of each hot key. rows should be cheap to read twice.
     """
-    counts = cut_lineage(rows.groupBy(key).agg(F.count("*").alias("__n")))
-    total = counts.agg(F.sum("__n")).first()[0] or 1
+    counts = cut_lineage(packed(rows.groupBy(key).agg(F.count("*").alias("__n")), total))
     parts = F.broadcast(counts.filter(F.col("__n") * HOT_SHARE > total).select(key, F.ceil(F.col("__n") * HOT_SHARE / F.lit(total)).cast("long").alias("__parts")))
     of = F.coalesce("__parts", F.lit(1).cast("long"))
     dealt = rows.join(parts, key, "left").withColumn("__part", F.pmod(F.xxhash64(by), of)).drop("__parts")

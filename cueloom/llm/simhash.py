@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, join_by_key
+from .common import cut_lineage, join_by_key, packed
 from .components import components
 
 SEED = 42
@@ -117,24 +117,24 @@ def _split(mask: int) -> list[int]:
 def links(distinct: DataFrame) -> DataFrame:
     """u, v: all links between distinct fingerprints (fp)."""
     rows = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("by")).withColumns({"ring": _rotated(F.col("fp"), F.col("by")), "mask": F.lit(_signed(FIRST_KEY)).cast("long")})
-    masks, found = [FIRST_KEY], []
+    masks, found, most = [FIRST_KEY], [], SEGMENTS * distinct.count()
     while True:
         keys = rows.withColumn("part", F.col("ring").bitwiseAND(F.col("mask")))
-        counted = cut_lineage(keys.groupBy("by", "mask", "part").agg(F.count("*").alias("n")).filter("n > 1"))
+        counted = cut_lineage(packed(keys.groupBy("by", "mask", "part").agg(F.count("*").alias("n")).filter("n > 1"), most))
         total = counted.agg(F.sum("n")).first()[0] or 0
-        here = cut_lineage(join_by_key(keys.select("fp", "by", "ring", "mask", "part"), counted, ["by", "mask", "part"], total))
+        here = cut_lineage(packed(join_by_key(keys.select("fp", "by", "ring", "mask", "part"), counted, ["by", "mask", "part"], total), most))
         last = all(64 - m.bit_count() <= LOOSE for m in masks)
         cold = here if last else here.filter(F.col("n") <= HOT)
         a = cold.select("by", "mask", "part", F.col("fp").alias("u"))
         b = cold.select("by", "mask", "part", F.col("fp").alias("v"))
-        pairs = a.join(b, ["by", "mask", "part"]).filter("u < v")
+        pairs = packed(a.join(b, ["by", "mask", "part"]).filter("u < v"), total * (1 << LOOSE if last else HOT))
         found.append(pairs.filter(_chain_holds(F.col("u").bitwiseXOR(F.col("v")), F.col("by"))).select("u", "v"))
         hot = here.filter(F.col("n") > HOT)
         if last or hot.isEmpty():
             return reduce(DataFrame.union, found)
         longer = F.create_map(*[y for m in masks for y in (F.lit(_signed(m)), F.array(*[F.lit(_signed(x)) for x in _split(m)]))])
         rows = hot.select("fp", "by", "ring", F.explode(F.try_element_at(longer, F.col("mask"))).alias("mask"))
-        masks = [x for m in masks for x in _split(m)]
+        masks, most = [x for m in masks for x in _split(m)], (DISTANCE + 1) * total
 
 
 def classes(marked: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -153,12 +153,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     return joined.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def least_rows(docs: DataFrame, rooted: DataFrame, mark: Column) -> DataFrame:
-    """The row of docs of the least key (null last) of each root; rooted: root, key, mark of every row."""
+def least_rows(docs: DataFrame, rooted: DataFrame, mark: Column, total: int) -> DataFrame:
+    """The row of docs of the least key (null last) of each root; rooted: root, key, mark of every row, total in all."""
     # the row of the least key, then mark; counted, as rows may be repeated
-    each = rooted.groupBy("root", "key", "mark").agg(F.count("*").alias("n"))
+    each = packed(rooted.groupBy("root", "key", "mark").agg(F.count("*").alias("n")), total)
     order = F.struct(F.col("key").isNull().alias("null"), F.col("key").alias("key"), F.col("mark").alias("mark"), F.col("n").alias("n"))
-    chosen = cut_lineage(each.groupBy("root").agg(F.min(order).alias("c")).select("c.key", "c.mark", "c.n"))
+    chosen = cut_lineage(packed(each.groupBy("root").agg(F.min(order).alias("c")).select("c.key", "c.mark", "c.n"), total))
     with_mark = docs.withColumn("__mark", mark)
     # a key and a hash of it and the text name a row; texts are shuffled only where the marks are too many to go to every task
     few = chosen.count() <= BROADCAST_MARKS
@@ -173,5 +173,6 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     mark = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), mark.alias("mark"))
     marked = cut_lineage(fingerprints(rows))
-    rooted = join_by_key(marked, cut_lineage(classes(marked, "key")), ["fp"], marked.count())
-    return least_rows(docs, rooted.select("root", "key", "mark"), mark)
+    total = marked.count()
+    rooted = join_by_key(marked, cut_lineage(classes(marked, "key")), ["fp"], total)
+    return least_rows(docs, rooted.select("root", "key", "mark"), mark, total)

@@ -16,7 +16,8 @@ candidates there are, not which links.
 Equal sets are collapsed first. Of the texts that share a prefix shingle, each is first compared with the one that has it
 foremost: rare shingles come first, so that text has the fewest of its own, and whatever is like another copy of one text
 is like the least changed copy. Only pairs that all these links do not connect are compared after that, so a large group of
-near copies leaves few candidates. Looking for them still meets every pair of texts that share a frequent prefix shingle and are of
+near copies leaves few candidates. A stage of many steps would leave files and tasks in proportion to steps and partitions, however few rows there are,
+so relations are in as few parts as their rows need. Looking for them still meets every pair of texts that share a frequent prefix shingle and are of
 more than one component, by sizes and places alone: that part is quadratic in time, not in rows.
 
 Defined results: ASCII case and the kind of spaces do not count; a text with fewer words than a shingle is one
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, join_by_key, spread
+from .common import WIDE, cut_lineage, join_by_key, packed, spread
 from .components import components
 from .simhash import _LOWER, SEED, least_rows, majority
 from .simhash import links as fingerprint_links
@@ -143,20 +144,28 @@ def _possible(i: Column, m: Column, j: Column, n: Column) -> Column:
 def _plausible(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Those of pairs (u, v and their sizes m, n) whose sizes and sketches allow similar sets, and the bits in which their sketches differ; distinct: sig and sketch."""
     side = lambda sig, name: distinct.select(F.col("sig").alias(sig), F.col("sketch").alias(name))
-    drawn = pairs.filter(_near("m", "n")).join(side("v", "b"), "v").join(side("u", "a"), "u")
+    total = pairs.count()
+    drawn = packed(packed(packed(pairs, total).filter(_near("m", "n")).join(side("v", "b"), "v"), total, WIDE).join(side("u", "a"), "u"), total, WIDE)
     bits = F.aggregate(F.zip_with(_folded(F.col("a"), F.col("b")), _folded(F.col("b"), F.col("a")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     return cut_lineage(drawn.select("u", "v", "m", "n", bits.alias("bits")).filter((OVER + UNDER) * F.col("bits") <= (UNDER - OVER) * (F.col("m") + F.col("n"))).select("u", "v", "bits"))
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame) -> DataFrame:
     """Those of pairs (u, v) whose sets are similar; distinct: sig and the mark of one of its rows."""
-    named = cut_lineage(pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct().join(distinct.select("sig", "mark"), "sig"))
+    total = pairs.count()
+    if not total:
+        return pairs
+    pairs = packed(pairs, total)
+    wanted = packed(pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct(), 2 * total)
+    named = cut_lineage(packed(wanted.join(distinct.select("sig", "mark"), "sig"), 2 * total))
+    many = named.count()
     # texts are shuffled only where the marks wanted are too many to go to every task
-    named = F.broadcast(named) if named.count() <= BROADCAST_MARKS else named
-    found = cut_lineage(sets(rows.join(named.select("mark"), "mark", "left_semi").dropDuplicates(["mark"])).join(named, "mark").select("sig", "shingles"))
+    named = F.broadcast(named) if many <= BROADCAST_MARKS else named
+    texts = packed(rows.join(named.select("mark"), "mark", "left_semi").dropDuplicates(["mark"]), many, WIDE)
+    found = cut_lineage(packed(sets(texts).join(named, "mark").select("sig", "shingles"), many, WIDE))
     a, b = found.select(F.col("sig").alias("u"), F.col("shingles").alias("a")), found.select(F.col("sig").alias("v"), F.col("shingles").alias("b"))
     # many pairs may have one u, the least text of a large group
-    both = spread(pairs, a, "u", "v").join(b, "v")
+    both = packed(packed(spread(pairs, a, "u", "v", total), total, WIDE).join(b, "v"), total, WIDE)
     # J = i / (a + b - i) >= OVER / UNDER
     alike = (OVER + UNDER) * F.size(F.array_intersect("a", "b")) >= OVER * (F.size("a") + F.size("b"))
     return cut_lineage(both.filter(alike).select("u", "v"))
@@ -165,24 +174,28 @@ def _verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame) -> DataFra
 def _apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
     """Those of pairs (u, v) that links do not connect; linked: node, component."""
     side = lambda c, x: linked.select(F.col("node").alias(c), F.col("component").alias(x))
-    both = pairs.join(side("u", "x"), "u", "left").join(side("v", "y"), "v", "left")
+    total = pairs.count()
+    both = packed(packed(packed(pairs, total).join(side("u", "x"), "u", "left"), total).join(side("v", "y"), "v", "left"), total)
     return both.filter(F.coalesce("x", "u") != F.coalesce("y", "v")).select("u", "v")
 
 
-def _by_fingerprint(distinct: DataFrame) -> DataFrame:
-    """u, v: sigs of one fingerprint with the least of them, and the least of fingerprints that link."""
-    least = cut_lineage(distinct.groupBy("fp").agg(F.min("sig").alias("u"), F.count("*").alias("n")))
-    own = join_by_key(distinct.select("fp", "sig"), least, ["fp"], distinct.count()).select("u", F.col("sig").alias("v"))
-    side = lambda fp, sig: least.select(F.col("fp").alias(fp), F.col("u").alias(sig))
-    linked = fingerprint_links(least.select("fp")).withColumnsRenamed({"u": "a", "v": "b"})
-    linked = linked.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-    return own.filter("u <> v").union(linked)
+def _by_fingerprint(distinct: DataFrame, total: int) -> DataFrame:
+    """u, v and their sizes m, n: sigs of one fingerprint with the least of them, and the least of fingerprints that link; distinct: total rows."""
+    sized = F.struct("sig", F.col("n").alias("size"))
+    least = cut_lineage(packed(distinct.groupBy("fp").agg(F.min(sized).alias("c"), F.count("*").alias("n")), total))
+    own = packed(join_by_key(distinct.select("fp", sized.alias("d")), least, ["fp"], total), total).select("c", "d")
+    side = lambda fp, c: least.select(F.col("fp").alias(fp), F.col("c").alias(c))
+    near = cut_lineage(fingerprint_links(least.select("fp")).withColumnsRenamed({"u": "a", "v": "b"}))
+    many = near.count()
+    linked = packed(packed(packed(near, many).join(side("a", "x"), "a"), many).join(side("b", "y"), "b"), many)
+    both = own.filter("c.sig <> d.sig").union(linked.select(F.least("x", "y"), F.greatest("x", "y")))
+    return both.select(F.col("c.sig").alias("u"), F.col("d.sig").alias("v"), F.col("c.size").alias("m"), F.col("d.size").alias("n"))
 
 
 def _still_apart(joined: DataFrame) -> DataFrame:
     """u, v, m, n: pairs of sets of different components (of) that share a shingle (at) and can be similar by its places (pos). joined: at, sig, size, pos, of."""
     apart = joined.groupBy("at").agg(F.min("of").alias("x"), F.max("of").alias("y")).filter("x < y").select("at")
-    some = joined.join(apart, "at", "left_semi")
+    some = cut_lineage(packed(joined.join(apart, "at", "left_semi"), joined.count()))
     side = lambda sig, size, pos, of: some.select("at", F.col("sig").alias(sig), F.col("size").alias(size), F.col("pos").alias(pos), F.col("of").alias(of))
     both = side("u", "m", "i", "x").join(side("v", "n", "j", "y"), "at")
     return both.filter((F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & _possible(*map(F.col, "imjn"))).select("u", "v", "m", "n").distinct()
@@ -191,23 +204,29 @@ def _still_apart(joined: DataFrame) -> DataFrame:
 def links(marked: DataFrame, rows: DataFrame) -> DataFrame:
     """u, v: links between sigs that have the same components as all links."""
     # of equal sets, whose prefixes and sketches are equal too, one row
-    distinct = cut_lineage(marked.groupBy("sig").agg(F.min("mark").alias("mark"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch"), F.any_value("prefix").alias("prefix")))
+    kinds = marked.groupBy("sig").agg(F.min("mark").alias("mark"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch"), F.any_value("prefix").alias("prefix"))
+    distinct = cut_lineage(packed(kinds, marked.count(), WIDE))
     each = distinct.select(F.posexplode("prefix").alias("pos", "at"), "sig", F.col("n").alias("size"))
-    total = distinct.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    met = cut_lineage(each.groupBy("at").agg(F.count("*").alias("n")).filter("n > 1"))
-    shared = cut_lineage(join_by_key(each, met, ["at"], total).select("at", "sig", "size", "pos"))
-    foremost = cut_lineage(shared.groupBy("at").agg(F.min(F.struct("pos", "sig", "size")).alias("c"), F.count("*").alias("n")))
-    around = join_by_key(shared, foremost, ["at"], shared.count()).filter((F.col("c.sig") != F.col("sig")) & _possible(F.col("c.pos"), F.col("c.size"), F.col("pos"), F.col("size")))
-    stars = around.select(F.col("c.sig").alias("u"), F.col("sig").alias("v"))
-    size = lambda sig, n: distinct.select(F.col("sig").alias(sig), F.col("n").alias(n))
-    some = _plausible(stars.union(_by_fingerprint(distinct)).distinct().join(size("v", "n"), "v").join(size("u", "m"), "u"), distinct)
+    texts, total = distinct.agg(F.count("*"), F.sum(F.size("prefix"))).first()
+    total = total or 0
+    met = cut_lineage(packed(each.groupBy("at").agg(F.count("*").alias("n")).filter("n > 1"), total))
+    shared = cut_lineage(packed(join_by_key(each, met, ["at"], total), total).select("at", "sig", "size", "pos"))
+    many = shared.count()
+    shared = packed(shared, many)
+    foremost = cut_lineage(packed(shared.groupBy("at").agg(F.min(F.struct("pos", "sig", "size")).alias("c"), F.count("*").alias("n")), many))
+    around = packed(join_by_key(shared, foremost, ["at"], many), many).filter((F.col("c.sig") != F.col("sig")) & _possible(F.col("c.pos"), F.col("c.size"), F.col("pos"), F.col("size")))
+    stars = around.select(F.col("c.sig").alias("u"), F.col("sig").alias("v"), F.col("c.size").alias("m"), F.col("size").alias("n"))
+    some = _plausible(cut_lineage(packed(stars.union(_by_fingerprint(distinct, texts)).distinct(), many)), distinct)
     # the likeliest pair of each set first, which connects most; then those that are still apart
-    first = _verified(cut_lineage(some.groupBy("v").agg(F.min(F.struct("bits", "u")).alias("c")).select("c.u", "v")), distinct, rows)
-    first = cut_lineage(first.union(_verified(cut_lineage(_apart(some, cut_lineage(components(first)))), distinct, rows)))
+    likeliest = packed(some.groupBy("v").agg(F.min(F.struct("bits", "u")).alias("c")), texts).select("c.u", "v")
+    first = _verified(cut_lineage(likeliest), distinct, rows)
+    rest = cut_lineage(_apart(some, cut_lineage(components(first, texts))))
+    first = cut_lineage(first.union(_verified(rest, distinct, rows)))
 
-    joined = shared.join(components(first).withColumnRenamed("node", "sig"), "sig", "left").withColumn("of", F.coalesce("component", "sig"))
-    pairs = _still_apart(cut_lineage(joined.select("at", "sig", "size", "pos", "of")))
-    return first.union(_verified(_plausible(pairs, distinct).select("u", "v"), distinct, rows))
+    linked = components(first, first.count()).withColumnRenamed("node", "sig")
+    joined = packed(shared.join(linked, "sig", "left"), many).withColumn("of", F.coalesce("component", "sig"))
+    pairs = cut_lineage(_still_apart(cut_lineage(joined.select("at", "sig", "size", "pos", "of"))))
+    return cut_lineage(first.union(_verified(_plausible(pairs, distinct).select("u", "v"), distinct, rows)))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -215,8 +234,9 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     mark = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
     rows = docs.select(F.col(f"`{key}`").alias("key"), mark.alias("mark"), F.col(f"`{text}`").alias("text"))
     marked = cut_lineage(prefixes(rows))
-    linked = components(links(marked, rows)).withColumnRenamed("node", "sig")
+    found, total = links(marked, rows), marked.count()
+    linked = components(found, found.count()).withColumnRenamed("node", "sig")
     # one row a set, of which there may be very many copies
     roots = marked.groupBy("sig").agg(F.count("*").alias("n")).join(linked, "sig", "left").select("sig", F.coalesce("component", "sig").alias("root"), "n")
-    rooted = join_by_key(marked.select("key", "mark", "sig"), cut_lineage(roots), ["sig"], marked.count()).drop("n")
-    return least_rows(docs, rooted, mark)
+    rooted = packed(join_by_key(marked.select("key", "mark", "sig"), cut_lineage(packed(roots, total)), ["sig"], total), total).drop("n")
+    return least_rows(docs, rooted, mark, total)

@@ -75,3 +75,24 @@ def test_family_of_near_copies_leaves_few_candidates(spark, monkeypatch):
     got = sorted(r.doc_id for r in similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == kept_by_brute_force(rows)
     assert made[0] < 160
+
+
+def test_few_rows_take_few_tasks_however_many_partitions(spark):
+    """Steps are many, so tasks (and their files) must follow the rows, not steps times partitions."""
+    rng, conf = random.Random(3), {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(base[:at] + [f"e{i}"] + base[at:])) for i, at in enumerate(rng.choices(range(101), k=40))]
+    context, before = spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    context.setJobGroup("few-rows", "")
+    try:
+        got = sorted(r.doc_id for r in similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == kept_by_brute_force(rows)
+    seen = context.statusTracker()
+    stages = {s for j in seen.getJobIdsForGroup("few-rows") for s in seen.getJobInfo(j).stageIds}
+    assert sum(info.numTasks for s in stages if (info := seen.getStageInfo(s))) < 6000
