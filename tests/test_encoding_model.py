@@ -189,3 +189,26 @@ def test_a_letter_that_stands_alone_is_transcoded(spark):
     text = "eux eux eux eux du. du. du. du. Ê Ê Ê Ê Ê Ê Ê Ê Ê"
     frame = spark.createDataFrame([(text.encode("iso8859-1"),)], "content binary")
     assert bytes(frame.select(encoding.to_utf8(F.col("content")).alias("t")).first().t).decode() == text
+
+
+#: One-byte texts of Latin letters with one odd word, alone or repeated, that were read as Hebrew, Thai, Cyrillic or with signs for the letter.
+ODD_WORDS = {
+    "two letters": "Pfeinung ensttzer von, die ää des auung dem in.", "two others": "Onqueque de èê de, du.", "often": "Mentonen " * 200 + "aimentonen " * 100 + "èè " * 71 + "le.",
+    "a quotation mark": "È " * 23 + "tion " * 30 + "des " * 30 + "pour " * 30, "a division": "Ö " * 26 + "die " * 30 + "enerie " * 30 + "Ö " * 26 + "enerie.", "both": "Des le.iebkm Étre. È aitrement la.\nReleased under the MIT License.",
+}
+
+
+@pytest.mark.parametrize("kind", ODD_WORDS)
+def test_odd_words_among_latin_ones_are_latin(kind):
+    text = ODD_WORDS[kind]
+    for hints in (None, encoding.hinted(None, "de")):
+        name = encoding.detect_bytes(text.encode("cp1252"), hints)[0]
+        assert text.encode("cp1252").decode(name) == text and (hints is None or name == "cp1252")
+
+
+def test_other_alphabets_among_latin_words_are_still_found():
+    for text, codec in (("plain text " * 3000 + "Съешь ещё", "cp1251"), ("plain text " * 3000 + "הילדים משחקים", "cp1255"), ("plain text " * 3000 + "これは日本語", "shift_jis")):
+        assert encoding.detect_bytes(text.encode(codec))[0] == codec
+    assert encoding.detect_bytes("« oui » 6 ÷ 2 ÷ x".encode("mac_roman"))[0] == "mac_roman"
+    # what is declared counts, whatever stands around
+    assert encoding.detect_bytes(("plain text " * 50 + "да").encode("cp1251"), encoding.hinted(None, "ru"))[0] == "cp1251"
