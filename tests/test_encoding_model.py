@@ -212,3 +212,9 @@ def test_other_alphabets_among_latin_words_are_still_found():
     assert encoding.detect_bytes("« oui » 6 ÷ 2 ÷ x".encode("mac_roman"))[0] == "mac_roman"
     # what is declared counts, whatever stands around
     assert encoding.detect_bytes(("plain text " * 50 + "да").encode("cp1251"), encoding.hinted(None, "ru"))[0] == "cp1251"
+
+
+def test_odd_words_are_transcoded(spark):
+    rows = [(k, t.encode("iso8859-1")) for k, t in ODD_WORDS.items()]
+    frame = spark.createDataFrame(rows, "kind string, content binary")
+    assert {r.kind: bytes(r.t).decode() for r in frame.select("kind", encoding.to_utf8(F.col("content")).alias("t")).collect()} == ODD_WORDS
