@@ -218,3 +218,18 @@ def test_odd_words_are_transcoded(spark):
     rows = [(k, t.encode("iso8859-1")) for k, t in ODD_WORDS.items()]
     frame = spark.createDataFrame(rows, "kind string, content binary")
     assert {r.kind: bytes(r.t).decode() for r in frame.select("kind", encoding.to_utf8(F.col("content")).alias("t")).collect()} == ODD_WORDS
+
+
+def test_counts_of_bytes_bound_sequences_of_utf8():
+    rng = random.Random(5)
+    for _ in range(400):
+        raw = b"".join(rng.choice([b"a", "é".encode(), "€".encode(), "😀".encode(), bytes([rng.randrange(128, 256)])]) for _ in range(rng.randrange(1, 30)))
+        data = np.frombuffer(raw, np.uint8)
+        high = int((data > 127).sum())
+        assert high - sequences.utf8(data, high)[1] <= sequences.utf8_most(np.bincount(data, minlength=256)) or not high
+
+
+def test_code_pages_are_encoded_as_by_python():
+    text = "".join(map(chr, [*range(0x600), *range(0xE00, 0xE80), *range(0x2000, 0x2600), 0xFFFE, 0x1F600]))
+    for name in encoding.CANDIDATES:
+        assert encoding._in_charset(text, name) == text.encode(name, "replace")

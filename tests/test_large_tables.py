@@ -65,3 +65,20 @@ def test_colour_changes_decode_each_unit_once(spark, sf_dir):
 def test_documents_in_all_encodings_are_dealt_out(spark, sf_dir):
     written = file_queries._written(spark, sf_dir)
     assert written.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_documents_are_written_once_a_script(spark, sf_dir):
+    """Letters are replaced by tables, below the step that makes a row for each encoding of a script."""
+    plan = file_queries._written(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    encodings, scripts = (i for i, line in enumerate(plan.splitlines()) if "Generate explode" in line)
+    written = next(i for i, line in enumerate(plan.splitlines()) if "ArrowEvalPython [_in_script" in line)
+    assert encodings < written < scripts and "regexp_replace" not in plan
+
+
+def test_letters_of_a_script(spark):
+    texts = ["Añb, É 1\n😀 дё", "", "ZИzﬁ"]
+    frame = spark.createDataFrame([(t, s) for t in texts for s in file_queries._SCRIPTS] + [("a", "latin"), (None, "thai")], "text string, script string")
+    for r in frame.select("text", "script", file_queries._in_script("text", "script").alias("out")).collect():
+        letters = file_queries._SCRIPTS.get(r.script)
+        small = None if letters is None or r.text is None else r.text.lower().translate(str.maketrans(file_queries._LETTERS, letters))
+        assert r.out == (None if small is None else re.sub(f"[^\\x00-\\x7F{letters}]", "", small))
