@@ -233,3 +233,10 @@ def test_code_pages_are_encoded_as_by_python():
     text = "".join(map(chr, [*range(0x600), *range(0xE00, 0xE80), *range(0x2000, 0x2600), 0xFFFE, 0x1F600]))
     for name in encoding.CANDIDATES:
         assert encoding._in_charset(text, name) == text.encode(name, "replace")
+
+
+def test_signs_after_characters_of_several_bytes():
+    text = "的了在*** 说个%%% 的我的在### 来了一&&& 了的有一*** 的在是大### 他的来&&& 的在国的们的$$$ 的在出大有一$$$ 他的在.*** 的了在是中人的了在出大"
+    assert encoding.detect_bytes((text * 5).encode("gb18030"))[0] == "gb18030"
+    table = bytepairs.table({("的", "在"): 9.0}, "simplified", "gb18030")
+    assert table["的".encode("gb18030")[-1], ord("*")] > -12
