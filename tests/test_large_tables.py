@@ -82,3 +82,11 @@ def test_letters_of_a_script(spark):
         letters = file_queries._SCRIPTS.get(r.script)
         small = None if letters is None or r.text is None else r.text.lower().translate(str.maketrans(file_queries._LETTERS, letters))
         assert r.out == (None if small is None else re.sub(f"[^\\x00-\\x7F{letters}]", "", small))
+
+
+def test_size_of_chapters_beyond_a_hundred_hours(spark, tmp_path):
+    """The size is that of the file, with all digits of the hours."""
+    pq.write_table(pa.table({"p_partkey": pa.array([1, 479_999, 480_000, 1_200_000], pa.int64())}), tmp_path / "part.parquet")
+    rows = QUERIES["chapters_xml"](spark, str(tmp_path)).collect()
+    size = {r.file_id: r.size - len(r.starts) for r in rows}
+    assert len(set(size.values())) == 1 and {r.file_id: len(r.starts) for r in rows} == {1: 51, 479_999: 51, 480_000: 52, 1_200_000: 53}
